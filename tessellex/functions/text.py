@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values.
 SPECIAL_PHRASES = ["x ray", "x-ray", "t cell", "t-cell", "b cell", "b-cell", "3d printing", "5g network", "e-commerce", "a/b testing", "c++", "r", "k-means", "n-gram", "p value", "q factor", "s wave", "v chip", "h-index", "i beam", "o ring", "z score"]
@@ -33,7 +34,7 @@ def clean_phrase(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.array_join(words, " "), r"\b[a-zA-Z]{2}[0-9]+[a-zA-Z0-9]*$", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_ascii(texts: pd.Series) -> pd.Series:
     """ASCII only: compatibility decomposition, then what is left beyond ASCII goes. Null for null."""
     return texts.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode())
@@ -61,7 +62,7 @@ def strip_html(c: Column | str) -> Column:
     return unescape_html(F.regexp_replace(_col(c), "<.*?>", ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_html(texts: pd.Series) -> pd.Series:
     """Character references resolved; null for null."""
     return texts.map(lambda t: html.unescape(t) if t and "&" in t else t)
@@ -109,7 +110,7 @@ def capitalize(c: Column | str) -> Column:
     return F.concat(F.upper(F.substring(_col(c), 1, 1)), F.lower(F.substring(_col(c), F.lit(2), F.length(_col(c)))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def title_case(texts: pd.Series) -> pd.Series:
     """Upper case after everything that isn't a letter, so after digits too."""
     return texts.map(lambda t: None if t is None else t.title())

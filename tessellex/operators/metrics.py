@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from ..functions.arrays import scaled
@@ -67,7 +68,7 @@ def masked_softmax(scores: Column, mask: Column) -> Column:
     return scaled(raised, F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
 
 
-@F.pandas_udf("weak int, strong int")
+@F.pandas_udf(T.StructType([T.StructField("weak", T.IntegerType()), T.StructField("strong", T.IntegerType())]))
 def span_matches(gold: pd.Series, predicted: pd.Series) -> pd.DataFrame:
     """Longest common subsequences of two lists of (entity, start, end), each by end: weak if the entities agree and the spans overlap, strong if both agree."""
 
