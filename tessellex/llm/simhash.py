@@ -261,13 +261,13 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
 
 
 #: Bits of the code that similar_classes compares.
-CODE_BITS = 256
+CODE_BITS = 512
 
 
 def bits_at(similarity: float, bits: int = CODE_BITS) -> int:
-    """How many bits two SimHash codes differ by, at one standard deviation above the mean, if their shingle sets have that Jaccard similarity."""
+    """How many bits the SimHash codes of two shingle sets of that Jaccard similarity differ by, with 95 of 100 such pairs at or below it."""
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * angle + np.sqrt(bits * angle * (1 - angle)))
+    return int(bits * angle + 1.645 * np.sqrt(bits * angle * (1 - angle)))
 
 
 def similar_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
