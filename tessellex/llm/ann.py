@@ -14,7 +14,7 @@ from pyspark.sql import window as W
 from ..functions.staging import stage
 
 #: Standard deviations of an estimate's error that the bound allows.
-CONFIDENCE = 1.9
+CONFIDENCE = 3.0
 #: Vectors and queries that meet in one task.
 DATA_BLOCK, QUERY_BLOCK = 8192, 2048
 
@@ -41,8 +41,8 @@ def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed in the same order for every row."""
-    return (vectors * query).sum(axis=1)
+    """Inner products in double precision, summed from the first component to the last, as a plain loop does."""
+    return np.cumsum(vectors * query, axis=1)[:, -1]
 
 
 def best(ids: np.ndarray, vectors: np.ndarray, bits: np.ndarray, factor: np.ndarray, error: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:

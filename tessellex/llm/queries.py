@@ -146,4 +146,4 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_pii": OP8_SQL}
+    return {"op3_url_filters": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_pii": OP8_SQL, "op10_nearest": OP10_SQL}
