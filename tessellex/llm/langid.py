@@ -95,9 +95,11 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", size: int = 400,
     """
     labelled = df.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
     hashed = labelled.select("lang", F.xxhash64("text").alias("h"))
-    first = W.Window.partitionBy("lang").orderBy("h")
-    # copies share a hash, so they are merged before the smallest hashes of each language are ranked
-    chosen = hashed.groupBy("lang", "h").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= rows_per_language).select("lang", "h")
+    # copies share a hash, so they are merged before the smallest hashes of each language are ranked, at first among those of its 64 remainders
+    chosen = hashed.groupBy("lang", "h").agg(F.count("*").alias("n"))
+    for part in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
+        smallest = F.row_number().over(W.Window.partitionBy(*part).orderBy("h"))
+        chosen = chosen.withColumn("r", smallest).filter(F.col("r") <= rows_per_language).select("lang", "h")
     sample = labelled.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def counts(parts):
