@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import os
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from .functions.staging import shared_dir
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session with adaptive execution; an existing session is returned unchanged."""
@@ -21,3 +27,25 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable for Python workers, wherever they run; once for each Spark context.
+
+    The package goes as a zip into the shared folder, from where Spark hands it to every executor.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tessellex_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    path = f"{shared_dir(spark)}/package-{uuid.uuid4().hex}/{root.name}.zip"
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    context.addPyFile(path)
+    context._tessellex_shipped = True
