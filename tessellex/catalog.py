@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .session import ship
+from .session import prepare
 
 FLAGSHIP = "patent_pipeline"
 
@@ -19,7 +19,7 @@ def query(sql: str | None = None):
 
     def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
+            prepare(spark)
             return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
         _FORMS[f.__name__] = run

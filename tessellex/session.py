@@ -29,12 +29,21 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     )
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable for Python workers, wherever they run; once for each Spark context.
+#: Bytes that one Arrow batch to a Python worker holds at most; the session's limit of rows holds too.
+ARROW_BATCH = 4 << 20
 
-    The package goes as a zip into the shared folder, from where Spark hands it to every executor.
+
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever they run, and bound what a batch to them holds.
+
+    The package goes as a zip into the shared folder, from where Spark hands it to every executor, once
+    for each Spark context. Rows of long texts would fill a worker's memory at the default of 10,000
+    rows a batch, so a session with a larger limit of bytes gets this one.
     """
     context = spark.sparkContext
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(limit).rstrip("bB")) > ARROW_BATCH:
+        spark.conf.set(limit, str(ARROW_BATCH))
     if getattr(context, "_tessellex_shipped", False):
         return
     root = Path(__file__).resolve().parent
