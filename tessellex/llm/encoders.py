@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -79,16 +79,22 @@ class JsonEncoder:
     """Ids as ``tokenizers`` gives them with add_special_tokens=False and its other defaults."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             self.fast = compiled(json.load(f))
         self.splits = self.fast is not None
 
+    @cached_property
+    def library(self):
+        """Read only where it is needed: it takes more memory than the compiled table."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
     def encode(self, text: str) -> np.ndarray:
         if self.fast is not None:
             fast = self.fast[TWO_BLANKS.search(text) is None]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import prepare
 from . import ann, fingerprints, langid, line_dedup, packing, pii, sentence_pieces, simhash, token_counts, url_filters
 
 #: The rules that op3 judges by: (host, path, verdict).
@@ -84,12 +84,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_language_id, op2_fingerprints, op3_url_filters, op4_simhash, op5_line_dedup, op6_sentence_pieces, op7_token_counts, op8_pii, op9_packing, op10_nearest, pipeline)
-    return {f.__name__: _shipped(f) for f in own}
+    return {f.__name__: _prepared(f) for f in own}
 
 
-def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def _prepared(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship(spark)
+        prepare(spark)
         return f(spark, sf_dir)
 
     return run
