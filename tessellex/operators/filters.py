@@ -60,3 +60,38 @@ def not_in(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
 def boundary_tags_fit(tags: Column, bad: tuple[str, ...] = ("ADP", "DET", "CCONJ", "SCONJ", "PRON", "AUX")) -> Column:
     """Whether neither the first nor the last tag of a span is one of bad."""
     return ~F.element_at(tags, 1).isin(*bad) & ~F.element_at(tags, -1).isin(*bad)
+
+
+def long_enough(df: DataFrame, tokens: str, least: int) -> DataFrame:
+    """Documents with at least so many tokens."""
+    return df.filter(F.col(tokens) >= least)
+
+
+def without_disambiguation(df: DataFrame, title: str = "title", description: str = "description") -> DataFrame:
+    """Pages that neither their title nor their description calls a disambiguation page."""
+    told = F.coalesce(F.col(title).rlike("[Dd]isambiguation"), F.lit(False)) | F.coalesce(F.contains(description, F.lit("disambiguation page")), F.lit(False))
+    return df.filter(~told)
+
+
+def gold_within(df: DataFrame, candidates: str, gold: str, top: int | None = None) -> DataFrame:
+    """Examples whose gold candidate is among the first ``top``, or among all."""
+    at = F.array_position(candidates, F.col(gold))
+    return df.filter((at > 0) & (at <= top) if top else at > 0)
+
+
+def fair_spans(df: DataFrame, start: str, end: str, most: int) -> DataFrame:
+    """Spans that begin no later than they end and have at most ``most`` tokens between."""
+    return df.filter((F.col(end) >= F.col(start)) & (F.col(end) - F.col(start) <= most))
+
+
+def passing(df: DataFrame, mode: str, threshold: float, joint: str = "joint", mention: str = "mention") -> DataFrame:
+    """Rows whose joint score, mention score or both pass the threshold."""
+    fits = {"joint": F.col(joint) >= threshold, "mention": F.col(mention) >= threshold}
+    return df.filter(fits["joint"] & fits["mention"] if mode == "both" else fits[mode])
+
+
+def levels_in_catalog(triples: DataFrame, catalog: DataFrame, predicate: str, levels: tuple[str, ...] = ("0", "1")) -> DataFrame:
+    """(subject, name) of triples whose subject has one of the levels and whose name the catalog (title) knows."""
+    kept = triples.filter(F.col("predicate").contains(predicate) & F.col("literal").isin(*levels)).select("subject").distinct()
+    names = triples.filter(F.col("predicate").contains("name")).select("subject", F.col("literal").alias("name"))
+    return names.join(kept, "subject", "left_semi").join(catalog.select(F.col("title").alias("name")).distinct(), "name", "left_semi").select("subject", "name")

@@ -227,3 +227,34 @@ def test_stream_equals_batch(spark, tmp_path):
     step(spark.range(3), 0)
     step(spark.range(5), 1)
     assert spark.read.parquet(str(tmp_path / "u")).count() == 5
+
+
+def test_record_filters(spark):
+    from tessellex.operators import filters
+
+    pages = spark.createDataFrame([("A", "x", 5, ["p", "q"], "q"), ("B (disambiguation)", None, 50, ["p"], "q"), ("C", "a disambiguation page", 7, None, "p"), (None, None, None, [], None)], "title string, description string, n int, c array<string>, g string")
+    assert [r["title"] for r in filters.without_disambiguation(pages).collect()] == ["A", None]
+    assert [r["title"] for r in filters.long_enough(pages, "n", 7).collect()] == ["B (disambiguation)", "C"]
+    assert filters.gold_within(pages, "c", "g").count() == 1 and filters.gold_within(pages, "c", "g", 1).count() == 0
+    spans = spark.createDataFrame([(0, 3, -1.0, -2.0), (4, 3, -1.0, -1.0), (0, 30, -3.0, -1.0)], "start int, end int, joint double, mention double")
+    assert filters.fair_spans(spans, "start", "end", 10).count() == 1
+    assert [filters.passing(spans, m, -1.5).count() for m in ("joint", "mention", "both")] == [2, 2, 1]
+    rows = spark.createDataFrame([("s1", "p/level", "0"), ("s1", "p/name", "Data"), ("s2", "p/level", "3"), ("s2", "p/name", "Ink"), ("s3", "p/level", "1"), ("s3", "p/name", "Unknown")], "subject string, predicate string, literal string")
+    known = spark.createDataFrame([("Data",), ("Ink",)], "title string")
+    assert [tuple(r) for r in filters.levels_in_catalog(rows, known, "level").collect()] == [("s1", "Data")]
+    tags = spark.createDataFrame([(["DET", "NOUN"],), (["NOUN", "ADJ"],)], "t array<string>")
+    assert [r["x"] for r in tags.select(filters.boundary_tags_fit(F.col("t")).alias("x")).collect()] == [False, True]
+
+
+def test_graph_classifier_learns(spark):
+    from tessellex.operators import mentions
+
+    links = spark.createDataFrame([(c, f"{'a' if c % 2 else 'b'}{k}", k) for c in range(12) for k in range(4)], "c long, t string, o int")
+    edges = mentions.star_edges(links, "c", "t", "o", 3, negatives=1)
+    assert edges.filter("label = 1").count() == 36 and edges.filter("label = 0").count() == 36
+    vectors = spark.createDataFrame([(f"{s}{k}", [1.0 if s == "a" else -1.0, float(k)]) for s in "ab" for k in range(4)], "node string, v array<double>")
+    own = edges.filter("label = 1").select("graph", "node")
+    train = spark.createDataFrame([(str(c), c % 2) for c in range(8)], "graph string, label int")
+    model, pooled = mentions.graph_classifier(vectors, own, train)
+    found = {r["graph"]: r["prediction"] for r in model.transform(pooled).collect()}
+    assert all(found[str(c)] == c % 2 for c in range(12))
