@@ -258,3 +258,19 @@ def test_graph_classifier_learns(spark):
     model, pooled = mentions.graph_classifier(vectors, own, train)
     found = {r["graph"]: r["prediction"] for r in model.transform(pooled).collect()}
     assert all(found[str(c)] == c % 2 for c in range(12))
+
+
+def test_small_text_forms(spark):
+    from tessellex.operators import mentions
+    from tessellex.operators.similarity import top_of
+
+    df = spark.createDataFrame([("a b c d", "e f g", ["x😀", "", "y z"], ["w1", "w2"], ["O", "B-FOT"], [0.2, 0.9, 0.9], ["p", "q", "r"])], "l string, r string, al array<string>, w array<string>, t array<string>, s array<double>, n array<string>")
+    left, right = mentions.last_and_first_words(F.col("l"), F.col("r"), 2, 1)
+    row = df.select(left.alias("l"), right.alias("r"), mentions.quoted_aliases(F.col("al")).alias("al"), mentions.annotated(F.col("w"), F.col("t")).alias("an"), top_of(F.col("s"), F.col("n"), 2).alias("top")).first()
+    assert tuple(row) == ("c d", "e", '"x" "y z"', "w1 [B:w2]", ["q", "r"])
+    rows = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, "c")], "k long, o int, v string")
+    assert {r["k"]: r["vs"] for r in scans.in_order(rows, "k", "o", "v", "vs").collect()} == {1: ["a", "b"], 2: ["c"]}
+    assert sampling.first_rows(rows, "k", "o", 1).count() == 2
+    assert one(spark, T.page_id, "https://en.wikipedia.org/wiki?curid=42") == 42 and one(spark, T.title_case, "44th x-y") == "44Th X-Y"
+    nested = spark.createDataFrame([("US-1", [("Titel", "de"), ("Title", "en")], [("A21C",), ("A22C",)])], "publication_number string, title_localized array<struct<text:string,language:string>>, ipc array<struct<code:string>>")
+    assert sorted(tuple(r) for r in scans.nested_export(nested).collect()) == [("US-1", "Title", "A21C"), ("US-1", "Title", "A22C")]
