@@ -178,14 +178,27 @@ def runs(parts: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]
         yield pd.concat(held, ignore_index=True)
 
 
-def links(nodes: DataFrame, bound: int, near: int = 4, block: int = BLOCK) -> DataFrame:
+def met(run: np.ndarray, words: np.ndarray, reach: int) -> np.ndarray:
+    """Which rows have another row of their run (numbers ascend) whose word is at most ``reach`` bits away."""
+    begins = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    sizes = np.diff(np.append(begins, len(run)))
+    out = np.zeros(len(run), dtype=bool)
+    two = begins[sizes == 2]
+    near = two[np.bitwise_count(words[two] ^ words[two + 1]) <= reach]
+    out[near] = out[near + 1] = True
+    for b, n in zip(begins[sizes > 2], sizes[sizes > 2]):
+        out[b + np.array(spanning(words[b : b + n, None], reach), dtype=np.int64).ravel()] = True
+    return out
+
+
+def links(nodes: DataFrame, bound: int, near: int = 4, reach: int = 4, block: int = BLOCK) -> DataFrame:
     """(a, b): edges between different nodes whose codes are at most ``bound`` bits apart.
 
     nodes has node (long, different in each row), words (array of longs: 64-bit fingerprints from
     which keys are made) and code (binary, whole 64-bit words). Nodes meet if any of their words at
-    the same place differ in at most ``near`` bits (up to 4), and often beyond that; the edges then
-    connect all that are linked among those that meet. Runs of one node are left out before codes
-    are joined. Of each key's run a spanning forest comes out instead of its pairs, so a dense group
+    the same place differ in at most ``near`` bits (up to 4), and if they share a key up to ``reach``
+    bits; the edges then connect all that are linked among those that meet. Nodes that only share a
+    key by chance are left out before codes are joined. Of each key's run a spanning forest comes out instead of its pairs, so a dense group
     of n costs n rows a key. A key with more than ``block`` nodes is dealt into blocks, and each two
     blocks meet in a task of their own.
     """
@@ -200,16 +213,18 @@ def links(nodes: DataFrame, bound: int, near: int = 4, block: int = BLOCK) -> Da
                 node, words = some["node"].to_numpy(dtype=np.int64), np.stack(some["words"]).view(np.uint64)
                 for word in range(words.shape[1]):
                     at, key = keys(words[:, word], near, blocks, exact)
-                    yield pd.DataFrame({"word": np.int8(word), "key": key, "node": node[at]})
+                    yield pd.DataFrame({"word": np.int8(word), "key": key, "node": node[at], "bits": words[at, word].view(np.int64)})
 
     def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by = ["word", "key"]
         for rows in runs(parts, by):
             rows = rows[rows.duplicated(by, keep=False)]
             if len(rows):
-                yield rows
+                run = np.cumsum((rows[by] != rows[by].shift()).any(axis=1).to_numpy())
+                rows = rows[met(run, rows["bits"].to_numpy(dtype=np.int64).view(np.uint64), reach)]
+                yield rows[["word", "key", "node"]]
 
-    keyed = nodes.select("node", "words").mapInPandas(spread, "word byte, key long, node long")
+    keyed = nodes.select("node", "words").mapInPandas(spread, "word byte, key long, node long, bits long")
     shared = stage(keyed.repartition("word", "key").sortWithinPartitions("word", "key").mapInPandas(meet, "word byte, key long, node long"), "shared")
     shared = shared.withColumn("pair", F.lit(0).cast("long"))
     if n > block:
@@ -257,9 +272,11 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
     own = stage(df.select(F.col(doc_id).alias("doc_id"), hashed(F.coalesce(F.col(text), F.lit(""))).alias("node")), "simhash")
     code = F.unhex(F.lpad(F.hex("node"), 16, "0"))
     groups = stage(own.groupBy("node").agg(F.min("doc_id").alias("least")).select("node", "least", F.array("node").alias("words"), code.alias("code")), "groups")
-    return _named(own, groups, links(groups, bound)).select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
+    return _named(own, groups, links(groups, bound, reach=bound)).select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Bits that the word SimHashes of two near copies differ by at most: five in the mean at similarity 0.8, and unrelated texts by thirty.
+WORD_REACH = 12
 #: Bits of the code that similar_classes compares.
 CODE_BITS = 512
 
@@ -290,7 +307,7 @@ def similar_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", w
     found = df.select(F.col(doc_id).alias("doc_id"), sketched(F.coalesce(F.col(text), F.lit(""))).alias("s")).select("doc_id", "s.words", "s.code")
     own = stage(found.withColumn("node", F.xxhash64("words", "code")), "sketches")
     groups = stage(own.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("words").alias("words"), F.first("code").alias("code")), "groups")
-    return _named(own.select("doc_id", "node"), groups, links(groups, bits_at(similarity))).select("doc_id", "component_id")
+    return _named(own.select("doc_id", "node"), groups, links(groups, bits_at(similarity), reach=WORD_REACH)).select("doc_id", "component_id")
 
 
 def representatives(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
