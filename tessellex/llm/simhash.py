@@ -1,4 +1,4 @@
-"""SimHash fingerprints of word shingles, and near-duplicate classes through Golay-code keys."""
+"""SimHash fingerprints of word shingles and their classes through Golay-code keys; classes of near-equal shingle sets."""
 
 from __future__ import annotations
 
@@ -275,39 +275,200 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
     return _named(own, groups, links(groups, bound, reach=bound)).select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Bits that the word SimHashes of two near copies differ by at most: five in the mean at similarity 0.8, and unrelated texts by thirty.
-WORD_REACH = 12
-#: Bits of the code that similar_classes compares.
-CODE_BITS = 512
+#: Shingles that a task sorts at once, in the mean.
+BUCKET = 1 << 20
+#: Texts that a task compares at once; a cluster with more is dealt out in blocks of pairs.
+CHUNK = 1 << 14
 
 
-def bits_at(similarity: float, bits: int = CODE_BITS) -> int:
-    """How many bits the SimHash codes of two shingle sets of that Jaccard similarity differ by, with 95 of 100 such pairs at or below it."""
-    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * angle + 1.645 * np.sqrt(bits * angle * (1 - angle)))
+def scattered(rows: np.ndarray, by: np.ndarray, buckets: int) -> pd.DataFrame:
+    """(bucket, data): the rows as bytes, by the remainder of ``by`` modulo ``buckets``."""
+    bucket = (by % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    there, begins = np.unique(bucket[order], return_index=True)
+    ends = np.append(begins[1:], len(rows))
+    rows = rows[order]
+    return pd.DataFrame({"bucket": there, "data": [rows[b:e].tobytes() for b, e in zip(begins, ends)]})
 
 
-def similar_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of each row, for texts whose sets of ``width`` words are alike by about ``similarity`` or more.
+def gathered(df: DataFrame, dtype: np.dtype, each, schema: str) -> DataFrame:
+    """What ``each`` makes of all rows of a bucket, as one array."""
 
-    Near copies are sought by two 64-bit SimHashes of a text's different words, which a few changed
-    words hardly move, through the same Golay keys; they are then verified by a SimHash code of
-    CODE_BITS over its runs of ``width`` words, against bits_at(similarity). Nulls, empty texts,
-    repeated rows and other columns as in ``classes``.
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in runs(parts, ["bucket"]):
+            out = each(np.frombuffer(b"".join(rows["data"]), dtype=dtype))
+            if len(out):
+                yield out
+
+    return df.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(run, schema)
+
+
+def run_numbers(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of values in order: the number of each one's run of equals, and where the runs begin."""
+    fresh = np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]) if len(sorted_values) else np.zeros(0, dtype=bool)
+    return np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+
+
+def overlap(size: np.ndarray, similarity: float) -> np.ndarray:
+    """How many of its shingles a set of that size shares at least with any set of that Jaccard similarity."""
+    return np.ceil(similarity * size - 1e-9).astype(np.int64)
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of sets of at least that Jaccard similarity which join all that can be joined, at most len(sets) - 1 of them."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    edges, waiting = [], np.ones(len(sets), dtype=bool)
+    for root in range(len(sets)):
+        if not waiting[root]:
+            continue
+        waiting[root], front = False, [root]
+        while front and waiting.any():
+            own = front.pop()
+            first, last = np.searchsorted(values, sets[own], "left"), np.searchsorted(values, sets[own], "right")
+            many = last - first
+            at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+            common = np.bincount(owner[at], minlength=len(sets))
+            near = np.flatnonzero(waiting & (common >= similarity * (sizes + sizes[own] - common) - 1e-9)).tolist()
+            waiting[near] = False
+            front += near
+            edges += [(own, y) for y in near]
+    return edges
+
+
+def near_sets(texts: DataFrame, width: int, similarity: float, bucket: int = BUCKET, chunk: int = CHUNK) -> DataFrame:
+    """(a, b): edges that connect all nodes whose sets of ``width`` words have a Jaccard similarity of at least ``similarity``.
+
+    texts has node (a long for each different set), size (of the set) and text; nodes may repeat.
+    No such pair is lost, at any size of the table. A set shares at least similarity * size of its
+    shingles with a near one, so (1) a text with fewer shingles that another text has too has none.
+    Of those left, (2) each takes the rarest shingles, one more than it may have alone: two near sets
+    have one of these in common. (3) Texts connected by such shingles form a cluster, in which the
+    sets themselves are compared.
     """
+    total = texts.agg(F.sum("size")).first()[0] or 0
+    buckets = max(1, -(-total // bucket))
+    brief = np.dtype([("key", "<u4"), ("node", "<u4")])
+
+    def sets_of(part: pd.DataFrame) -> list[np.ndarray]:
+        return [shingle_set(x, width) for x in part["text"]]
 
-    @F.pandas_udf("words array<long>, code binary")
+    def flat(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for part in parts:
+            for k in range(0, len(part), 1000):
+                some = part[k : k + 1000]
+                sets = sets_of(some)
+                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+                yield np.concatenate(sets), np.repeat(some["node"].to_numpy(dtype=np.int64).view(np.uint64), sizes), np.repeat(sizes, sizes)
+
+    def spread_brief(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, node, _ in flat(parts):
+            rows = np.empty(len(key), dtype=brief)
+            rows["key"], rows["node"] = key >> np.uint64(32), node & np.uint64(0xFFFFFFFF)
+            yield scattered(rows, key & np.uint64(0xFFFFFFFF), buckets)
+
+    def shared_by(rows: np.ndarray) -> pd.DataFrame:
+        both = np.sort(rows["key"].astype(np.uint64) << np.uint64(32) | rows["node"])
+        run, begins = run_numbers(both >> np.uint64(32))
+        node = (both & np.uint64(0xFFFFFFFF)).astype("<u4")
+        ends = np.append(begins[1:], len(both)) - 1
+        node = node[(node[begins] != node[ends])[run]]
+        return scattered(node, node.astype(np.uint64), buckets)
+
+    def counted(nodes: np.ndarray) -> pd.DataFrame:
+        node, n = np.unique(nodes, return_counts=True)
+        return pd.DataFrame({"brief": node.astype(np.int64), "shared": n.astype(np.int64)})
+
+    packed = "bucket long, data binary"
+    first = gathered(texts.select("node", "text").mapInPandas(spread_brief, packed), brief, shared_by, packed)
+    shared = stage(gathered(first, np.dtype("<u4"), counted, "brief long, shared long"), "shared")
+    own = texts.withColumn("brief", F.col("node").bitwiseAND(F.lit(0xFFFFFFFF)))
+    left = stage(own.join(shared, "brief").filter(F.col("shared") >= F.ceil(similarity * F.col("size") - 1e-9)).select("node", "size", "text").dropDuplicates(["node"]), "left")
+
+    total = left.agg(F.sum("size")).first()[0] or 0
+    fewer = max(1, -(-total // bucket))
+    posting = np.dtype([("key", "<u8"), ("node", "<u8"), ("size", "<u4")])
+    ranked = np.dtype([("key", "<u8"), ("node", "<u8"), ("size", "<u4"), ("df", "u1")])
+
+    def spread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, node, size in flat(parts):
+            rows = np.empty(len(key), dtype=posting)
+            rows["key"], rows["node"], rows["size"] = key, node, size
+            yield scattered(rows, key, fewer)
+
+    def with_frequency(rows: np.ndarray) -> pd.DataFrame:
+        rows = rows[np.argsort(rows["key"])]
+        run, begins = run_numbers(rows["key"])
+        n = np.diff(np.append(begins, len(rows)))[run]
+        rows, n = rows[n > 1], n[n > 1]
+        out = np.empty(len(rows), dtype=ranked)
+        for c in posting.names:
+            out[c] = rows[c]
+        out["df"] = np.minimum(n, 255)
+        return scattered(out, out["node"], fewer)
+
+    def rarest(rows: np.ndarray) -> pd.DataFrame:
+        rows = rows[np.lexsort((rows["key"], rows["df"], rows["node"]))]
+        run, begins = run_numbers(rows["node"])
+        n = np.diff(np.append(begins, len(rows)))[run]
+        size = rows["size"].astype(np.int64)
+        take = size - overlap(size, similarity) + 1 - (size - n)  # shingles that no other has come first
+        rows = rows[np.arange(len(rows)) - begins[run] < take]
+        out = np.empty(len(rows), dtype=posting)
+        for c in posting.names:
+            out[c] = rows[c]
+        return scattered(out, out["key"], fewer)
+
+    def stars(rows: np.ndarray) -> pd.DataFrame:
+        rows = rows[np.lexsort((rows["node"], rows["key"]))]
+        run, begins = run_numbers(rows["key"])
+        node = rows["node"].astype(np.int64)
+        out = pd.DataFrame({"a": node[begins][run], "b": node})
+        return out[out["a"] != out["b"]].drop_duplicates()
+
+    third = gathered(gathered(left.select("node", "text").mapInPandas(spread, packed), posting, with_frequency, packed), ranked, rarest, packed)
+    clusters = stage(connected_components(gathered(third, posting, stars, "a long, b long")), "clusters")
+    deals = clusters.groupBy("component").agg(F.ceil(F.count("*") / chunk).alias("deals"))
+    hash_of = F.pmod(F.xxhash64("node"), F.col("deals"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1), lambda j: F.least(hash_of, j) * F.col("deals") + F.greatest(hash_of, j))
+    dealt = clusters.join(deals, "component").join(left.select("node", "text"), "node").select("component", F.explode(F.array_distinct(pairs)).alias("pair"), "node", "text")
+
+    def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by = ["component", "pair"]
+        for rows in runs(parts, by):
+            node, sets, out = rows["node"].to_numpy(dtype=np.int64), sets_of(rows), []
+            begins = np.flatnonzero((rows[by] != rows[by].shift()).any(axis=1).to_numpy())
+            for b, e in zip(begins, np.append(begins[1:], len(rows))):
+                out += [(node[b + x], node[b + y]) for x, y in alike(sets[b:e], similarity)]
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
+
+    return dealt.repartition("component", "pair").sortWithinPartitions("component", "pair").mapInPandas(compare, "a long, b long").distinct()
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The different hashes of a text's runs of ``width`` words, ascending."""
+    return np.unique(runs_of(shingle_hashes((text or "").encode("utf-8", "replace"), 1), width))
+
+
+def similar_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8, bucket: int = BUCKET, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, component_id) of each row: classes of texts connected by a Jaccard similarity of their sets of ``width`` words of at least ``similarity``.
+
+    All such pairs count and no others (near_sets). Nulls, empty texts, repeated rows and other
+    columns as in ``classes``; bucket and chunk change the size of tasks only.
+    """
+
+    @F.pandas_udf("node long, size long")
     def sketched(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x in texts:
-            words = shingle_hashes(x.encode("utf-8", "replace"), 1)
-            rows.append((np.frombuffer(majority(np.unique(words), 2 * BITS), dtype=np.int64), majority(np.unique(runs_of(words, width)), CODE_BITS)))
-        return pd.DataFrame(rows, columns=["words", "code"])
-
-    found = df.select(F.col(doc_id).alias("doc_id"), sketched(F.coalesce(F.col(text), F.lit(""))).alias("s")).select("doc_id", "s.words", "s.code")
-    own = stage(found.withColumn("node", F.xxhash64("words", "code")), "sketches")
-    groups = stage(own.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("words").alias("words"), F.first("code").alias("code")), "groups")
-    return _named(own.select("doc_id", "node"), groups, links(groups, bits_at(similarity), reach=WORD_REACH)).select("doc_id", "component_id")
+        sets = [shingle_set(x, width) for x in texts]
+        return pd.DataFrame([(xxhash.xxh3_64_intdigest(s.tobytes()), len(s)) for s in sets], columns=["node", "size"]).astype({"node": "uint64"}).astype("int64")
+
+    found = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = stage(found.withColumn("s", sketched("text")).select("doc_id", "text", "s.node", "s.size"), "sketches")
+    groups = stage(own.groupBy("node").agg(F.min("doc_id").alias("least")), "groups")
+    return _named(own.select("doc_id", "node"), groups, near_sets(own.select("node", "size", "text"), width, similarity, bucket, chunk)).select("doc_id", "component_id")
 
 
 def representatives(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:

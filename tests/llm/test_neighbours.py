@@ -103,6 +103,33 @@ def test_similar_classes_find_near_copies(spark):
     assert simhash.representatives(documents(spark).limit(0)).collect() == []
 
 
+def edited(rnd, how, share):
+    """Two texts of 300 words, of which the second has a passage appended, cut or replaced, or words changed here and there."""
+    text = [f"w{k}" for k in rnd.integers(0, 3000, 300)]
+    n = round(share * 300)
+    new, at = [f"n{k}" for k in rnd.integers(0, 3000, n)], int(rnd.integers(0, 300 - n))
+    other = {"appended": text + new, "cut": text[:at] + text[at + n :], "replaced": text[:at] + new[: n // 2] + text[at + n // 2 :]}[how]
+    return " ".join(text), " ".join(other)
+
+
+def passages(low, high):
+    """Rows of which 2k and 2k + 1 have a 5-word Jaccard similarity in [low, high), and nothing else is alike."""
+    rnd, rows = np.random.default_rng(6), []
+    while len(rows) < 120:
+        a, b = edited(rnd, ["appended", "cut", "replaced"][len(rows) // 2 % 3], rnd.uniform(0.1, 0.35))
+        if low <= jaccard(a, b) < high:
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    return rows
+
+
+def named(spark, rows, **sizes):
+    return {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string"), **sizes).collect()}
+
+
+def test_similar_classes_lose_no_edited_passage(spark):
+    assert named(spark, passages(0.8, 0.85)) == {i: i - i % 2 for i in range(120)}
+
+
 # nearest neighbours
 
 
