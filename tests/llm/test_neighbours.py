@@ -130,6 +130,11 @@ def test_similar_classes_lose_no_edited_passage(spark):
     assert named(spark, passages(0.8, 0.85)) == {i: i - i % 2 for i in range(120)}
 
 
+def test_similar_classes_are_the_same_however_work_is_dealt(spark):
+    rows = passages(0.8, 0.85)
+    assert named(spark, rows, bucket=2000, chunk=1) == {i: i - i % 2 for i in range(120)}
+
+
 # nearest neighbours
 
 
