@@ -135,6 +135,10 @@ def test_similar_classes_are_the_same_however_work_is_dealt(spark):
     assert named(spark, rows, bucket=2000, chunk=1) == {i: i - i % 2 for i in range(120)}
 
 
+def test_similar_classes_keep_what_is_less_alike(spark):
+    assert named(spark, passages(0.7, 0.79)) == {i: i for i in range(120)}
+
+
 # nearest neighbours
 
 
