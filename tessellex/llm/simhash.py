@@ -11,17 +11,21 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from ..functions.staging import stage
+from ..functions.staging import salted, small, stage
 from ..operators.graph import connected_components
+from .columns import named
 
 BITS = 64
 #: The [23,12,7] Golay code's generator polynomial, its length and the length of its check part.
 GENERATOR, LENGTH, CHECK = 0xC75, 23, 11
 #: Every word of 23 bits lies within 3 of a codeword, so two words at distance 2 have a word between them and share a codeword within 4 of both.
 RADIUS = 4
-#: Fingerprints of one key that a task compares at once; a key with more is dealt out in blocks of pairs.
-BLOCK = 1 << 18
+#: Fingerprints of one key that a task compares at once, about; a key with more is dealt out in blocks of pairs.
+BLOCK = 1 << 16
+#: Such keys are found in the keys of one node in SAMPLE. What is dealt decides on tasks only, never on what is found.
+SAMPLE = 64
 
 
 def shingle_hashes(data: bytes, width: int) -> np.ndarray:
@@ -198,9 +202,10 @@ def links(nodes: DataFrame, bound: int, near: int = 4, reach: int = 4, block: in
     which keys are made) and code (binary, whole 64-bit words). Nodes meet if any of their words at
     the same place differ in at most ``near`` bits (up to 4), and if they share a key up to ``reach``
     bits; the edges then connect all that are linked among those that meet. Nodes that only share a
-    key by chance are left out before codes are joined. Of each key's run a spanning forest comes out instead of its pairs, so a dense group
-    of n costs n rows a key. A key with more than ``block`` nodes is dealt into blocks, and each two
-    blocks meet in a task of their own.
+    key by chance are left out before codes are joined. Of each key's run a spanning forest comes out
+    instead of its pairs, so a dense group of n costs n rows a key. A key with more than about
+    ``block`` nodes is dealt into blocks before its nodes meet, and each two blocks meet in a task of
+    their own; tasks so hold two blocks of a key. Such keys are estimated from one node in SAMPLE.
     """
     nodes = nodes.select("node", "words", "code")
     n = nodes.count()
@@ -215,27 +220,28 @@ def links(nodes: DataFrame, bound: int, near: int = 4, reach: int = 4, block: in
                     at, key = keys(words[:, word], near, blocks, exact)
                     yield pd.DataFrame({"word": np.int8(word), "key": key, "node": node[at], "bits": words[at, word].view(np.int64)})
 
+    by = ["word", "key", "pair"]
+
     def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by = ["word", "key"]
         for rows in runs(parts, by):
             rows = rows[rows.duplicated(by, keep=False)]
             if len(rows):
                 run = np.cumsum((rows[by] != rows[by].shift()).any(axis=1).to_numpy())
                 rows = rows[met(run, rows["bits"].to_numpy(dtype=np.int64).view(np.uint64), reach)]
-                yield rows[["word", "key", "node"]]
+                yield rows[[*by, "node"]]
 
-    keyed = nodes.select("node", "words").mapInPandas(spread, "word byte, key long, node long, bits long")
-    shared = stage(keyed.repartition("word", "key").sortWithinPartitions("word", "key").mapInPandas(meet, "word byte, key long, node long"), "shared")
-    shared = shared.withColumn("pair", F.lit(0).cast("long"))
+    keyed = nodes.select("node", "words").mapInPandas(spread, "word byte, key long, node long, bits long").withColumn("pair", F.lit(0).cast("long"))
     if n > block:
-        hot = stage(shared.groupBy("word", "key").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("word", "key", F.ceil(F.col("n") / block).alias("deals")), "hot")
+        some = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("node", "words").mapInPandas(spread, "word byte, key long, node long, bits long")
+        hot = stage(some.groupBy("word", "key").agg((F.count("*") * SAMPLE).alias("n")).filter(F.col("n") > block).select("word", "key", F.ceil(F.col("n") / block).alias("deals")), "hot")
         if hot.head(1):
-            own = F.pmod(F.xxhash64("node"), F.col("deals"))
+            own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("deals"))
             pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1), lambda j: F.least(own, j) * F.col("deals") + F.greatest(own, j))
-            shared = shared.drop("pair").join(hot, ["word", "key"], "left").withColumn("pair", F.explode(F.when(F.col("deals").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(pairs)))).select("word", "key", "pair", "node")
+            dealt = F.explode(F.when(F.col("deals").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(pairs)))
+            keyed = keyed.drop("pair").join(small(hot), ["word", "key"], "left").withColumn("pair", dealt).drop("deals")
+    shared = stage(keyed.repartition(*by).sortWithinPartitions(*by).mapInPandas(meet, "word byte, key long, pair long, node long"), "shared")
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by = ["word", "key", "pair"]
         for rows in runs(parts, by):
             codes = np.frombuffer(b"".join(rows["code"]), dtype=np.uint64).reshape(len(rows), -1)
             run = np.cumsum((rows[by] != rows[by].shift()).any(axis=1).to_numpy())
@@ -248,11 +254,12 @@ def links(nodes: DataFrame, bound: int, near: int = 4, reach: int = 4, block: in
 
 
 def _named(own: DataFrame, groups: DataFrame, edges: DataFrame) -> DataFrame:
-    """own's rows with component_id: the smallest ``least`` of all groups that edges connect to the row's node."""
-    joined = connected_components(edges)
-    placed = groups.join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
-    roots = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(placed.join(roots, "root").select("node", "component_id"), "node")
+    """own's rows with what was ``least``, now the smallest of all groups that edges connect to the row's node. Nodes of many rows, and classes of many nodes, are dealt into several tasks."""
+    joined = stage(connected_components(edges), "components")
+    placed = stage(groups.join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root")), "placed")
+    roots = stage(placed.groupBy("root").agg(F.min("least").alias("least")), "roots")
+    of_node = stage(salted(placed.select("node", "root"), roots, ["root"]).select("node", "least"), "named")
+    return salted(own, of_node, ["node"])
 
 
 def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, bound: int = 4) -> DataFrame:
@@ -269,16 +276,20 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
     def hashed(texts: pd.Series) -> pd.Series:
         return pd.Series([simhash(x, width) for x in texts], dtype="int64")
 
-    own = stage(df.select(F.col(doc_id).alias("doc_id"), hashed(F.coalesce(F.col(text), F.lit(""))).alias("node")), "simhash")
+    own = stage(df.select(named(doc_id).alias("doc_id"), hashed(F.coalesce(named(text), F.lit(""))).alias("node")), "simhash")
     code = F.unhex(F.lpad(F.hex("node"), 16, "0"))
     groups = stage(own.groupBy("node").agg(F.min("doc_id").alias("least")).select("node", "least", F.array("node").alias("words"), code.alias("code")), "groups")
-    return _named(own, groups, links(groups, bound, reach=bound)).select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
+    return _named(own, groups.select("node", "least"), links(groups, bound, reach=bound)).select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 #: Shingles that a task sorts at once, in the mean.
 BUCKET = 1 << 20
-#: Texts that a task compares at once; a cluster with more is dealt out in blocks of pairs.
+#: Texts that a task compares at once; a cluster with more is dealt out in blocks.
 CHUNK = 1 << 14
+#: Texts beyond which a shingle is hot: its rows never meet in one task. The HOT_SHINGLES hottest are treated so.
+HOT_TEXTS, HOT_SHINGLES = 1 << 18, 1 << 16
+#: Texts of a cluster beyond one block that are compared with all of it first.
+PIVOTS = 64
 
 
 def scattered(rows: np.ndarray, by: np.ndarray, buckets: int) -> pd.DataFrame:
@@ -315,41 +326,64 @@ def overlap(size: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Pairs of sets of at least that Jaccard similarity which join all that can be joined, at most len(sets) - 1 of them."""
+    """Pairs of sets of at least that Jaccard similarity which join all that can be joined, at most len(sets) - 1 of them.
+
+    A set that is reached is compared with those that aren't yet; the table of shingles shrinks with
+    them, so a dense group costs little more than one look at each of its sets.
+    """
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    edges, waiting = [], np.ones(len(sets), dtype=bool)
-    for root in range(len(sets)):
-        if not waiting[root]:
+
+    def table(here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        values, owner = np.concatenate([sets[i] for i in here]), np.repeat(np.arange(len(here)), sizes[here])
+        order = np.argsort(values, kind="stable")
+        return values[order], owner[order]
+
+    here = np.arange(len(sets))
+    values, owner = table(here)
+    waiting, left = np.ones(len(sets), dtype=bool), len(sets)
+    edges: list[tuple[int, int]] = []
+    front: list[int] = []
+    while left:
+        if not front:
+            root = int(waiting.argmax())
+            waiting[root], left = False, left - 1
+            front = [int(here[root])]
             continue
-        waiting[root], front = False, [root]
-        while front and waiting.any():
-            own = front.pop()
-            first, last = np.searchsorted(values, sets[own], "left"), np.searchsorted(values, sets[own], "right")
-            many = last - first
-            at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
-            common = np.bincount(owner[at], minlength=len(sets))
-            near = np.flatnonzero(waiting & (common >= similarity * (sizes + sizes[own] - common) - 1e-9)).tolist()
-            waiting[near] = False
-            front += near
-            edges += [(own, y) for y in near]
+        if 2 * left <= len(here):
+            here = here[waiting]
+            values, owner = table(here)
+            waiting = np.ones(left, dtype=bool)
+        own = front.pop()
+        first, last = np.searchsorted(values, sets[own], "left"), np.searchsorted(values, sets[own], "right")
+        many = last - first
+        at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+        common = np.bincount(owner[at], minlength=len(here))
+        near = np.flatnonzero(waiting & (common >= similarity * (sizes[here] + sizes[own] - common) - 1e-9))
+        waiting[near], left = False, left - len(near)
+        new = here[near].tolist()
+        front += new
+        edges += [(own, y) for y in new]
     return edges
 
 
-def near_sets(texts: DataFrame, width: int, similarity: float, bucket: int = BUCKET, chunk: int = CHUNK) -> DataFrame:
+def near_sets(texts: DataFrame, width: int, similarity: float, bucket: int = BUCKET, chunk: int = CHUNK, hot_texts: int = HOT_TEXTS) -> DataFrame:
     """(a, b): edges that connect all nodes whose sets of ``width`` words have a Jaccard similarity of at least ``similarity``.
 
-    texts has node (a long for each different set), size (of the set) and text; nodes may repeat.
-    No such pair is lost, at any size of the table. A set shares at least similarity * size of its
+    texts (staged) has one row for each different set: node (long), size (of the set) and text. No
+    such pair is lost, at any size of the table. A set shares at least similarity * size of its
     shingles with a near one, so (1) a text with fewer shingles that another text has too has none.
     Of those left, (2) each takes the rarest shingles, one more than it may have alone: two near sets
     have one of these in common. (3) Texts connected by such shingles form a cluster, in which the
     sets themselves are compared.
+
+    A shingle of more than about ``hot_texts`` texts, estimated from one text in SAMPLE, is known to be
+    shared and frequent, so its rows need not meet: they are dealt out by text, and connect to a text
+    of the sample that has it. A cluster of more than ``chunk`` texts is compared block by block, each
+    with PIVOTS texts of the whole cluster; then what isn't in its largest class meets every block.
+    That costs the square only of what is unlike its own cluster.
     """
-    total = texts.agg(F.sum("size")).first()[0] or 0
-    buckets = max(1, -(-total // bucket))
+    known = texts.agg(F.sum("size"), F.count("*")).first()
+    buckets = max(1, -(-(known[0] or 0) // bucket))
     brief = np.dtype([("key", "<u4"), ("node", "<u4")])
 
     def sets_of(part: pd.DataFrame) -> list[np.ndarray]:
@@ -363,18 +397,34 @@ def near_sets(texts: DataFrame, width: int, similarity: float, bucket: int = BUC
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
                 yield np.concatenate(sets), np.repeat(some["node"].to_numpy(dtype=np.int64).view(np.uint64), sizes), np.repeat(sizes, sizes)
 
+    def counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for key, node, _ in flat(parts):
+            there, first, n = np.unique(key, return_index=True, return_counts=True)
+            yield pd.DataFrame({"key": there.view(np.int64), "centre": node[first].view(np.int64), "n": n})
+
+    hot, centre = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if known[1] > hot_texts:
+        some = texts.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("node", "text")
+        found = some.mapInPandas(counts, "key long, centre long, n long").groupBy("key").agg(F.sum("n").alias("n"), F.min("centre").alias("centre"))
+        rows = sorted((r["key"] & 0xFFFFFFFFFFFFFFFF, r["centre"]) for r in found.filter((F.col("n") >= 2) & (F.col("n") * SAMPLE > hot_texts)).orderBy(F.desc("n")).limit(HOT_SHINGLES).collect())
+        hot, centre = np.array([k for k, _ in rows], dtype=np.uint64), np.array([c for _, c in rows], dtype=np.int64)
+    hot_heads = np.unique(hot >> np.uint64(32))
+
+    def among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+        return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values if len(table) else np.zeros(len(values), dtype=bool)
+
     def spread_brief(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, node, _ in flat(parts):
             rows = np.empty(len(key), dtype=brief)
             rows["key"], rows["node"] = key >> np.uint64(32), node & np.uint64(0xFFFFFFFF)
-            yield scattered(rows, key & np.uint64(0xFFFFFFFF), buckets)
+            yield scattered(rows, np.where(among(key, hot), node, key) & np.uint64(0xFFFFFFFF), buckets)
 
     def shared_by(rows: np.ndarray) -> pd.DataFrame:
         both = np.sort(rows["key"].astype(np.uint64) << np.uint64(32) | rows["node"])
         run, begins = run_numbers(both >> np.uint64(32))
         node = (both & np.uint64(0xFFFFFFFF)).astype("<u4")
         ends = np.append(begins[1:], len(both)) - 1
-        node = node[(node[begins] != node[ends])[run]]
+        node = node[((node[begins] != node[ends]) | among(both[begins] >> np.uint64(32), hot_heads))[run]]
         return scattered(node, node.astype(np.uint64), buckets)
 
     def counted(nodes: np.ndarray) -> pd.DataFrame:
@@ -385,7 +435,7 @@ def near_sets(texts: DataFrame, width: int, similarity: float, bucket: int = BUC
     first = gathered(texts.select("node", "text").mapInPandas(spread_brief, packed), brief, shared_by, packed)
     shared = stage(gathered(first, np.dtype("<u4"), counted, "brief long, shared long"), "shared")
     own = texts.withColumn("brief", F.col("node").bitwiseAND(F.lit(0xFFFFFFFF)))
-    left = stage(own.join(shared, "brief").filter(F.col("shared") >= F.ceil(similarity * F.col("size") - 1e-9)).select("node", "size", "text").dropDuplicates(["node"]), "left")
+    left = stage(own.join(small(shared), "brief").filter(F.col("shared") >= F.ceil(similarity * F.col("size") - 1e-9)).select("node", "size", "text"), "left")
 
     total = left.agg(F.sum("size")).first()[0] or 0
     fewer = max(1, -(-total // bucket))
@@ -396,12 +446,13 @@ def near_sets(texts: DataFrame, width: int, similarity: float, bucket: int = BUC
         for key, node, size in flat(parts):
             rows = np.empty(len(key), dtype=posting)
             rows["key"], rows["node"], rows["size"] = key, node, size
-            yield scattered(rows, key, fewer)
+            yield scattered(rows, np.where(among(key, hot), node, key), fewer)
 
     def with_frequency(rows: np.ndarray) -> pd.DataFrame:
         rows = rows[np.argsort(rows["key"])]
         run, begins = run_numbers(rows["key"])
-        n = np.diff(np.append(begins, len(rows)))[run]
+        n = np.diff(np.append(begins, len(rows)))
+        n = np.where(among(rows["key"][begins], hot), 255, n)[run]
         rows, n = rows[n > 1], n[n > 1]
         out = np.empty(len(rows), dtype=ranked)
         for c in posting.names:
@@ -419,24 +470,22 @@ def near_sets(texts: DataFrame, width: int, similarity: float, bucket: int = BUC
         out = np.empty(len(rows), dtype=posting)
         for c in posting.names:
             out[c] = rows[c]
-        return scattered(out, out["key"], fewer)
+        return scattered(out, np.where(among(out["key"], hot), out["node"], out["key"]), fewer)
 
     def stars(rows: np.ndarray) -> pd.DataFrame:
         rows = rows[np.lexsort((rows["node"], rows["key"]))]
         run, begins = run_numbers(rows["key"])
-        node = rows["node"].astype(np.int64)
-        out = pd.DataFrame({"a": node[begins][run], "b": node})
+        node, heads = rows["node"].astype(np.int64), rows["key"][begins]
+        middle, known = node[begins], among(heads, hot)
+        middle[known] = centre[np.searchsorted(hot, heads[known])]
+        out = pd.DataFrame({"a": middle[run], "b": node})
         return out[out["a"] != out["b"]].drop_duplicates()
 
     third = gathered(gathered(left.select("node", "text").mapInPandas(spread, packed), posting, with_frequency, packed), ranked, rarest, packed)
     clusters = stage(connected_components(gathered(third, posting, stars, "a long, b long")), "clusters")
-    deals = clusters.groupBy("component").agg(F.ceil(F.count("*") / chunk).alias("deals"))
-    hash_of = F.pmod(F.xxhash64("node"), F.col("deals"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1), lambda j: F.least(hash_of, j) * F.col("deals") + F.greatest(hash_of, j))
-    dealt = clusters.join(deals, "component").join(left.select("node", "text"), "node").select("component", F.explode(F.array_distinct(pairs)).alias("pair"), "node", "text")
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by = ["component", "pair"]
+        by = ["component", "task"]
         for rows in runs(parts, by):
             node, sets, out = rows["node"].to_numpy(dtype=np.int64), sets_of(rows), []
             begins = np.flatnonzero((rows[by] != rows[by].shift()).any(axis=1).to_numpy())
@@ -445,7 +494,37 @@ def near_sets(texts: DataFrame, width: int, similarity: float, bucket: int = BUC
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
 
-    return dealt.repartition("component", "pair").sortWithinPartitions("component", "pair").mapInPandas(compare, "a long, b long").distinct()
+    def compared(members: DataFrame) -> DataFrame:
+        """members: (component, task, node); what meets in a task is compared."""
+        dealt = members.join(left.select("node", "text"), "node").select("component", "task", "node", "text")
+        return dealt.repartition("component", "task").sortWithinPartitions("component", "task", "node").mapInPandas(compare, "a long, b long").distinct()
+
+    sizes = stage(clusters.groupBy("component").agg(F.ceil(F.count("*") / chunk).alias("deals")).filter("deals > 1"), "sizes")
+    zero, block = F.lit(0).cast("long"), lambda deals: F.pmod(F.xxhash64("node"), F.col(deals))
+    up_to = lambda deals: F.sequence(zero, F.col(deals) - 1)
+    if not sizes.head(1):
+        return compared(clusters.withColumn("task", zero))
+    in_one = clusters.join(small(sizes), "component", "left_anti").select("component", zero.alias("task"), "node")
+    in_many = stage(clusters.join(small(sizes), "component"), "many")
+    first_ones = in_many.withColumn("r", F.row_number().over(W.Window.partitionBy("component").orderBy(F.xxhash64("node", F.lit(2)), "node"))).filter(F.col("r") <= PIVOTS)
+    pivots = first_ones.select("component", F.explode(up_to("deals")).alias("task"), "node")
+    blocks = in_many.select("component", block("deals").alias("task"), "node")
+    edges = stage(compared(in_one.unionByName(blocks.unionByName(pivots).distinct())), "edges")
+
+    label = F.coalesce("label", "node").alias("label")
+    labelled = stage(in_many.join(connected_components(edges).withColumnRenamed("component", "label"), "node", "left").select("component", "node", label), "labelled")
+    most = labelled.groupBy("component", "label").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.sum("n").alias("all"), F.max("n").alias("n"))
+    most = stage(most.filter(F.col("all") > F.col("n")).select("component", "most", F.ceil(F.col("n") / chunk).alias("inner"), F.ceil((F.col("all") - F.col("n")) / chunk).alias("outer")), "most")
+    if not most.head(1):
+        return edges
+    placed = labelled.join(small(most), "component").withColumn("own", F.when(F.col("label") == F.col("most"), -1 - block("inner")).otherwise(block("outer")))
+    # a task is a block outside the largest class by any block: those below zero are the class's
+    meeting = lambda i, j: i * (F.col("inner") + F.col("outer")) + F.when(j < 0, -1 - j).otherwise(F.col("inner") + j)
+    own = F.col("own")
+    with_outer = F.transform(up_to("outer"), lambda j: F.when(own < 0, meeting(j, own)).otherwise(meeting(F.least(own, j), F.greatest(own, j))))
+    with_inner = F.when(own < 0, F.array().cast("array<long>")).otherwise(F.transform(up_to("inner"), lambda j: meeting(own, -1 - j)))
+    tasks = placed.select("component", F.explode(F.array_distinct(F.concat(with_outer, with_inner))).alias("task"), "node")
+    return edges.unionByName(stage(compared(tasks), "rest"))
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -453,31 +532,69 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(runs_of(shingle_hashes((text or "").encode("utf-8", "replace"), 1), width))
 
 
-def similar_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8, bucket: int = BUCKET, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, component_id) of each row: classes of texts connected by a Jaccard similarity of their sets of ``width`` words of at least ``similarity``.
+def _row_key(text, doc_id) -> tuple:
+    """What a row is known by: whether it lacks an id, the id, and 128 bits of its text. Rows equal in all of these are copies of each other."""
+    body = F.coalesce(text, F.lit(""))
+    return F.isnull(doc_id).alias("anonymous"), doc_id.alias("doc_id"), F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(1), body).alias("t2")
 
-    All such pairs count and no others (near_sets). Nulls, empty texts, repeated rows and other
-    columns as in ``classes``; bucket and chunk change the size of tasks only.
-    """
 
-    @F.pandas_udf("node long, size long")
+ROW_KEY = ("anonymous", "doc_id", "t1", "t2")
+
+
+def _similar(df: DataFrame, text: str, doc_id: str, width: int, similarity: float, bucket: int = BUCKET, chunk: int = CHUNK, hot_texts: int = HOT_TEXTS) -> DataFrame:
+    """ROW_KEY of each row, and ``least``: the smallest such key of its class."""
+
+    @F.pandas_udf("node long, other long, size long")
     def sketched(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(x, width) for x in texts]
-        return pd.DataFrame([(xxhash.xxh3_64_intdigest(s.tobytes()), len(s)) for s in sets], columns=["node", "size"]).astype({"node": "uint64"}).astype("int64")
+        return pd.DataFrame([(xxhash.xxh3_64_intdigest(b := s.tobytes()), xxhash.xxh3_64_intdigest(b, 1), len(s)) for s in sets], columns=["node", "other", "size"]).astype({"node": "uint64", "other": "uint64"}).astype("int64")
+
+    found = df.select(*_row_key(named(text), named(doc_id)), F.coalesce(named(text), F.lit("")).alias("text"))
+    own = stage(found.withColumn("s", sketched("text")).select(*ROW_KEY, "text", "s.node", "s.other", "s.size", F.monotonically_increasing_id().alias("row")), "sketches")
+    # different sets with one node, if there are any, get nodes of their own
+    twice = stage(own.groupBy("node").agg(F.min("other").alias("one"), F.max("other").alias("last")).filter("one <> last").select("node", "one"), "twice")
+    if twice.head(1):
+        apart = F.when(F.col("other") > F.col("one"), F.xxhash64("node", "other")).otherwise(F.col("node"))
+        own = stage(own.join(small(twice), "node", "left").withColumn("node", apart).drop("one"), "sketches")
+    groups = stage(own.groupBy("node").agg(F.min(F.struct(*ROW_KEY)).alias("least"), F.count("*").alias("n"), F.min("row").alias("chosen")), "groups")
+    # of copies one goes on
+    copies = stage(groups.filter("n > 1").select("node", "chosen"), "copies")
+    many = own.select("node", "size", "text", "row")
+    held = small(copies)
+    once = (many.join(held, "node", "left") if held is not copies else salted(many, copies, ["node"], "left")).filter("chosen is null or chosen = row").select("node", "size", "text")
+    edges = near_sets(stage(once, "texts") if held is copies else once, width, similarity, bucket, chunk, hot_texts)
+    return _named(own.select(*ROW_KEY, "node"), groups.select("node", "least"), edges).select(*ROW_KEY, "least")
+
+
+def similar_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8, bucket: int = BUCKET, chunk: int = CHUNK, hot_texts: int = HOT_TEXTS) -> DataFrame:
+    """(doc_id, component_id) of each row: classes of texts connected by a Jaccard similarity of their sets of ``width`` words of at least ``similarity``.
 
-    found = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = stage(found.withColumn("s", sketched("text")).select("doc_id", "text", "s.node", "s.size"), "sketches")
-    groups = stage(own.groupBy("node").agg(F.min("doc_id").alias("least")), "groups")
-    return _named(own.select("doc_id", "node"), groups, near_sets(own.select("node", "size", "text"), width, similarity, bucket, chunk)).select("doc_id", "component_id")
+    All such pairs count and no others (near_sets). Nulls, empty texts, repeated rows and other
+    columns as in ``classes``; bucket, chunk and hot_texts change the size of tasks only.
+    """
+    return _similar(df, text, doc_id, width, similarity, bucket, chunk, hot_texts).select("doc_id", F.col("least.doc_id").alias("component_id"))
 
 
 def representatives(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of df that similar_classes lets stay: of each class the row with the smallest doc_id, of repeated rows of that id one."""
-    named = stage(similar_classes(df, text, doc_id, width, similarity), "classes")
-    gone = named.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = df.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
-    twice = stage(named.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_twice")), "repeated")
-    if not twice.head(1):
-        return kept
-    same = F.col(doc_id).eqNullSafe(F.col("_twice"))
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([doc_id]))
+    """The rows of df that stay: one of each class of similar_classes, that with the smallest doc_id (null last), then the smallest hash of its text.
+
+    Rows are known by their id and text, so ids that are null or repeat cost no other row: rows of one
+    id stay if their texts are in different classes. Of rows that repeat id and text one stays. A null
+    text counts as empty. Columns of df stay as they are, whatever their names; an empty table gives
+    no rows.
+    """
+    known = stage(_similar(df, text, doc_id, width, similarity), "classes")
+    key = F.struct(*ROW_KEY)
+    gone = stage(known.filter(key != F.col("least")).select(*ROW_KEY).distinct(), "gone")
+    again = stage(known.filter(key == F.col("least")).groupBy(*ROW_KEY).agg(F.count("*").alias("n")).filter("n > 1").select(*ROW_KEY), "again")
+    rows = df.select(F.struct(*(named(c).alias(c) for c in df.columns)).alias("row"), *_row_key(named(text), named(doc_id)))
+
+    def among(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        other = keys.select(*(F.col(c).alias(f"other_{c}") for c in ROW_KEY))
+        same = (F.col("t1") == F.col("other_t1")) & (F.col("t2") == F.col("other_t2")) & F.col("doc_id").eqNullSafe(F.col("other_doc_id"))
+        return rows.join(small(other), same, how)
+
+    kept = among(rows, gone, "left_anti")
+    if again.head(1):
+        kept = among(kept, again, "left_anti").unionByName(among(kept, again, "left_semi").dropDuplicates([*ROW_KEY]))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in df.columns))

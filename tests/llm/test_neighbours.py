@@ -132,7 +132,38 @@ def test_similar_classes_lose_no_edited_passage(spark):
 
 def test_similar_classes_are_the_same_however_work_is_dealt(spark):
     rows = passages(0.8, 0.85)
-    assert named(spark, rows, bucket=2000, chunk=1) == {i: i - i % 2 for i in range(120)}
+    assert named(spark, rows, bucket=2000, chunk=1, hot_texts=10) == {i: i - i % 2 for i in range(120)}
+
+
+def crowd():
+    """Near copies of one text, a chain of texts of which only neighbours are alike, copies, and texts that share a long passage with the first ones and no more."""
+    rnd = np.random.default_rng(8)
+    text = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join([*text, f"x{k}", f"y{k}"])) for k in range(150)]
+    chain = [f"c{k}" for k in range(200)]
+    rows += [(200 + k, " ".join(chain[4 * k : 4 * k + 60])) for k in range(20)]
+    rows += [(300 + k, " ".join(text[:60] + [f"z{i}" for i in rnd.integers(0, 400, 40)])) for k in range(30)]
+    return rows + [(400 + k, " ".join(text)) for k in range(20)]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"bucket": 3000, "chunk": 16}, {"bucket": 3000, "chunk": 7, "hot_texts": 60}])
+def test_similar_classes_of_a_crowd(spark, sizes):
+    rows = crowd()
+    texts = dict(rows)
+    assert named(spark, rows, **sizes) == components(list(texts), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+
+
+def test_representatives_go_by_row_and_not_by_id(spark):
+    a, b, c = "the first text has some words that no other has at all", "here is a second one unlike it in each of its words", "something else entirely stands written in this last example"
+    for rows, stay in (
+        ([(7, a), (7, b)], [(7, a), (7, b)]),
+        ([(5, a), (7, a), (7, b), (None, a), (None, c)], [(5, a), (7, b), (None, c)]),
+        ([(1, a), (1, a), (None, b), (None, b), (None, a)], [(1, a), (None, b)]),
+        ([(3, None), (3, ""), (4, "  ")], [(3, None)]),
+    ):
+        found = [tuple(r) for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+        found = [(i, t or None) for i, t in found]
+        assert sorted(found, key=repr) == sorted(stay, key=repr)
 
 
 def test_similar_classes_keep_what_is_less_alike(spark):
