@@ -147,9 +147,9 @@ FROM found
 """
 
 OP10_SQL = """
-WITH vectors AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score FROM vectors q JOIN vectors c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
-ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored)
+WITH vectors AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+scored AS (SELECT q.vec_id AS query_id, q.v, c.vec_id, list_inner_product(q.v, c.v) AS score FROM vectors q JOIN vectors c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scored)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 

@@ -174,21 +174,18 @@ def test_similar_classes_keep_what_is_less_alike(spark):
 
 
 def brute(rows, k, asked):
-    usable = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            usable[i] = min(usable.get(i, v), v)
+    usable = {(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     out = []
-    for q in usable:
+    for q, own in usable:
         if asked(q):
-            scored = sorted((-float((np.array(usable[q], float) * np.array(v, float)).sum()), i) for i, v in usable.items() if i != q and len(v) == len(usable[q]))
+            scored = sorted((-float((np.array(own, float) * np.array(v, float)).sum()), i) for i, v in usable if i != q and len(v) == len(own))
             out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:k], 1)]
     return out
 
 
 def test_neighbours_of_awkward_vectors(spark):
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (20, [2.0, 1.0]), (20, [2.0, 1.0]), (40, [1.0, 2.0, 3.0]), (9, [3.0, 2.0, 1.0]), (None, [1.0, 1.0]), (60, [1.0])]
-    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, score int, rank string").repartition(3)
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [float("nan"), 1.0]), (8, [float("inf"), 1.0]), (20, [2.0, 1.0]), (20, [2.0, 1.0]), (20, [1.0, 7.0]), (2, [3.0, 0.5]), (40, [1.0, 2.0, 3.0]), (9, [3.0, 2.0, 1.0]), (None, [1.0, 1.0]), (60, [1.0])]
+    df = spark.createDataFrame([(i, v, 1, "x", 2, 3) for i, v in rows], "vec_id long, embedding array<float>, score int, rank string, id int, asks int").repartition(3)
     found = ann.search(df, F.col("vec_id") % 20 == 0, k=3)
     assert sorted(tuple(r) for r in found.collect()) == sorted(brute(rows, 3, lambda q: q % 20 == 0))
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
@@ -198,24 +195,29 @@ def test_neighbours_recall(spark):
     df = spark.read.parquet(f"{SMALL}/embeddings.parquet")
     rows = [(r["vec_id"], list(r["embedding"])) for r in df.collect()]
     expected = brute(rows, 20, lambda q: q % 20 == 0)
-    for blocks in ((8192, 2048), (60, 7)):
-        found = [tuple(r) for r in ann.search(df, F.col("vec_id") % 20 == 0, data_block=blocks[0], query_block=blocks[1]).collect()]
+    for blocks in ({}, {"data_block": 60, "query_group": 7}):
+        found = [tuple(r) for r in ann.search(df, F.col("vec_id") % 20 == 0, **blocks).collect()]
         assert len(found) == len(expected)
         truth = {(q, i): s for q, _, i, s in expected}
         hit = [(q, i) for q, _, i, _ in found if (q, i) in truth]
         assert len(hit) >= 0.95 * len(truth) and all(s == pytest.approx(truth[q, i], abs=1e-12) for q, _, i, s in found if (q, i) in truth)
 
 
-def test_many_vectors_need_few_exact_products():
-    rnd = np.random.default_rng(0)
-    vectors = rnd.standard_normal((4000, 64))
-    bits, factor, error = ann.encode(vectors)
-    ids = np.arange(4000)
-    found = list(ann.best(ids, vectors, bits, factor, error, ids[:30], vectors[:30], 10))
-    scores = vectors[:30] @ vectors.T
-    np.fill_diagonal(scores, -np.inf)
-    truth = {(q, int(i)) for q in range(30) for i in np.argsort(-scores[q])[:10]}
-    assert len(truth & {(q, i) for q, i, _ in found}) >= 0.97 * len(truth)
+@pytest.mark.parametrize("vectors, share", [("random", 0.05), ("table", 0.10)])
+def test_codes_leave_few_exact_products(vectors, share):
+    if vectors == "table":
+        table = pd.read_parquet(SMALL.replace("0.001", "0.1") + "/embeddings.parquet")
+        data = np.stack(table["embedding"]).astype(float)
+    else:
+        data = np.random.default_rng(0).standard_normal((8000, 64))
+    ids, asked = np.arange(len(data)), np.arange(0, len(data), 20)
+    block = ann.Block(ids, data, *ann.encode(data))
+    found = list(block.best(ids[asked], data[asked], 20))
+    scores = data[asked] @ data.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    truth = {(q, int(i)) for q in range(len(asked)) for i in np.argsort(-scores[q])[:20]}
+    assert len(truth & {(q, i) for q, i, _ in found}) >= 0.99 * len(truth)
+    assert block.pairs == len(asked) * len(data) and block.computed <= share * block.pairs
 
 
 # the pipeline
