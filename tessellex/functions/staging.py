@@ -76,20 +76,25 @@ def held_bytes(df: DataFrame) -> int:
     return int(df.agg(F.sum(width.cast("long"))).first()[0] or 0)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A staged df with a broadcast hint if its measured bytes are within ``limit``, else without."""
-    return F.broadcast(df) if held_bytes(df) <= limit else df
+def small(df: DataFrame) -> DataFrame:
+    """A staged df with a broadcast hint if its measured bytes are within BROADCAST_BYTES; else df itself."""
+    return F.broadcast(df) if held_bytes(df) <= BROADCAST_BYTES else df
 
 
-def salted(many: DataFrame, once: DataFrame, on: list[str], how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """many joined with once (staged, one row a key) on columns without nulls; a key with over ``hot_rows`` rows in many is dealt into several tasks.
+def salted(many: DataFrame, once: DataFrame, on: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """many joined with once (one row a key) on columns without nulls; a key with over HOT_ROWS rows in many is dealt into several tasks.
 
-    The keys are counted only if many has more rows than that, and so at most its rows / hot_rows of them are hot; those, a
-    number with each, are broadcast.
+    counts has the keys and how many rows of many each has, as ``many``; without it they are counted,
+    if many (then staged) has more rows than that at all. At most its rows / HOT_ROWS keys are hot;
+    those, a number with each, are broadcast.
     """
-    if many.count() <= hot_rows:
+    if counts is None:
+        if many.count() <= HOT_ROWS:
+            return many.join(once, on, how)
+        counts = many.groupBy(*on).agg(F.count("*").alias("many"))
+    hot = stage(counts.filter(F.col("many") > HOT_ROWS).select(*on, F.ceil(F.col("many") / HOT_ROWS).cast("int").alias("_deals")), "hot")
+    if not hot.head(1):
         return many.join(once, on, how)
-    hot = stage(many.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_deals")), "hot")
     deals = F.coalesce("_deals", F.lit(1))
     left = many.join(F.broadcast(hot), on, "left").withColumn("_deal", F.pmod(F.xxhash64(*many.columns), deals).cast("int")).drop("_deals")
     right = once.join(F.broadcast(hot), on, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("_deals")
