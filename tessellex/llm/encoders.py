@@ -23,6 +23,8 @@ SINGLE_BLANK_PATTERN = BYTE_LEVEL_PATTERN.replace(r"\s+(?!\S)|", "")
 TWO_BLANKS = re.compile(r"\s\s")
 #: Between a non-blank and a single space that precedes a non-blank, every pattern above ends a token.
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: The same where the mark \u2581 stands for a space too.
+SAFE_CUT_OF_MARKED = re.compile("(?<=[^\\s\u2581]) (?=[^\\s\u2581])")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -44,7 +46,7 @@ def compiled(spec: dict):
         and not pre.get("add_prefix_space")
         and pre.get("use_regex", True)
         and not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
-        and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec.get("added_tokens", []))
+        and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"]) for t in spec.get("added_tokens", []))
     )
     if not plain:
         return None
@@ -58,8 +60,8 @@ def compiled(spec: dict):
     return tuple(tiktoken.Encoding("compiled", pat_str=p, mergeable_ranks=ranks, special_tokens=added) for p in (BYTE_LEVEL_PATTERN, SINGLE_BLANK_PATTERN))
 
 
-def safe_pieces(text: str, limit: int) -> list[str]:
-    """text cut into pieces of about ``limit`` characters, only where no token can cross.
+def safe_pieces(text: str, limit: int, safe: re.Pattern = SAFE_CUT) -> list[str]:
+    """text cut into pieces of about ``limit`` characters, only where no token can cross: before a single space between non-blanks.
 
     A stretch without such a place stays whole, however long it is.
     """
@@ -67,7 +69,7 @@ def safe_pieces(text: str, limit: int) -> list[str]:
         return [text]
     out, begin = [], 0
     while len(text) - begin > limit:
-        cut = SAFE_CUT.search(text, begin + limit)
+        cut = safe.search(text, begin + limit)
         if not cut:
             break
         out.append(text[begin : cut.start()])
@@ -82,7 +84,6 @@ class JsonEncoder:
         self.path = path
         with open(path, encoding="utf-8") as f:
             self.fast = compiled(json.load(f))
-        self.splits = self.fast is not None
 
     @cached_property
     def library(self):
@@ -104,25 +105,53 @@ class JsonEncoder:
                 pass
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        return [self.encode(x) for x in texts]
+    def count_batch(self, texts: list[str]) -> list[int]:
+        """The number of ids of each text, by the library's batch call."""
+        if self.fast is None:
+            return [len(x.ids) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        out = [0] * len(texts)
+        for kind in (False, True):  # with two blanks in a row somewhere, and without
+            at = [k for k, x in enumerate(texts) if (TWO_BLANKS.search(x) is None) == kind]
+            try:
+                found = [len(ids) for ids in self.fast[kind].encode_batch([texts[k] for k in at], num_threads=1, allowed_special="all")]
+            except ValueError:  # see encode
+                found = [len(self.encode(texts[k])) for k in at]
+            for k, n in zip(at, found):
+                out[k] = n
+        return out
+
+    def pieces(self, text: str, limit: int) -> list[str]:
+        return safe_pieces(text, limit) if self.fast is not None else [text]
 
 
 class ModelEncoder:
     """Ids as ``sentencepiece`` gives them, without begin and end."""
 
-    splits = False
-
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
+        from sentencepiece import sentencepiece_model_pb2 as pb
 
         self.library = SentencePieceProcessor(model_file=path)
+        spec = pb.ModelProto()
+        with open(path, "rb") as f:
+            spec.ParseFromString(f.read())
+        norm = spec.normalizer_spec
+        whole = any(p.type == 4 or re.search("[^\u2581]\u2581", p.piece) for p in spec.pieces)
+        #: Words stand apart: each begins with its own mark, no piece reaches from one into the next, and nothing is normalized.
+        self.by_word = not (norm.precompiled_charsmap or not norm.add_dummy_prefix or spec.trainer_spec.treat_whitespace_as_suffix or whole)
 
     def encode(self, text: str) -> np.ndarray:
         return np.asarray(self.library.encode(text), dtype=np.uint32)
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(x, dtype=np.uint32) for x in self.library.encode(texts, num_threads=1)]
+    def count_batch(self, texts: list[str]) -> list[int]:
+        return [len(x) for x in self.library.encode(texts, num_threads=1)]
+
+    def pieces(self, text: str, limit: int) -> list[str]:
+        """Cut at single spaces, which go: the mark that each piece gets at its beginning stands for the one before it."""
+        if not self.by_word:
+            return [text]
+        first, *rest = safe_pieces(text, limit, SAFE_CUT_OF_MARKED)
+        return [first, *(x[1:] for x in rest)]
 
 
 @lru_cache(maxsize=4)

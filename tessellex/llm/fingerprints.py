@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import apart, named, together
+
 #: Buckets of a digest. Two bits say in which quartile of the counts a bucket lies.
 BUCKETS = 256
 #: Odd multipliers of the triplet hash, by place in the triplet, and the six triplets of a five-byte window that hold its first byte.
@@ -77,13 +79,14 @@ def likeness(a: str, b: str) -> float:
 
 
 def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """df with the fingerprint of each whole text; a null text counts as empty. A column of that name is replaced."""
+    """df with the fingerprint of each whole text; a null text counts as empty. A column of that name, in any case of letters, is replaced."""
 
     @F.pandas_udf("string")
     def digests(texts: pd.Series) -> pd.Series:
         return pd.Series([digest(x or "") for x in texts])
 
-    return df.withColumn(out, digests(F.coalesce(F.col(text), F.lit(""))))
+    held = apart(df, out, text=F.coalesce(named(text), F.lit(""))).withColumn("digest", digests("text"))
+    return together(held, **{out: F.col("digest")})
 
 
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -118,7 +121,7 @@ def against_edits(df: DataFrame, text: str = "text", doc_id: str = "doc_id", par
     task walks its range in order and holds one row besides an Arrow batch.
     """
     spark = df.sparkSession
-    source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    source = df.select(named(doc_id).cast("long").alias("doc_id"), F.coalesce(named(text), F.lit("")).alias("text"))
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = source.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else []
     ids = F.col("doc_id")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from .columns import apart, named, together
+
 #: What a document without any letter, or a model without languages, gives.
 UNDETERMINED = "und"
 
@@ -85,6 +87,10 @@ class Profiles:
         return self.languages[best], float(1 - moved[best] / (self.size * len(own)))
 
 
+#: Parts in which n-grams of a language are ranked before their best are.
+PARTS = 16
+
+
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", size: int = 400, rows_per_language: int = 1000) -> Profiles:
     """Profiles of the ``size`` most frequent n-grams of each language.
 
@@ -92,15 +98,18 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", size: int = 400,
     language: those of the smallest hash of the text, so that copies count once. Rows whose text or
     language is null are left out. The driver gets languages x size codes. An empty table gives
     profiles without languages, which find no language for any text.
+
+    Hashes are spread evenly, so a bound on them, from the estimated number of a language's different
+    texts, lets through hardly more than are needed (below it rather too many: 1.3 times, and 100);
+    only these meet to be ranked. In the rare case that fewer are let through, so many are learned from.
     """
-    labelled = df.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
-    hashed = labelled.select("lang", F.xxhash64("text").alias("h"))
-    # copies share a hash, so they are merged before the smallest hashes of each language are ranked, at first among those of its 64 remainders
-    chosen = hashed.groupBy("lang", "h").agg(F.count("*").alias("n"))
-    for part in (["lang", F.pmod("h", F.lit(64))], ["lang"]):
-        smallest = F.row_number().over(W.Window.partitionBy(*part).orderBy("h"))
-        chosen = chosen.withColumn("r", smallest).filter(F.col("r") <= rows_per_language).select("lang", "h")
-    sample = labelled.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first("text").alias("text"))
+    labelled = df.select(named(lang).alias("lang"), named(text).alias("text")).filter("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    share = (1.3 * rows_per_language + 100) / F.approx_count_distinct("h", 0.02)
+    cuts = labelled.groupBy("lang").agg(F.when(share < 1, -(2.0**63) + share * 2.0**64).otherwise(2.0**63).alias("cut"))
+    below = labelled.join(F.broadcast(cuts), "lang").filter(F.col("h").cast("double") <= F.col("cut"))  # a row for each language
+    texts = below.groupBy("lang", "h").agg(F.first("text").alias("text"))
+    smallest = F.row_number().over(W.Window.partitionBy("lang").orderBy("h"))
+    sample = texts.withColumn("r", smallest).filter(F.col("r") <= rows_per_language).drop("r")
 
     def counts(parts):
         for part in parts:
@@ -110,9 +119,11 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", size: int = 400,
                 total = np.bincount(at, weights=np.concatenate([n for _, n in found])) if len(codes) else []
                 yield pd.DataFrame({"lang": name, "code": codes, "n": np.asarray(total, dtype=np.int64)})
 
-    best = W.Window.partitionBy("lang").orderBy(F.desc("n"), "code")
-    totals = sample.select("lang", "text").mapInPandas(counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    rows = totals.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= size).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("r", "code"))).alias("codes")).collect()
+    best = sample.select("lang", "text").mapInPandas(counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    for by in (["lang", F.pmod(F.xxhash64("code"), F.lit(PARTS))], ["lang"]):
+        frequent = F.row_number().over(W.Window.partitionBy(*by).orderBy(F.desc("n"), "code"))
+        best = best.withColumn("r", frequent).filter(F.col("r") <= size)
+    rows = best.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("r", "code"))).alias("codes")).collect()
     return Profiles.of({r["lang"]: [c["code"] for c in r["codes"]] for r in rows}, size)
 
 
@@ -120,7 +131,7 @@ def predict(df: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     """df with lang_pred and score (0 to 1) from each whole text alone.
 
     A null text, and one without a letter, gives ``und`` and 0.0. Columns of df named like the two
-    results are replaced by them; rows repeat as they do in df.
+    results, in any case of letters, are replaced by them; all others stay. Rows repeat as they do in df.
     """
     found = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -128,5 +139,5 @@ def predict(df: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     def judge(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([profiles.predict(x) for x in texts], columns=["lang_pred", "score"])
 
-    kept = [c for c in df.columns if c.lower() not in ("lang_pred", "score")]
-    return df.withColumn("_judged", judge(F.col(text))).select(*(F.col(f"`{c}`") for c in kept), F.col("_judged.lang_pred").alias("lang_pred"), F.col("_judged.score").alias("score"))
+    held = apart(df, "lang_pred", "score", text=named(text)).withColumn("judged", judge("text"))
+    return together(held, lang_pred=F.col("judged.lang_pred"), score=F.col("judged.score"))

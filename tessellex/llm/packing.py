@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.staging import stage
 from . import encoders
+from .columns import named
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Sequence ids hold the partition above this bit; those of merged leftovers begin at LEFTOVER partitions.
@@ -150,7 +151,7 @@ def pack(df: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "
         yield _frame([(*r, None) for r in full + packer.closed(held)]).drop(columns="ids")
 
     # ids go to Python as text: Arrow's nulls would make them floats
-    source = df.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.col(text).alias("text"))
+    source = df.select(named(doc_id).cast("long").cast("string").alias("doc_id"), named(text).alias("text"))
     placed = stage(source.mapInPandas(first, PIECE + ", ids binary"), "pieces")
     open_ = placed.filter(F.col("ids").isNotNull())
     windows = open_.agg(F.count_distinct("sequence_id")).first()[0]

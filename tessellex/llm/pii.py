@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import apart, named, together
+
 #: A noncharacter that stands for a dot or a separator inside a run; one already in the text counts as OTHER.
 MARK, OTHER = "\uffff", "\ufffd"
 BASE_KINDS, ADDED_KINDS = ("email", "ip", "card", "phone"), ("iban", "ssn")
@@ -28,6 +30,15 @@ CONTEXT = 40
 #: A kind's score before and with a context word. Base spans stay whatever their score; added ones need ACCEPTED.
 SCORES = {"email": (0.9, 1.0), "ip": (0.7, 0.9), "card": (0.8, 1.0), "phone": (0.7, 0.9), "iban": (0.8, 1.0), "ssn": (0.4, 0.8)}
 ACCEPTED = 0.6
+#: The number of characters of an IBAN by country.
+IBAN_LENGTHS = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24, DE=22, DK=18, DO=28, EE=20, EG=29,
+    ES=24, FI=18, FO=18, FR=27, GB=22, GE=22, GI=23, GL=18, GR=27, GT=28, HR=21, HU=28, IE=22, IL=23, IQ=23, IS=26, IT=27, JO=30, KW=30, KZ=20,
+    LB=28, LC=32, LI=21, LT=20, LU=20, LV=21, LY=25, MC=27, MD=24, ME=22, MK=19, MR=27, MT=31, MU=30, NL=18, NO=15, PK=24, PL=28, PS=29, PT=25,
+    QA=29, RO=24, RS=22, SA=24, SC=31, SD=18, SE=24, SI=19, SK=24, SM=27, ST=25, SV=28, TL=23, TN=24, TR=26, UA=29, VA=22, VG=24, XK=20,
+)
+#: Characters that the longest IBAN takes with a blank behind each.
+IBAN_REACH = 2 * max(IBAN_LENGTHS.values())
 
 
 def luhn(digits: Column) -> Column:
@@ -104,11 +115,12 @@ RULES: dict[str, tuple[Callable, Callable, str, Callable]] = {
         r"\+[0-9][\x20().0-9-]+[0-9]",
         lambda v: F.length(_digits(v)).between(9, 15),
     ),
+    # the beginning of one; iban_at has the rest
     "iban": (
         lambda t: t.rlike("[A-Z]{2}[0-9]{2}"),
         lambda t: t,
-        r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
-        mod97,
+        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}",
+        lambda v: mod97(F.replace(v, F.lit(" "), F.lit(""))),
     ),
     "ssn": (
         lambda t: t.rlike("[0-9]-[0-9]"),
@@ -119,6 +131,17 @@ RULES: dict[str, tuple[Callable, Callable, str, Callable]] = {
 }
 
 
+def iban_at(text: Column, m: Column) -> Column:
+    """The span from a beginning over as many capitals and digits as its country has, single blanks between them; null if there are fewer, or a letter or digit follows."""
+    tail = F.substring(text, m.start + 1, F.lit(IBAN_REACH))
+    run = F.regexp_extract(tail, rf"^[A-Z0-9](?:\x20?[A-Z0-9]){{0,{IBAN_REACH // 2 - 1}}}", 0)
+    length = F.element_at(F.create_map(*(F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair)), F.substring(m.value, 1, 2))
+    ends = F.filter(F.sequence(F.lit(1), F.length(run)), lambda e: F.length(F.replace(F.substring(run, F.lit(1), e), F.lit(" "), F.lit(""))) == length)
+    end = F.get(ends, F.lit(0))
+    alone = ~F.substring(tail, end + 1, F.lit(1)).rlike("[A-Za-z0-9]")
+    return F.when(end.isNotNull() & alone, F.struct(m.start.alias("start"), (m.start + end).alias("end"), F.substring(run, F.lit(1), end).alias("value")))
+
+
 def _kind(text: Column, kind: str) -> Column:
     possible, over, pattern, confirmed = RULES[kind]
     plain, near = SCORES[kind]
@@ -132,7 +155,10 @@ def _kind(text: Column, kind: str) -> Column:
         value = F.substring(text, m.start + 1, m.end - m.start)
         return F.struct(F.lit(kind).alias("kind"), m.start.alias("start"), m.end.alias("end"), value.alias("value"), F.when(told, near).otherwise(plain).alias("score"))
 
-    found = F.transform(F.filter(placed(over(text), pattern), lambda m: confirmed(m.value)), scored)
+    matches = placed(over(text), pattern)
+    if kind == "iban":
+        matches = F.filter(F.transform(matches, lambda m: iban_at(text, m)), lambda m: m.isNotNull())
+    found = F.transform(F.filter(matches, lambda m: confirmed(m.value)), scored)
     return F.when(possible(text), found).otherwise(F.array().cast(SPANS))
 
 
@@ -144,17 +170,16 @@ def find(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
 
     email, ip, card and phone are the leftmost matches of their patterns that don't overlap and pass
     their check (parts up to 255, Luhn on 13 to 19 digits, 9 to 15 digits); a match that fails is
-    dropped and not tried again from its inside. They stay whatever their score. iban passes mod-97;
-    ssn needs a context word. Kinds are independent, so spans of two kinds may overlap. A null or
-    empty text has no spans. A column of df named like ``out`` is replaced; rows repeat as in df.
+    dropped and not tried again from its inside. They stay whatever their score. iban has its
+    country's length, in one run or with single blanks, and passes mod-97; ssn needs a context word. Kinds are independent, so spans of two kinds may overlap. A null or
+    empty text has no spans. A column of df named like ``out``, in any case of
+    letters, is replaced; all others stay. Rows repeat as in df.
     """
-    t = F.translate(F.coalesce(F.col(text), F.lit("")), MARK, OTHER)
-    held = df.withColumn("_t", t)
+    held = apart(df, out, t=F.translate(F.coalesce(named(text), F.lit("")), MARK, OTHER))
     for kind in RULES:
-        held = held.withColumn(f"_{kind}", _kind(F.col("_t"), kind))
-    added = [F.filter(F.col(f"_{k}"), lambda s: s.score >= ACCEPTED) for k in ADDED_KINDS]
-    spans = F.concat(*(F.col(f"_{k}") for k in BASE_KINDS), *added)
-    return held.withColumn(out, spans).drop("_t", *(f"_{k}" for k in RULES))
+        held = held.withColumn(kind, _kind(F.col("t"), kind))
+    added = [F.filter(F.col(k), lambda s: s.score >= ACCEPTED) for k in ADDED_KINDS]
+    return together(held, **{out: F.concat(*BASE_KINDS, *added)})
 
 
 def redacted(text: Column, spans: Column) -> Column:

@@ -120,22 +120,30 @@ SELECT doc_id, count(*) AS lines_total, count(*) FILTER (gone) AS lines_dropped,
 """
 
 
+_STARTS = "list_transform(range(len(m)), lambda i: coalesce(list_sum(list_transform(g[:i + 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[:i], lambda x: length(x))), 0))"
+
+
 def _kind_sql(kind: str, pattern: str, check: str) -> str:
     """A list of (kind, start, end) for a pattern's matches that pass a check on v (the match) and d (its digits)."""
-    starts = "list_transform(range(len(m)), lambda i: coalesce(list_sum(list_transform(g[:i + 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[:i], lambda x: length(x))), 0))"
-    return f"""(SELECT list_transform(list_filter(list_zip(m, {starts}), lambda z: {check.replace("$v", "z[1]").replace("$s", "z[2]")}), lambda z: '{kind}:' || z[2]::BIGINT || ':' || (z[2] + length(z[1]))::BIGINT)
+    return f"""(SELECT list_transform(list_filter(list_zip(m, {_STARTS}), lambda z: {check.replace("$v", "z[1]").replace("$s", "z[2]")}), lambda z: '{kind}:' || z[2]::BIGINT || ':' || (z[2] + length(z[1]))::BIGINT)
       FROM (SELECT regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g))"""
 
 
 _DIGITS = "regexp_replace($v, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(length({_DIGITS})), lambda i: CASE WHEN i % 2 = 0 THEN reverse({_DIGITS})[i + 1]::INT WHEN reverse({_DIGITS})[i + 1]::INT > 4 THEN 2 * reverse({_DIGITS})[i + 1]::INT - 9 ELSE 2 * reverse({_DIGITS})[i + 1]::INT END)) % 10 = 0"
-_MOD97 = "list_reduce(list_prepend(0, list_transform(string_split($v[5:] || $v[:4], ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE c::INT END)), lambda a, x: (CASE WHEN x >= 10 THEN a * 100 + x ELSE a * 10 + x END) % 97) = 1"
+_MOD97 = "list_reduce(list_prepend(0, list_transform(string_split($v[5:] || $v[:4], ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE coalesce(try_cast(c AS INT), 0) END)), lambda a, x: (CASE WHEN x >= 10 THEN a * 100 + x ELSE a * 10 + x END) % 97) = 1"
+_RUN = f"regexp_extract(substr(t, z[2]::BIGINT + 1, {pii.IBAN_REACH}), '^[A-Z0-9](?: ?[A-Z0-9]){{0,{pii.IBAN_REACH // 2 - 1}}}')"
+_IBAN_LENGTH = "MAP {" + ", ".join(f"'{c}': {n}" for c, n in pii.IBAN_LENGTHS.items()) + "}[z[1][:2]]"
 _KINDS_SQL = {
     "email": _kind_sql("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
     "ip": _kind_sql("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_max(list_transform(string_split($v, '.'), lambda x: x::HUGEINT)) <= 255"),
     "card": _kind_sql("card", r"[0-9](?:[ -]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}"),
     "phone": _kind_sql("phone", r"\+[0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
-    "iban": _kind_sql("iban", "[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", _MOD97),
+    "iban": f"""(SELECT list_transform(list_filter(list_transform(list_filter(list_zip(m, {_STARTS}), lambda z: NOT regexp_matches(substr(t, z[2]::BIGINT, 1), '[A-Za-z0-9]')),
+        lambda z: [z[2]::BIGINT, coalesce(list_filter(range(1, {pii.IBAN_REACH}), lambda e: e <= length({_RUN}) AND length(replace(({_RUN})[:e], ' ', '')) = {_IBAN_LENGTH})[1], 0)]),
+        lambda p: p[2] > 0 AND NOT regexp_matches(substr(t, p[1] + p[2] + 1, 1), '[A-Za-z0-9]') AND {_MOD97.replace("$v", "replace(substr(t, p[1] + 1, p[2]), ' ', '')")}),
+        lambda p: 'iban:' || p[1] || ':' || (p[1] + p[2]))
+      FROM (SELECT regexp_extract_all(t, '[A-Z]{{2}}[0-9]{{2}}') AS m, string_split_regex(t, '[A-Z]{{2}}[0-9]{{2}}') AS g))""",
     "ssn": _kind_sql("ssn", "[0-9]{3}-[0-9]{2}-[0-9]{4}", "NOT regexp_matches($v, '^(000|666|9)|-00-|-0000$') AND (contains(lower(t[greatest($s - 39, 1):$s::BIGINT]), 'ssn') OR contains(lower(t[greatest($s - 39, 1):$s::BIGINT]), 'social security'))"),
 }
 OP8_SQL = f"""

@@ -1,10 +1,16 @@
-"""Encoding and decoding with a SentencePiece BPE file, by a forward pass over a trie of distinct marked words.
+"""Encoding and decoding with a SentencePiece file, by a forward pass over a trie of distinct marked words.
 
-For a vocabulary whose pieces are merged by rank, the best segmentation of a prefix follows from its
+For a unigram file the walk is Viterbi's: a prefix has the largest score sum of its segmentations and
+the last piece of that one, and words that share a prefix share both.
+
+For a BPE file, whose pieces are merged by rank, the best segmentation of a prefix follows from its
 last piece: the pieces before it are the best segmentation of what precedes, and two neighbours can
 stand side by side if and only if the two of them encoded alone stay apart. So each prefix has one
 forward state, its last piece, and words that share a prefix share its states. That takes the place
 of score sums, whose maximum is no BPE segmentation; results equal the library's.
+
+A path's states are kept for its first DEPTH characters only; a longer word goes on with the last ones
+that a piece can reach, so a word of any length takes a few bytes for each of its characters.
 """
 
 from __future__ import annotations
@@ -12,41 +18,53 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import apart, named, together
+
 #: The mark that stands for a space.
 MARK = "▁"
 #: A marked word: its marks, then what follows up to the next mark.
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Words and pairs of pieces that a worker keeps; beyond that it starts anew.
-KEPT_WORDS, KEPT_PAIRS = 1_000_000, 4_000_000
+#: Bytes of words, and pairs of pieces, that a worker keeps; beyond that it starts anew. Words beyond DEPTH characters aren't kept.
+KEPT_BYTES, KEPT_PAIRS = 224 << 20, 2_000_000
+#: Characters of a word whose states the next word can share.
+DEPTH = 128
+#: What the score of a character outside a unigram vocabulary lies below that of the least likely piece, as the library has it.
+UNKNOWN_PENALTY = 10.0
 #: The state of a prefix that ends in a character outside the vocabulary; its identity as a piece.
 OUTSIDE = -1
 
 
 class PieceModel:
-    """A SentencePiece BPE model with byte fallback, identity normalization and a leading mark."""
+    """A SentencePiece BPE or unigram model with byte fallback, identity normalization and a leading mark; by_score walks a BPE model as if it were unigram."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, by_score: bool = False):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         spec = pb.ModelProto()
         with open(path, "rb") as f:
             spec.ParseFromString(f.read())
         norm, trainer = spec.normalizer_spec, spec.trainer_spec
-        if trainer.model_type != 2 or not trainer.byte_fallback or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix:
-            raise ValueError("a BPE model with byte fallback, no character map, white space kept and a leading mark is needed")
+        if trainer.model_type not in (1, 2) or not trainer.byte_fallback or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix or trainer.treat_whitespace_as_suffix:
+            raise ValueError("a BPE or unigram model with byte fallback, no character map, white space kept and a leading mark is needed")
+        self.by_score = by_score or trainer.model_type == 1
         normal = [(p.piece, i, p.score) for i, p in enumerate(spec.pieces) if p.type == 1]
         self.ids = {p: i for p, i, _ in normal}
-        if any(p.type == 4 for p in spec.pieces) or any(re.search(f"[^{MARK}]{MARK}", p) or not all(c in self.ids for c in p) for p in self.ids):
-            raise ValueError("pieces of the user, with a mark inside or with characters that are no pieces can't be walked")
+        if any(p.type == 4 for p in spec.pieces) or any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
+            raise ValueError("pieces of the user or with a mark inside can't be walked")
+        if not self.by_score and not all(c in self.ids for p in self.ids for c in p):
+            raise ValueError("a BPE piece with characters that are no pieces can't be walked")
+        self.scores = {i: x for _, i, x in normal}
+        self.unknown = min((x for _, _, x in normal), default=0.0) - UNKNOWN_PENALTY
+        self.feeds = any("\n" in p for p in self.ids)
         self.rank = {i: k for k, (_, i, _) in enumerate(sorted(normal, key=lambda x: -x[2]))}
         self.pieces = [p.piece for p in spec.pieces]
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(spec.pieces) if p.type == 6}
@@ -63,7 +81,8 @@ class PieceModel:
             node[""] = i
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.beside: dict[int, bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def parts(self, i: int) -> tuple[int, int] | None:
         """The two pieces whose merge makes piece i when it is encoded alone; None for a character, and for a piece that merging never makes (which is then never used)."""
@@ -114,50 +133,82 @@ class PieceModel:
         self.beside[key] = known
         return known
 
-    def forward(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
-        """(word, ids) of distinct words in ascending order, by a depth-first walk of their trie.
+    def fits(self, before: int, i: int) -> bool:
+        """Whether piece i can follow a prefix that ends in the piece before."""
+        return self.reached(i) if before == OUTSIDE else self.stay_apart(before, i)
 
-        The path to the present node holds, for each prefix, its last piece and the vocabulary nodes
-        that pieces begun earlier have reached; a word starts from the prefix it shares with the one
-        before. A character outside the vocabulary is a piece of its own, beside which all pieces stay.
+    def forward(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(word, ids as 32-bit words) of distinct words in ascending order, by a depth-first walk of their trie.
+
+        The path to the present node holds, for each prefix, its last piece (for unigram files its
+        score too) and the vocabulary nodes that pieces begun earlier have reached; a word starts from
+        the prefix it shares with the one before. A character outside the vocabulary is a piece of its
+        own, beside which all pieces stay.
         """
-        root, pieces = self.trie, self.pieces
-        last: list[int] = [OUTSIDE]
+        lengths, walk = list(map(len, self.pieces)), self._by_score if self.by_score else self._by_merges
+        last, sums = array("i", [OUTSIDE]), array("f", [0.0])
         open_: list[list[tuple[int, dict]]] = [[]]
         before = ""
         for word in words:
             shared = 0
-            for x, y in zip(before, word):
+            for x, y in zip(before[: len(open_) - 1], word):
                 if x != y:
                     break
                 shared += 1
-            del last[shared + 1 :], open_[shared + 1 :]
-            for end in range(shared, len(word)):
-                c = word[end]
-                going = [(begin, node[c]) for begin, node in open_[end] if c in node]
-                if c in root:
-                    going.append((end, root[c]))
-                open_.append(going)
-                for begin, node in going:  # the longest piece first
-                    i = node.get("")
-                    if i is not None and (self.reached(i) if last[begin] == OUTSIDE else self.stay_apart(last[begin], i)):
-                        last.append(i)
-                        break
-                else:
-                    last.append(OUTSIDE)
-            out: list[int] = []
+            del last[shared + 1 :], sums[shared + 1 :], open_[shared + 1 :]
+            walk(word, shared, last, sums, open_)
+            out = array("i")
             end = len(word)
             while end:
                 i = last[end]
                 if i == OUTSIDE:
-                    out += [self.bytes[x] for x in reversed(word[end - 1].encode("utf-8", "replace"))]
+                    out.extend(self.bytes[x] for x in reversed(word[end - 1].encode("utf-8", "replace")))
                     end -= 1
                 else:
                     out.append(i)
-                    end -= len(pieces[i])
-            yield word, out[::-1]
+                    end -= lengths[i]
+            out.reverse()
+            yield word, out.tobytes()
             before = word
 
+    def _by_merges(self, word: str, shared: int, last: array, sums: array, open_: list[list[tuple[int, dict]]]) -> None:
+        """The last piece of each prefix beyond ``shared`` characters: the longest that stays apart from what precedes it."""
+        root, known, going = self.trie, self.beside.get, open_[shared]
+        for end in range(shared, len(word)):
+            c, piece, now = word[end], OUTSIDE, []
+            going.append((end, root))
+            for begin, node in going:  # the longest piece first
+                node = node.get(c)
+                if node is not None:
+                    now.append((begin, node))
+                    if piece == OUTSIDE:
+                        i = node.get("")
+                        if i is not None:
+                            own = last[begin]
+                            fits = known(own << 20 | i) if own >= 0 else None
+                            if self.fits(own, i) if fits is None else fits:
+                                piece = i
+            going.pop()
+            going = now
+            last.append(piece)
+            if end < DEPTH:
+                open_.append(now)
+
+    def _by_score(self, word: str, shared: int, last: array, sums: array, open_: list[list[tuple[int, dict]]]) -> None:
+        """The last piece of the largest score sum of each prefix beyond ``shared`` characters, of equal ones the longest; sums are rounded to 32 bits, as the library does."""
+        root, going = self.trie, open_[shared]
+        for end in range(shared, len(word)):
+            c = word[end]
+            going = [(begin, node[c]) for begin, node in [*going, (end, root)] if c in node]
+            if end < DEPTH:
+                open_.append(going)
+            ways = [(array("f", [sums[begin] + self.scores[node[""]]])[0], node[""], begin) for begin, node in going if "" in node]
+            if not ways or ways[-1][2] != end:
+                ways.append((array("f", [sums[end] + self.unknown])[0], OUTSIDE, end))
+            total, piece, _ = max(ways, key=lambda x: x[0])  # of equal ones the first
+            last.append(piece)
+            sums.append(total)
+
     def split(self, text: str) -> list[str]:
         """The words of a text, as keys of self.words: without their mark where each has just one, which all but those that begin with a line feed have.
 
@@ -166,22 +217,28 @@ class PieceModel:
         """
         if not text:
             return []
-        if "  " in text or text[0] == " " or MARK in text or "\n" in self.ids:
+        if "  " in text or text[0] == " " or MARK in text or self.feeds:
             return WORD.findall(MARK + text.replace(" ", MARK))
         return text.replace("\n", " \n").split(" ")
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; the distinct words of all of them that aren't known yet are sorted and walked once."""
-        if len(self.words) > KEPT_WORDS:
+        if self.held > KEPT_BYTES:
             self.words.clear()
+            self.held = 0
         split = [self.split(x) for x in texts]
-        found = [list(map(self.words.get, words)) for words in split]
-        new = {w for words, have in zip(split, found) if None in have for w, ids in zip(words, have) if ids is None}
+        known = self.words
+        new = set().union(*split).difference(known)
         # a word that begins with a mark has all its marks; one that begins with a line feed has none
         marked = {w: w if w[:1] in ("\n", MARK) else MARK + w for w in new}
         walked = dict(self.forward(sorted(set(marked.values()))))
-        self.words.update((w, walked[m]) for w, m in marked.items())
-        return [np.fromiter(chain.from_iterable(map(self.words.__getitem__, words) if None in have else have), dtype=np.int32) for words, have in zip(split, found)]
+        here = {w: walked[m] for w, m in marked.items()}
+        kept = {w: ids for w, ids in here.items() if len(w) <= DEPTH}
+        self.held += sum(map(len, kept.values())) + 200 * len(kept)
+        known.update(kept)
+        if len(kept) < len(here):
+            known = _Two(here, known)
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), dtype=np.int32) for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, runs of byte pieces read as UTF-8 (what isn't, each byte as U+FFFD), marks as spaces, without the leading one."""
@@ -207,6 +264,16 @@ class PieceModel:
         return "".join(out)
 
 
+class _Two:
+    """Words of this batch first, then those that are kept."""
+
+    def __init__(self, here: dict[str, bytes], known: dict[str, bytes]):
+        self.here, self.known = here, known
+
+    def __getitem__(self, word: str) -> bytes:
+        return self.known[word] if word in self.known else self.here[word]
+
+
 def _read(raw: bytes) -> str:
     """UTF-8 characters of bytes; each byte that is part of none as U+FFFD."""
     out, k = [], 0
@@ -250,7 +317,8 @@ def encode(df: DataFrame, model_path: str, text: str = "text", out: str = "piece
                     begin, held = k + 1, 0
             yield pd.Series(found + known.encode_batch(texts[begin:]))
 
-    return df.withColumn(out, F.when(F.col(text).isNotNull(), encoded(F.coalesce(F.col(text), F.lit("")))))
+    held = apart(df, out, text=named(text)).withColumn("ids", encoded(F.coalesce("text", F.lit(""))))
+    return together(held, **{out: F.when(F.col("text").isNotNull(), F.col("ids"))})
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:
@@ -262,7 +330,7 @@ def decode(df: DataFrame, model_path: str, ids: str = "piece_ids", out: str = "d
         for part in parts:
             yield pd.Series([None if x is None else known.decode(x) for x in part])
 
-    return df.withColumn(out, decoded(F.col(ids)))
+    return together(apart(df, out, ids=named(ids)).withColumn("decoded", decoded("ids")), **{out: F.col("decoded")})
 
 
 ROUND_TRIP = "n_pieces long, ids_crc32 long, decoded_sha256 string, exact boolean"
@@ -288,5 +356,5 @@ def round_trip(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
             yield pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "decoded_sha256", "exact"])
 
     names = ("n_pieces", "ids_crc32", "decoded_sha256", "exact")
-    kept = [c for c in df.columns if c.lower() not in names]
-    return df.withColumn("_trip", tripped(F.coalesce(F.col(text), F.lit("")))).select(*(F.col(f"`{c}`") for c in kept), *(F.col(f"_trip.{c}").alias(c) for c in names))
+    held = apart(df, *names, text=named(text)).withColumn("trip", tripped(F.coalesce("text", F.lit(""))))
+    return together(held, **{c: F.col("trip").getField(c) for c in names})

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.staging import salted, small, stage
+from .columns import apart, named, together
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hex digits of a digest that the join is on.
 SHORT = 8
@@ -26,31 +29,38 @@ def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
 
 
-def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
+def candidates(pairs: DataFrame, rules: DataFrame, lengths: list[int], short: int = SHORT) -> DataFrame:
+    """Each expression of (host, path) pairs beside every rule whose digest begins with the same ``short`` hex digits; both digests are there to be compared."""
+    asked = pairs.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), lengths)).alias("e")).withColumn("asked", F.sha2("e", 256))
+    return asked.withColumn("short", F.substring("asked", 1, short)).join(small(rules.withColumn("short", F.substring("full", 1, short))), "short")
+
+
+def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", short: int = SHORT) -> DataFrame:
     """df with host, path, rule (host and path of the rule that decides, else null) and verdict of each URL.
 
     rules has host, path and verdict (allow or block). A rule fits its host and all subdomains if the
     URL's path starts with the rule's path; the longest rule wins, then the one with the longer host,
     then block. Rows without a fitting rule get ``default``. Null rules' fields count as empty; null
     verdicts are left out. A null URL, or one without ``://``, has an empty host and path. Columns of
-    df named like the four results are replaced by them; rows repeat as they do in df.
+    df named like the four results, in any case of letters, are replaced by them; all others stay.
+    Rows repeat as they do in df.
 
-    Different (host, path) pairs are expanded once, so a host with very many rows costs one; each
-    expression's SHA-256 is joined on its first SHORT digits, then the whole digest is compared. The
-    driver gets the different lengths of the rules' paths, which a path's longest length bounds.
+    Different (host, path) pairs are expanded once, so a host with very many rows costs one. Each
+    expression's SHA-256 is joined with the rules' on the first ``short`` hex digits alone; what meets
+    is confirmed by the whole digest. Only pairs that have a rule are joined back: broadcast if their
+    measured bytes allow it, else by a shuffle that deals hot pairs out. The driver gets the different
+    lengths of the rules' paths, which a path's longest length bounds.
     """
     given = rules.select(F.translate(F.coalesce("host", F.lit("")), UPPER, LOWER).alias("rh"), F.coalesce("path", F.lit("")).alias("rp"), F.col("verdict").alias("rv")).filter("rv is not null")
     lengths = sorted(r[0] for r in given.select(F.length("rp")).distinct().collect())
-    rank = F.struct((F.length("rh") + F.length("rp")).alias("n"), F.length("rh").alias("h"), (F.col("rv") == "block").alias("b"), F.concat("rh", "rp").alias("rule"), F.col("rv").alias("verdict"))
-    whole = F.sha2(F.concat("rh", "rp"), 256)
-    keyed = given.select(F.substring(whole, 1, SHORT).alias("short"), whole.alias("full"), rank.alias("rank"))
-
-    kept = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    host, path = host_and_path(F.col(url))
-    placed = df.select(*(F.col(f"`{c}`") for c in kept), host.alias("host"), path.alias("path"))
+    host, path = host_and_path(named(url))
+    placed = apart(df, "host", "path", "rule", "verdict", host=host, path=path)
     if not lengths:
-        return placed.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
-    pairs = df.select(host.alias("host"), path.alias("path")).distinct()
-    asked = pairs.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), lengths)).alias("e")).withColumn("full", F.sha2("e", 256)).select("host", "path", F.substring("full", 1, SHORT).alias("short"), "full")
-    best = asked.join(keyed, ["short", "full"]).groupBy("host", "path").agg(F.max("rank").alias("rank"))
-    return placed.join(best, ["host", "path"], "left").select(*(placed[f"`{c}`"] for c in kept), "host", "path", F.col("rank.rule").alias("rule"), F.coalesce("rank.verdict", F.lit(default)).alias("verdict"))
+        return together(placed, host=F.col("host"), path=F.col("path"), rule=F.lit(None).cast("string"), verdict=F.lit(default))
+    rank = F.struct((F.length("rh") + F.length("rp")).alias("n"), F.length("rh").alias("h"), (F.col("rv") == "block").alias("b"), F.concat("rh", "rp").alias("rule"), F.col("rv").alias("verdict"))
+    keyed = stage(given.select(F.sha2(F.concat("rh", "rp"), 256).alias("full"), rank.alias("rank")).groupBy("full").agg(F.max("rank").alias("rank")), "rules")
+    pairs = placed.select("host", "path").distinct()
+    best = stage(candidates(pairs, keyed, lengths, short).filter(F.col("asked") == F.col("full")).groupBy("host", "path").agg(F.max("rank").alias("rank")), "ruled")
+    held = small(best)
+    judged = placed.join(held, ["host", "path"], "left") if held is not best else salted(placed, best, ["host", "path"], "left")
+    return together(judged, host=F.col("host"), path=F.col("path"), rule=F.col("rank.rule"), verdict=F.coalesce("rank.verdict", F.lit(default)))

@@ -4,8 +4,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from tessellex.llm import ann, langid, line_dedup, pii, queries, simhash
+from tessellex.llm import ann, simhash
 
 from .helpers import ROWS, SMALL, components, documents
 
@@ -218,36 +217,3 @@ def test_codes_leave_few_exact_products(vectors, share):
     truth = {(q, int(i)) for q in range(len(asked)) for i in np.argsort(-scores[q])[:20]}
     assert len(truth & {(q, i) for q, i, _ in found}) >= 0.99 * len(truth)
     assert block.pairs == len(asked) * len(data) and block.computed <= share * block.pairs
-
-
-# the pipeline
-
-
-def test_stages_keep_the_columns_and_all_clean_rows(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    identified = corpus_pipeline.language_id(spark, docs, SMALL)
-    assert identified.columns == docs.columns
-    profiles = langid.fit(docs)
-    judged = {r["doc_id"]: profiles.predict(r["text"]) for r in docs.collect()}
-    assert {r["doc_id"] for r in identified.collect()} == {i for i, (x, s) in judged.items() if x != "und" and s >= corpus_pipeline.LEAST_SCORE}
-    assert identified.count() >= 0.99 * docs.count()
-    shorter = corpus_pipeline.dedup_lines(spark, docs, SMALL)
-    assert shorter.columns == docs.columns and shorter.count() == docs.count() and shorter.filter("n_chars <> length(text)").count() == 0
-    kept = corpus_pipeline.near_dedup(spark, docs, SMALL)
-    named = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(docs).collect()}
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(named.values()))
-    masked = corpus_pipeline.redact(spark, docs, SMALL)
-    assert masked.columns == docs.columns and pii.find(masked).filter("size(pii) > 0").count() == 0
-
-
-def test_pipeline_of_awkward_rows(spark, tmp_path):
-    rows = pd.DataFrame([(i, t, "en" if t else None, "s", len(t or "")) for i, t in ROWS], columns=["doc_id", "text", "lang", "source", "n_chars"])
-    rows["doc_id"] = rows["doc_id"].astype("Int64")
-    rows.to_parquet(tmp_path / "documents.parquet")
-    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r["doc_id"] for r in found} >= {0, 7, 8, 9} and not {3, 4, 5} & {r["doc_id"] for r in found}
-    assert len(corpus_pipeline.STAGES) == 5 and line_dedup and queries.queries()["pipeline"]
-    empty = rows[:0]
-    (tmp_path / "none").mkdir()
-    empty.to_parquet(tmp_path / "none" / "documents.parquet")
-    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []

@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessellex.functions import staging
 from tessellex.llm import fingerprints, langid, line_dedup, pii, queries, url_filters
 
 from .helpers import ROWS, SMALL, documents, levenshtein
@@ -90,7 +91,7 @@ def test_likeness_is_bounded_and_symmetric(a, b):
 URLS = ["http://A.Example.com/en/1?q", "https://www.example.com/en/x", "http://example.org", "ftp://net/es/1#a", "x.net/fr/", "http://net/es", "http://:80/a", "://", "http://a.net?/fr/", None, "", "http://xcom/en/", "http://com./", "http://deep.www.example.com/en/a/b", "http://u@Example.COM/en/"]
 
 
-def test_urls_by_definition(spark):
+def test_urls_by_definition(spark, monkeypatch):
     def judge(url):
         rest = url.split("://", 1)[1] if url and "://" in url else ""
         host = re.match(r"[^/?#]*", rest)[0]
@@ -105,6 +106,23 @@ def test_urls_by_definition(spark):
     assert sorted(found, key=repr) == sorted(map(judge, URLS + URLS[:2]), key=repr)
     assert {r["verdict"] for r in url_filters.judge(pages, rules.limit(0)).collect()} == {"allow"}
     assert url_filters.judge(pages.limit(0), rules).collect() == []
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(staging, "HOT_ROWS", 3)
+    hot = pages.unionByName(pages).unionByName(pages)
+    found = [tuple(r) for r in url_filters.judge(hot, rules, short=1).select("url", "host", "path", "rule", "verdict").collect()]
+    assert sorted(found, key=repr) == sorted([*map(judge, URLS + URLS[:2])] * 3, key=repr)
+
+
+def test_short_prefixes_meet_and_whole_digests_confirm(spark):
+    """One hex digit leaves 16 prefixes, so expressions meet rules that aren't theirs; the join is on the prefix alone."""
+    rules = spark.createDataFrame([(f"h{k}.com", "/", "block") for k in range(64)], "host string, path string, verdict string")
+    keyed = rules.select(F.sha2(F.concat("host", "path"), 256).alias("full"), F.col("host").alias("rank"))
+    pairs = spark.createDataFrame([("a.h1.com", "/x")], "host string, path string")
+    met = url_filters.candidates(pairs, keyed, [1], 1)
+    assert met.count() > 3 and met.filter("asked = full").count() == 1
+    assert met.filter("substring(asked, 1, 1) <> substring(full, 1, 1)").count() == 0
+    pages = spark.createDataFrame([("http://a.h1.com/x",), ("http://h64.com/",), ("http://h1.com",)], "url string")
+    assert [(r["rule"], r["verdict"]) for r in url_filters.judge(pages, rules, short=1).orderBy("url").collect()] == [("h1.com/", "block"), (None, "allow"), (None, "allow")]
 
 
 # line dedup
@@ -141,8 +159,9 @@ def test_lines_by_definition(spark, edits):
 
 
 def test_lines_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
-    rows = [(k, v) for k, v in enumerate(VARIANTS)]
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(staging, "HOT_ROWS", 2)
+    rows = [(k, v) for k, v in enumerate([*VARIANTS, *VARIANTS[:3] * 4])]
     found = line_dedup.dedup_lines(documents(spark, rows))
     assert sorted(((r["doc_id"], r["text"], r["lines_total"], r["lines_dropped"]) for r in found.collect()), key=repr) == dedup(rows)
 
@@ -186,6 +205,10 @@ def test_spans_by_definition(spark):
         assert [(s["kind"], s["start"], s["end"], s["value"]) for s in rows[k] if s["kind"] in PATTERNS] == base_spans(t), t[:50]
     added = {t: [s["kind"] for s in rows[k] if s["kind"] not in PATTERNS] for k, t in enumerate(texts)}
     assert added["GB82WEST12345698765432"] == ["iban"] and added["my ssn is 123-45-6789"] == ["ssn"]
+    ibans = {"DE89 3704 0044 0532 0130 00 THE END": (0, 27), "so DE89370400440532013000, GB82 WEST 1234 5698 7654 32 too": (3, 25), "xDE89370400440532013000": None, "DE89370400440532013000x": None, "DE89  3704 0044 0532 0130 00": None, "XX89370400440532013000": None}
+    found = pii.find(spark.createDataFrame([(t,) for t in ibans], "text string")).collect()
+    assert {r["text"]: next(((s["start"], s["end"]) for s in r["pii"] if s["kind"] == "iban"), None) for r in found} == ibans
+    assert max(len(r["pii"]) for r in found) == 2
     assert not any(added[t] for t in ("GB82WEST12345698765433", "123-45-6789", "ssn 000-45-6789"))
     assert pii.find(df.limit(0)).collect() == []
 

@@ -124,3 +124,69 @@ def test_piece_columns(spark):
     trips = sentence_pieces.round_trip(documents(spark), MODEL).collect()
     assert len(trips) == len(ROWS) and all(r["exact"] for r in trips)
     assert sentence_pieces.round_trip(documents(spark).limit(0), MODEL).count() == 0
+
+
+def test_batches_are_balanced_by_bytes():
+    texts = ["ab " * 100, "日本 " * 100, "x", "", "words and words " * 500, "日" * 3000]
+    for most in (64, 1000, 5000):
+        whole = dict.fromkeys(range(len(texts)), "")
+        for at, pieces in token_counts.balanced(texts, most, encoders.safe_pieces):
+            sizes = [len(p.encode()) for p in pieces]
+            assert sum(sizes) <= most or len(pieces) == 1
+            for i, p in zip(at, pieces):
+                whole[i] += p
+            assert len(pieces) == 1 or " " not in texts[at[0]][most:] or max(sizes) <= most + 20
+        assert list(whole.values()) == texts
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(words, max_size=5), st.integers(1, 40))
+def test_counts_of_batches_equal_the_library(texts, most):
+    for path, expected in ((JSON, [len(ids(t)) for t in texts]), (MODEL, [len(x) for x in PIECES.encode(texts)])):
+        encoder, found = encoders.load(path), [0] * len(texts)
+        for at, pieces in token_counts.balanced(texts, most, encoder.pieces):
+            for i, n in zip(at, encoder.count_batch(pieces)):
+                found[i] += n
+        assert found == expected
+
+
+def unigram_file(path):
+    """A small unigram vocabulary with byte fallback, written by rule."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    spec = pb.ModelProto()
+    for piece, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        spec.pieces.add(piece=piece, score=0.0, type=kind)
+    for b in range(256):
+        spec.pieces.add(piece=f"<0x{b:02X}>", score=0.0, type=6)
+    for k, piece in enumerate(["▁", "▁a", "▁ab", "a", "b", "ab", "ba", "aba", "bab", "▁▁", "abab", "c", "ca", "▁bac", "é", "日本"]):
+        spec.pieces.add(piece=piece, score=-2.0 - (k + 2) ** 0.5 * 1.7 % 3, type=1)
+    spec.trainer_spec.model_type, spec.trainer_spec.byte_fallback = 1, True
+    spec.normalizer_spec.name, spec.normalizer_spec.add_dummy_prefix, spec.normalizer_spec.remove_extra_whitespaces, spec.normalizer_spec.escape_whitespaces = "identity", True, False, True
+    path.write_bytes(spec.SerializeToString())
+    return str(path)
+
+
+def test_score_walk_equals_the_library_on_a_unigram_file(tmp_path):
+    path = unigram_file(tmp_path / "unigram.model")
+    known, library = sentence_pieces.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rnd = np.random.default_rng(5)
+    texts = ["".join(rnd.choice(list("aaabbbc é日本x\n"), int(n))) for n in rnd.integers(0, 40, 400)]
+    assert [x.tolist() for x in known.encode_batch(texts)] == library.encode(texts)
+    assert [known.decode(x) for x in known.encode_batch(texts)] == texts
+
+
+def test_long_words_take_little_memory():
+    import tracemalloc
+
+    known = sentence_pieces.PieceModel(MODEL)
+    known.encode_batch(["warm up"])
+    for text in ("abcdefghij" * 100_000, "é" * 300_000):
+        tracemalloc.start()
+        found = known.encode_batch([text])[0]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak <= 60 * len(text) + 2_000_000 and not known.words.get(text)
+        assert known.decode(found) == text
+    short = "abcdefghij" * 300 + "日" * 200
+    assert known.encode_batch([short, short[:150], short[:140]])[0].tolist() == PIECES.encode(short)
