@@ -31,7 +31,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from .plans import entities, linked, linking, pipelines, texts, vectors  # noqa: F401  each registers its queries
+    from .plans import entities, files, linked, linking, pipelines, texts, vectors  # noqa: F401  each registers its queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

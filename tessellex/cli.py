@@ -39,10 +39,10 @@ def run_patents(args: argparse.Namespace) -> None:
     from .sources import scans, sinks
 
     spark = _session()
-    rows = scans.dry_run_rows(spark) if args.dry_run else scans.patents_csv(spark, args.csv)
-    rows = rows.withColumn("ord", F.concat_ws("|", "publication_number", "ipc_code"))
+    # ids follow the order of files and rows
+    rows = scans.dry_run_rows(spark).withColumn("place", F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")) if args.dry_run else scans.patents_csv(spark, args.csv)
     static = scans.level_file(spark, args.static).select("name", "id") if args.static else spark.createDataFrame([], "name string, id long")
-    done = patents(rows, static, "publication_number", "title", "ipc_code", "ord")
+    done = patents(rows, static, "publication_number", "title", "ipc_code", "place")
     for name, df in (("titles", done["titles"].drop("first")), ("library", done["library"].select("new_id", "name", "ipc_codes")), ("patents", done["patents"].select("patent_id", A.format_spans(F.col("spans")).alias("fot")))):
         if args.again or not _exists(spark, f"{args.out}/{name}"):
             sinks.write_tsv(df, f"{args.out}/{name}")

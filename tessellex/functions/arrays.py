@@ -111,3 +111,13 @@ def leftmost_longest(spans: Column) -> Column:
     first = F.struct(F.lit(-1).alias("free"), F.slice(spans, 1, 0).alias("kept"))
     step = lambda acc, s: F.when(s["start"] >= acc["free"], F.struct(s["end"].alias("free"), F.concat(acc["kept"], F.array(s)).alias("kept"))).otherwise(acc)
     return F.aggregate(order, first, step, lambda acc: acc["kept"])
+
+
+def sorted_together(*names: str) -> Column:
+    """Parallel arrays as one array of structs, in the order of the first, then the second, and so on."""
+    return F.array_sort(F.arrays_zip(*names))
+
+
+def kilobytes(size: Column) -> Column:
+    """Whole kilobytes of a size in bytes, 1 at least; 0 for none."""
+    return F.when(size.isNull(), 0).otherwise(F.greatest(F.lit(1), F.ceil(size / 1024))).cast("long")

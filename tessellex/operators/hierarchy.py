@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import arrays as A
-from ..functions.staging import stage
+from ..functions.staging import release, small, stage
 from .graph import connected_components
 from .similarity import CHUNK, _matrix, chunk_pairs
 
@@ -96,20 +96,56 @@ def ward_depths(vectors: np.ndarray) -> np.ndarray:
     return depth[:n]
 
 
-def cluster_depths(df: DataFrame, most: int = 10_000) -> DataFrame:
+#: Rows that stand for the parts of a cluster in one round of splitting.
+PIVOTS = 64
+
+
+def split_clusters(df: DataFrame, most: int = 5000, seed: int = 7) -> DataFrame:
+    """df (id, cluster, v) with every cluster of more than ``most`` rows split until none is larger; a part is named by its smallest id, other clusters keep their names.
+
+    Clustering a part again with the same bounds gives the same part, so parts are made by nearness:
+    each row of a large cluster goes to the nearest (largest inner product, the first of equals) of up
+    to PIVOTS of its rows, and again while a part is too large. What nearness doesn't split, such as
+    copies, is dealt by a hash of the id. Rows without a cluster (-1) are split like any cluster.
+    A round's table is written in the shared folder; a cluster's rows meet in no task.
+    """
+    now, turn = stage(df.select("id", "cluster", "v"), "clusters"), 0
+    while True:
+        sizes = now.groupBy("cluster").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+        large = stage(sizes.select("cluster", "n", F.least(F.lit(PIVOTS), F.ceil(2 * F.col("n") / most)).cast("int").alias("m")), "large")
+        if not large.head(1):
+            return now
+        turn += 1
+        rows = now.join(small(large), "cluster")
+        first = F.row_number().over(W.Window.partitionBy("cluster").orderBy(F.xxhash64("id", F.lit(seed + turn)), "id"))
+        heads = rows.withColumn("r", first).filter(F.col("r") <= PIVOTS).filter(F.col("r") <= F.col("m"))
+        heads = stage(heads.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "v"))), lambda x: x["v"]).alias("heads")), "heads")
+        # the row's own vector beside each head, so that the lambda takes nothing from outside
+        beside = F.zip_with("heads", F.array_repeat("v", F.size("heads")), lambda h, v: F.round(A.dot(h, v), 12))
+        placed = rows.join(small(heads), "cluster").withColumn("near", beside)
+        placed = stage(placed.select("id", "cluster", "v", "n", F.array_position("near", F.array_max("near")).cast("int").alias("part")), "parts")
+        whole = placed.groupBy("cluster").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low = high").select("cluster", F.lit(True).alias("whole"))
+        dealt = F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.col("n") / most) + 1).cast("int")
+        placed = placed.join(small(stage(whole, "whole")), "cluster", "left").withColumn("part", F.when(F.col("whole"), dealt).otherwise(F.col("part")))
+        names = stage(placed.groupBy("cluster", "part").agg(F.min("id").alias("name")), "names")
+        parts = placed.join(small(names), ["cluster", "part"]).select("id", F.col("name").cast("long").alias("cluster"), "v")
+        kept = now.join(small(large), "cluster", "left_anti").select("id", F.col("cluster").cast("long").alias("cluster"), "v")
+        before, now = now, stage(kept.unionByName(parts), "clusters")
+        release(before)
+
+
+def cluster_depths(df: DataFrame, most: int = 5000) -> DataFrame:
     """(id, cluster, depth) of each row in its cluster's tree; df has id, cluster and v.
 
-    The tree costs the square of a cluster's size, so a cluster of more than ``most`` rows is an error:
-    clusters are split before.
+    The tree costs the square of a cluster's size, so clusters of more than ``most`` rows are split
+    before (split_clusters), and the cluster is then that of the part.
     """
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
-        if len(part) > most:
-            raise ValueError(f"a cluster of {len(part)} rows is to be split before")
         part = part.sort_values("id", ignore_index=True)
         return pd.DataFrame({"id": part["id"], "cluster": part["cluster"], "depth": ward_depths(_matrix(part["v"]))})
 
-    return df.select("id", "cluster", "v").groupBy("cluster").applyInPandas(walk, "id long, cluster long, depth long")
+    return split_clusters(df, most).groupBy("cluster").applyInPandas(walk, "id long, cluster long, depth long")
 
 
 def layers(df: DataFrame, group: str, depth: str, ratio: tuple[int, ...] = (1, 2, 4)) -> DataFrame:

@@ -7,55 +7,68 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from ..functions import arrays as A
-from .ids import dense_ids
+from ..functions.staging import stage
 
-#: Terms of one automaton; a larger vocabulary is matched in several passes.
-TERMS = 200_000
+#: Terms, and their characters, up to which a vocabulary goes to the workers as an automaton; a larger one stays distributed and meets texts in joins.
+TERMS, CHARACTERS = 500_000, 16 << 20
+#: Characters of a term that such a join is on.
+HEAD = 8
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-def blocks_of(vocabulary: DataFrame, term: str, terms: int) -> list[list[str]]:
-    """The different lower-cased terms, in lists of at most ``terms``."""
-    lowered = vocabulary.select(F.lower(term).alias("term")).filter("term <> ''").distinct()
-    n = lowered.count()
-    if n <= terms:
-        return [[r["term"] for r in lowered.collect()]]
-    numbered = dense_ids(lowered, ["term"], "n")
-    return [[r["term"] for r in numbered.filter(F.col("n").between(b + 1, b + terms)).select("term").collect()] for b in range(0, n, terms)]
+def bounded(vocabulary: DataFrame, term: str, terms: int = TERMS) -> tuple[DataFrame, list[str] | None]:
+    """The different lower-cased terms that aren't empty; and as a list, if they are within ``terms`` and CHARACTERS."""
+    lowered = stage(vocabulary.select(F.lower(term).alias("term")).filter("term <> ''").distinct(), "terms")
+    n, characters = lowered.agg(F.count("*"), F.sum(F.length("term"))).first()
+    return lowered, [r["term"] for r in lowered.collect()] if n <= terms and (characters or 0) <= CHARACTERS else None
 
 
 def substring_matches(df: DataFrame, text: str, key: str, vocabulary: DataFrame, term: str, terms: int = TERMS) -> DataFrame:
     """(key, term, first) of every different term that a text contains, letter case aside; first is the 0-based place of its first match.
 
-    One pass over each text finds all terms of an automaton, so the cost doesn't grow with the number
-    of terms. The vocabulary goes to the workers in blocks of at most ``terms``, each with its pass.
+    A vocabulary of up to ``terms`` goes to the workers as an automaton, which finds all terms in one
+    pass over each text. A larger one never leaves the cluster: terms meet the places of texts where
+    their first HEAD characters (all, if fewer) stand, by a hash of these, and the rest is compared.
     """
     source = df.select(F.col(key).alias("key"), F.lower(text).alias("text")).filter("text is not null")
-    found = None
-    for words in blocks_of(vocabulary, term, terms):
-
-        def scan(parts: Iterator[pd.DataFrame], words: list[str] = words) -> Iterator[pd.DataFrame]:
-            import ahocorasick
-
-            machine = ahocorasick.Automaton()
-            for w in words:
-                machine.add_word(w, w)
-            if words:
-                machine.make_automaton()
-            for part in parts:
-                rows = []
-                for k, body in zip(part["key"], part["text"]):
-                    first: dict[str, int] = {}
-                    for end, w in machine.iter(body) if words else ():
-                        first.setdefault(w, end - len(w) + 1)
-                    rows += [(k, w, at) for w, at in first.items()]
-                yield pd.DataFrame(rows, columns=["key", "term", "first"])
-
-        got = source.mapInPandas(scan, f"key {source.schema['key'].dataType.simpleString()}, term string, first int")
-        found = got if found is None else found.unionByName(got)
-    return found
+    lowered, words = bounded(vocabulary, term, terms)
+    if words is None:
+        return _by_heads(source, lowered)
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for w in words:
+            machine.add_word(w, w)
+        if words:
+            machine.make_automaton()
+        for part in parts:
+            rows = []
+            for k, body in zip(part["key"], part["text"]):
+                first: dict[str, int] = {}
+                for end, w in machine.iter(body) if words else ():
+                    first.setdefault(w, end - len(w) + 1)
+                rows += [(k, w, at) for w, at in first.items()]
+            yield pd.DataFrame(rows, columns=["key", "term", "first"])
+
+    return source.mapInPandas(scan, f"key {source.schema['key'].dataType.simpleString()}, term string, first int")
+
+
+def _by_heads(source: DataFrame, lowered: DataFrame) -> DataFrame:
+    head = F.least(F.length("term"), F.lit(HEAD))
+    known = lowered.select("term", head.alias("g"), F.xxhash64(F.substring("term", F.lit(1), head)).alias("h"))
+    lengths = sorted(r[0] for r in known.select("g").distinct().collect())  # HEAD at most
+    longest = lowered.agg(F.max(F.length("term"))).first()[0]
+    at = source.select("key", "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1)).alias("first")).filter("text <> ''")
+    at = at.select("key", "first", F.substring("text", F.col("first") + 1, F.lit(longest)).alias("here")).select("*", F.explode(F.array(*map(F.lit, lengths))).alias("g"))
+    at = at.withColumn("h", F.xxhash64(F.substring("here", F.lit(1), F.col("g"))))
+    # the terms of a head are dealt with it: many places, few terms
+    met = at.join(known, ["g", "h"]).filter(F.startswith("here", F.col("term")))
+    return met.groupBy("key", "term").agg(F.min("first").alias("first"))
 
 
 def substring_join(df: DataFrame, text: str, key: str, vocabulary: DataFrame, term: str, top: int = 50) -> DataFrame:
@@ -69,33 +82,64 @@ def substring_join(df: DataFrame, text: str, key: str, vocabulary: DataFrame, te
 def dictionary_spans(df: DataFrame, key: str, tokens: str, vocabulary: DataFrame, term: str, terms: int = TERMS) -> DataFrame:
     """df's (key, tokens) with spans: leftmost longest matches (start, end exclusive) of blank-separated terms among lower-cased tokens.
 
-    Terms are found by their first token, longest first. Blocks of the vocabulary give the longest match
-    at each place; these are then resolved from left to right.
+    A vocabulary of up to ``terms`` goes to the workers, which walk each text from left to right and
+    take the longest term at each place. A larger one stays distributed: runs of tokens meet terms by
+    a hash of all their tokens, and what fits is then walked in the same way.
     """
-    lists = [_longest(words)(F.col(tokens)) for words in blocks_of(vocabulary, term, terms)]
-    return df.withColumn("_all", F.concat(*lists)).withColumn("spans", A.leftmost_longest(F.col("_all"))).drop("_all")
-
+    lowered, words = bounded(vocabulary, term, terms)
+    if words is None:
+        return _spans_by_join(df.select(key, tokens), tokens, lowered)
 
-def _longest(words: list[str]):
-    """An Arrow function from tokens to the longest of the terms at each place."""
-
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def longest(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(SPANS)
+    def walked(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         heads: dict[str, list[tuple[str, ...]]] = {}
         for w in sorted((tuple(x.split(" ")) for x in words), key=len, reverse=True):
             heads.setdefault(w[0], []).append(w)
         for part in parts:
             out = []
             for row in part:
-                low = [x.lower() for x in row] if row is not None else []
-                fits = ((k, next((w for w in heads.get(x, ()) if tuple(low[k : k + len(w)]) == w), None)) for k, x in enumerate(low))
-                out.append([{"start": k, "end": k + len(w)} for k, w in fits if w])
+                low, k, spans = [x.lower() for x in row] if row is not None else [], 0, []
+                while k < len(low):
+                    fit = next((w for w in heads.get(low[k], ()) if tuple(low[k : k + len(w)]) == w), None)
+                    if fit:
+                        spans.append({"start": k, "end": k + len(fit)})
+                    k += len(fit) if fit else 1
+                out.append(spans)
             yield pd.Series(out)
 
-    return longest
+    return df.withColumn("spans", walked(F.col(tokens)))
+
+
+@F.pandas_udf(SPANS)
+def _from_left(found: pd.Series) -> pd.Series:
+    """Spans that don't overlap, taken from left to right, of equal starts the longest."""
+    out = []
+    for row in found:
+        kept, free = [], 0
+        for start, end in sorted(((x["start"], x["end"]) for x in row), key=lambda x: (x[0], -x[1])) if row is not None else ():
+            if start >= free:
+                kept.append({"start": start, "end": end})
+                free = end
+        out.append(kept)
+    return pd.Series(out)
+
+
+def _spans_by_join(df: DataFrame, tokens: str, lowered: DataFrame) -> DataFrame:
+    rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    known = lowered.select(F.split("term", " ", -1).alias("w")).select("w", F.size("w").alias("n"), F.xxhash64("w").alias("h"))
+    lengths = sorted(r[0] for r in known.select("n").distinct().collect())  # different numbers of tokens in a term
+    low = rows.select("_row", F.transform(tokens, F.lower).alias("low"), F.explode(F.sequence(F.lit(0), F.size(tokens) - 1)).alias("start")).filter(F.size("low") > 0)
+    runs = low.select("_row", "start", F.explode(F.array(*(F.slice("low", F.col("start") + 1, F.lit(n)) for n in lengths))).alias("run")).withColumn("h", F.xxhash64("run"))
+    spans = runs.join(known, "h").filter(F.col("run") == F.col("w")).groupBy("_row", "start").agg(F.max(F.col("start") + F.col("n")).alias("end"))
+    found = spans.groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    return rows.join(found, "_row", "left").withColumn("spans", _from_left(F.coalesce("found", F.array().cast(SPANS)))).drop("_row", "found")
 
 
 def bio_tags(tokens: Column, spans: Column) -> Column:
     """O, B-FOT and I-FOT for each token by spans (start, end exclusive) that don't overlap."""
-    tag = lambda i: F.when(F.exists(spans, lambda s: s["start"] == i), "B-FOT").when(F.exists(spans, lambda s: (s["start"] < i) & (i < s["end"])), "I-FOT").otherwise("O")
-    return F.transform(tokens, lambda x, i: tag(i))
+    first = F.transform(spans, lambda s: s["start"])
+    inner = F.flatten(F.transform(spans, lambda s: F.filter(F.sequence(s["start"], s["end"] - 1), lambda k: k > s["start"])))
+    every = F.transform(tokens, lambda x, i: i)
+    # marks of all places: those of the spans, then of what is left
+    marks = F.concat(F.transform(first, lambda k: F.struct(k.alias("k"), F.lit("B-FOT").alias("t"))), F.transform(inner, lambda k: F.struct(k.alias("k"), F.lit("I-FOT").alias("t"))), F.transform(F.array_except(every, F.concat(first, inner)), lambda k: F.struct(k.alias("k"), F.lit("O").alias("t"))))
+    return F.transform(F.array_sort(marks), lambda m: m["t"])

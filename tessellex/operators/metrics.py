@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -84,3 +86,21 @@ def span_matches(gold: pd.Series, predicted: pd.Series) -> pd.DataFrame:
         a, b = (sorted(((s["entity"].lower(), s["start"], s["end"]) for s in x), key=lambda s: s[2]) for x in (g if g is not None else [], p if p is not None else []))
         rows.append((longest(a, b, lambda x, y: x[0] == y[0] and x[1] < y[2] and y[1] < x[2]), longest(a, b, lambda x, y: x == y)))
     return pd.DataFrame(rows, columns=["weak", "strong"])
+
+
+def precision_at(df: DataFrame, rank: str, ks: list[int]) -> DataFrame:
+    """(k, precision, unnormalized, normalized): rows whose one right answer has 1-based rank k at most, over k answers each, over all rows, and over the rows that have it at all (rank 0: not)."""
+    hit = lambda k: F.avg(F.when(F.col(rank).between(1, k), 1.0).otherwise(0.0))
+    found = F.count_if(F.col(rank) >= 1)
+    each = [F.struct(F.lit(k).alias("k"), (hit(k) / k).alias("precision"), hit(k).alias("unnormalized"), F.try_divide(F.count_if(F.col(rank).between(1, k)), found).alias("normalized")) for k in ks]
+    return df.agg(F.array(*each).alias("e")).select(F.explode("e").alias("e")).select("e.*")
+
+
+def focal_loss(p: Column, alpha: float = 0.25, gamma: float = 2.0) -> Column:
+    """The loss of a right label's probability, small where that is already large."""
+    return -alpha * F.pow(1 - p, F.lit(gamma)) * F.log(p)
+
+
+def stage_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n): the rows of each table, counted where they are."""
+    return reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()))

@@ -32,7 +32,7 @@ def reindex_ids(t):
 
 
 _ITEMS = """
-items AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey % 3 = 0),
+items AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem),
 m AS (SELECT p_partkey AS old_id, p_partkey * 10 + 1 AS new_id FROM part WHERE p_partkey % 4 <> 0)
 """
 
@@ -43,7 +43,7 @@ SELECT l_orderkey AS patent_id, string_agg(coalesce(new_id, l_partkey)::VARCHAR
 """)
 def remap_spans(t):
     span = F.struct(F.col("l_linenumber").cast("int").alias("at"), F.col("l_partkey").alias("fot_id"), F.col("l_linenumber").cast("int").alias("start"), (F.col("l_linenumber") + 1).cast("int").alias("end"))
-    lists = t("lineitem").filter("l_orderkey % 3 = 0").groupBy(F.col("l_orderkey").alias("patent_id")).agg(F.array_sort(F.collect_list(span)).alias("s"))
+    lists = t("lineitem").groupBy(F.col("l_orderkey").alias("patent_id")).agg(F.array_sort(F.collect_list(span)).alias("s"))
     spans = lists.select("patent_id", F.transform("s", lambda x: F.struct(x["fot_id"].alias("fot_id"), x["start"].alias("start"), x["end"].alias("end"))).alias("fot"))
     mapping = t("part").filter("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("old_id"), (F.col("p_partkey") * 10 + 1).alias("new_id"))
     return joins.remap_spans(spans, "fot", mapping, "patent_id").select("patent_id", A.format_spans(F.col("fot")).alias("fot"))

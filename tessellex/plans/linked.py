@@ -10,13 +10,13 @@ from .linking import _SPANS, _TAGGED, _tagged
 
 
 @query("""
-WITH w AS (SELECT doc_id, string_split(text, ' ') AS a, string_split(source || ' ' || lang, ' ') || string_split(text, ' ')[:40] AS b FROM documents),
+WITH w AS (SELECT doc_id, string_split(text, ' ') AS a, string_split(source || ' ' || lang, ' ') || string_split(text, ' ') AS b FROM documents),
 n AS (SELECT *, least(len(b), greatest(24, 48 - len(a))) AS nb FROM w)
 SELECT doc_id, array_to_string(a[:least(len(a), 48 - nb)], ' ') AS a, array_to_string(b[:nb], ' ') AS b FROM n
 """)
 def truncate_pairs(t):
     words = F.split("text", " ", -1)
-    df = t("documents").select("doc_id", words.alias("a"), F.concat(F.array("source", "lang"), F.slice(words, 1, 40)).alias("b"))
+    df = t("documents").select("doc_id", words.alias("a"), F.concat(F.array("source", "lang"), words).alias("b"))
     a, b = mentions.truncated_pair(F.col("a"), F.col("b"), 48)
     return df.select("doc_id", F.array_join(a, " ").alias("a"), F.array_join(b, " ").alias("b"))
 
@@ -163,9 +163,9 @@ def star_graphs(t):
 
 
 @query("""
-WITH s AS (SELECT vec_id // 8 AS batch, vec_id % 8 AS row, list_transform(embedding[:8]::DOUBLE[], lambda x: round(x, 4)) AS s FROM embeddings)
+WITH s AS (SELECT vec_id // 64 AS batch, vec_id % 64 AS row, list_transform(embedding::DOUBLE[], lambda x: round(x, 4)) AS s FROM embeddings)
 SELECT batch, avg(CASE WHEN list_position(s, list_max(s)) - 1 = row THEN 1.0 ELSE 0 END)::DOUBLE AS accuracy FROM s GROUP BY 1
 """)
 def in_batch_accuracy(t):
-    df = t("embeddings").select(F.floor(F.col("vec_id") / 8).alias("batch"), (F.col("vec_id") % 8).alias("row"), F.transform(F.slice("embedding", 1, 8), lambda x: F.round(x.cast("double"), 4)).alias("s"))
+    df = t("embeddings").select(F.floor(F.col("vec_id") / 64).alias("batch"), (F.col("vec_id") % 64).alias("row"), F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("s"))
     return mentions.in_batch_accuracy(df, "batch", "row", "s")

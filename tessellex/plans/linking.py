@@ -56,13 +56,20 @@ def mention_alignment(t):
     return joins.aligned(left, right, "s", "k").select("doc", "left_k", "left_s", "right_k", "right_s")
 
 
-_VOCABULARY = "vocabulary AS (SELECT DISTINCT lower(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)) AS term FROM benchmark UNION SELECT DISTINCT lower(split_part(text, ' ', 4)) FROM documents WHERE doc_id % 10 = 0 AND split_part(text, ' ', 4) <> '')"
+_VOCABULARY = "vocabulary AS (SELECT DISTINCT lower(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)) AS term FROM benchmark UNION SELECT DISTINCT lower(split_part(text, ' ', 4)) FROM documents WHERE split_part(text, ' ', 4) <> '')"
+
+
+def _word(c, k):
+    return F.coalesce(F.get(F.split(c, " ", -1), F.lit(k)), F.lit(""))
+
+
+def phrases(t):
+    return t("benchmark").select(F.lower(F.concat_ws(" ", _word("text", 0), _word("text", 1))).alias("term")).distinct()
 
 
 def vocabulary(t):
-    word = lambda c, k: F.coalesce(F.get(F.split(c, " ", -1), F.lit(k)), F.lit(""))
-    two = t("benchmark").select(F.lower(F.concat_ws(" ", word("text", 0), word("text", 1))).alias("term"))
-    one = t("documents").filter("doc_id % 10 = 0").select(F.lower(word("text", 3)).alias("term")).filter("term <> ''")
+    two = phrases(t)
+    one = t("documents").select(F.lower(_word("text", 3)).alias("term")).filter("term <> ''")
     return two.union(one).distinct()
 
 
@@ -144,11 +151,11 @@ def single_entity_tag(t):
 def _scored_spans(t):
     s = (F.col("l_partkey") % 12).cast("int")
     span = F.struct((F.col("l_quantity") * 1.0).alias("score"), s.alias("start"), (s + (F.col("l_linenumber") % 4).cast("int") + 1).alias("end"))
-    return t("lineitem").filter("l_orderkey % 5 = 0").groupBy("l_orderkey").agg(F.array_distinct(F.collect_list(span)).alias("s"))
+    return t("lineitem").groupBy("l_orderkey").agg(F.array_distinct(F.collect_list(span)).alias("s"))
 
 
 @query("""
-WITH RECURSIVE s AS (SELECT DISTINCT l_orderkey AS k, l_quantity::DOUBLE AS score, (l_partkey % 12)::INT AS a, (l_partkey % 12 + l_linenumber % 4 + 1)::INT AS b FROM lineitem WHERE l_orderkey % 5 = 0),
+WITH RECURSIVE s AS (SELECT DISTINCT l_orderkey AS k, l_quantity::DOUBLE AS score, (l_partkey % 12)::INT AS a, (l_partkey % 12 + l_linenumber % 4 + 1)::INT AS b FROM lineitem),
 o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, a, b) AS n FROM s),
 r AS (SELECT k, 0 AS n, CAST([] AS INT[]) AS taken, '' AS kept FROM (SELECT DISTINCT k FROM s)
   UNION ALL SELECT r.k, r.n + 1, CASE WHEN list_has_any(taken, range(a, b)::INT[]) THEN taken ELSE taken || range(a, b)::INT[] END, CASE WHEN list_has_any(taken, range(a, b)::INT[]) THEN kept ELSE kept || lpad(a::VARCHAR, 2, '0') || '-' || b::VARCHAR || ' ' END FROM r JOIN o ON o.k = r.k AND o.n = r.n + 1)
@@ -172,7 +179,7 @@ each AS (SELECT doc, field, len(w) AS l, unnest(w) AS token FROM toks),
 idx AS (SELECT doc, field, token, count(*) AS tf, any_value(l) AS l FROM each GROUP BY 1, 2, 3),
 mean AS (SELECT field, sum(l) / (SELECT count(*) FROM benchmark) AS m FROM (SELECT DISTINCT doc, field, l FROM each) GROUP BY 1),
 dfs AS (SELECT field, token, count(*) AS df FROM idx GROUP BY 1, 2),
-asked AS (SELECT DISTINCT doc_id AS query, unnest(list_filter(regexp_split_to_array(lower(left(text, 200)), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS token FROM documents WHERE doc_id % 10 = 0),
+asked AS (SELECT DISTINCT doc_id AS query, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS token FROM documents WHERE doc_id % 20 = 0),
 s AS (SELECT query, doc, sum(CASE field WHEN 'title' THEN 1.0 ELSE 0.5 END * ln(1 + ((SELECT count(*) FROM benchmark) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * l / m))) AS score FROM asked JOIN idx USING (token) JOIN dfs USING (field, token) JOIN mean USING (field) GROUP BY 1, 2)
 """
 
@@ -181,7 +188,7 @@ s AS (SELECT query, doc, sum(CASE field WHEN 'title' THEN 1.0 ELSE 0.5 END * ln(
 def bm25_topk(t):
     docs = t("benchmark").select("item_id", F.get(F.split("text", r"\.", -1), F.lit(0)).alias("title"), F.col("text").alias("body"))
     fields = {"title": 1.0, "body": 0.5}
-    asked = t("documents").filter("doc_id % 10 = 0").select(F.col("doc_id").alias("query"), F.substring("text", 1, 200).alias("text"))
+    asked = t("documents").filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query"), "text")
     boost = docs.select(F.col("item_id").alias("doc"), (F.col("item_id") % 7).alias("links"))
     found = retrieval.bm25(retrieval.inverted_index(docs, "item_id", fields), docs.count(), asked, fields, 10, boost)
     return found.select("query", "rank", "doc", F.round("score", 6).alias("score"))
@@ -212,11 +219,11 @@ def joint_score(t):
 
 
 @query(f"""
-WITH {_L}, g AS (SELECT l_orderkey, l_linenumber, l_partkey, s, unnest(range(8)) AS i FROM x WHERE l_orderkey % 50 = 0), h AS (SELECT *, unnest(range(i, least(i + 3, 8))) AS j FROM g)
+WITH {_L}, g AS (SELECT l_orderkey, l_linenumber, l_partkey, s, unnest(range(8)) AS i FROM x), h AS (SELECT *, unnest(range(i, least(i + 3, 8))) AS j FROM g)
 SELECT l_orderkey, l_linenumber, l_partkey, i::INT AS i, j::INT AS j, round(s[i + 1] + s[j + 1] + list_sum(s[i + 1:j + 1]), 6) AS score FROM h
 """)
 def span_scores(t):
-    x = _lists(t).filter("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber", "l_partkey", "s", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
+    x = _lists(t).select("l_orderkey", "l_linenumber", "l_partkey", "s", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
     x = x.select("*", F.explode(F.sequence("i", F.least(F.col("i") + 2, F.lit(7)))).alias("j"))
     inner = F.aggregate(F.slice("s", F.col("i") + 1, F.col("j") - F.col("i") + 1), F.lit(0.0), lambda a, v: a + v)
     return x.select("l_orderkey", "l_linenumber", "l_partkey", "i", "j", F.round(F.get("s", F.col("i")) + F.get("s", F.col("j")) + inner, 6).alias("score"))
@@ -279,10 +286,12 @@ def group_split(t):
     return sampling.group_split(t("customer").select("c_custkey", "c_nationkey"), "c_nationkey").select("c_custkey", "split")
 
 
-@query(f"WITH {_VOCABULARY}, p AS (SELECT DISTINCT doc_id FROM documents JOIN vocabulary ON contains(lower(text), term) WHERE doc_id % 3 = 0) SELECT positive, n FROM (SELECT true AS positive, count(*) AS n FROM p UNION ALL SELECT false, least(2 * count(*), (SELECT count(*) FROM documents) - (SELECT count(DISTINCT doc_id) FROM documents JOIN vocabulary ON contains(lower(text), term) WHERE doc_id % 3 = 0)) FROM p)")
+@query("""
+WITH v AS (SELECT DISTINCT lower(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)) AS term FROM benchmark), p AS (SELECT DISTINCT doc_id FROM documents JOIN v ON contains(lower(text), term))
+SELECT positive, n FROM (SELECT true AS positive, count(*) AS n FROM p UNION ALL SELECT false, least(2 * count(*), (SELECT count(*) FROM documents) - count(*)) FROM p) WHERE n > 0
+""")
 def balanced_sample(t):
-    docs = t("documents").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(""))
-    return sampling.balanced(docs, "text", "doc_id", vocabulary(t), "term").groupBy("positive").agg(F.count("*").alias("n"))
+    return sampling.balanced(t("documents"), "text", "doc_id", phrases(t), "term").groupBy("positive").agg(F.count("*").alias("n"))
 
 
 @query("""

@@ -26,29 +26,29 @@ def hash_encode(t):
     return names.select("name", F.posexplode("v").alias("bin", "w")).filter("w > 0").select("name", "bin", F.round("w", 6).alias("weight"))
 
 
-@query(f"WITH {_V} SELECT a.id AS left_id, b.id AS right_id, round({_COS}, 6) AS sim FROM v a JOIN v b ON a.label = b.label AND a.id < b.id AND b.id < 200")
+@query(f"WITH {_V} SELECT a.id AS left_id, b.id AS right_id, round({_COS}, 6) AS sim FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id WHERE a.id % 20 = 0")
 def cosine_pairs(t):
     v = _vectors(t)
     a, b = (v.select(F.col("id").alias(f"{n}_id"), F.col("v").alias(f"{n}_v"), "label") for n in ("left", "right"))
-    return a.join(b.filter("right_id < 200"), "label").filter("left_id < right_id").select("left_id", "right_id", F.round(A.cosine(F.col("left_v"), F.col("right_v")), 6).alias("sim"))
+    return a.filter("left_id % 20 = 0").join(b, "label").filter("left_id <> right_id").select("left_id", "right_id", F.round(A.cosine(F.col("left_v"), F.col("right_v")), 6).alias("sim"))
 
 
-@query(f"WITH {_V}, s AS (SELECT a.id AS id, b.id AS other, round(list_inner_product(a.e, b.e), 12) AS s FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 10 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other)::INT AS rank FROM s) SELECT id, rank, other, round(s, 6) AS score FROM r WHERE rank <= 10")
+@query(f"WITH {_V}, s AS (SELECT a.id AS id, b.id AS other, round(list_inner_product(a.e, b.e), 12) AS s FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other)::INT AS rank FROM s) SELECT id, rank, other, round(s, 6) AS score FROM r WHERE rank <= 10")
 def knn_exact(t):
     v = _vectors(t).select("id", "v")
-    return similarity.exact_top(v.filter("id % 10 = 0"), v, 10).select("id", "rank", "other", F.round("score", 6).alias("score"))
+    return similarity.exact_top(v.filter("id % 20 = 0"), v, 10).select("id", "rank", "other", F.round("score", 6).alias("score"))
 
 
 @query()
 def knn_ivf(t):
     v = _vectors(t).select("id", "v")
-    return similarity.inverted_lists_top(v.filter("id % 10 = 0"), v, 10, lists=16, probes=12).select("id", "rank", "other", F.round("score", 6).alias("score"))
+    return similarity.inverted_lists_top(v.filter("id % 20 = 0"), v, 10, lists=16, probes=12).select("id", "rank", "other", F.round("score", 6).alias("score"))
 
 
 @query()
 def knn_lsh(t):
     v = _vectors(t).select("id", "v")
-    return similarity.hashed_projections_top(v.filter("id % 10 = 0"), v, 10, tables=48, bits=4).select("id", "rank", "other", F.round("score", 6).alias("score"))
+    return similarity.hashed_projections_top(v.filter("id % 20 = 0"), v, 10, tables=64, bits=6).select("id", "rank", "other", F.round("score", 6).alias("score"))
 
 
 _SPLIT = f"{_V}, kids AS (SELECT * FROM v WHERE id % 3 > 0), olds AS (SELECT * FROM v WHERE id % 3 = 0 AND label < 8)"

@@ -11,11 +11,16 @@ from ..operators.ids import dense_ids
 
 
 def patents_csv(spark: SparkSession, path: str) -> DataFrame:
-    """publication_number, title, ipc_code of all CSV files under a path (with header), trimmed; cells may hold line breaks and any length."""
+    """publication_number, title, ipc_code of all CSV files under a path (with header), trimmed, and place; cells may hold line breaks and any length.
+
+    place sorts rows by the name of their file, then as they stand in it: a file with line breaks in
+    its cells is read whole by one task, whose row numbers ascend.
+    """
     names = ["publication_number", "title", "ipc_code"]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', maxCharsPerColumn=-1, pathGlobFilter="*.csv")
-    return rows.select(*(F.trim(F.coalesce(n, F.lit(""))).alias(n) for n in names))
+    place = F.concat(F.input_file_name(), F.lit("|"), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
+    return rows.select(*(F.trim(F.coalesce(n, F.lit(""))).alias(n) for n in names), place.alias("place"))
 
 
 def nested_export(df: DataFrame, language: str = "en") -> DataFrame:
