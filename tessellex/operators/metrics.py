@@ -62,12 +62,19 @@ def span_rates(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFr
     return counts[0].crossJoin(counts[1]).crossJoin(counts[2]).select("tp", "predicted", "gold", *rates(F.col("tp"), F.col("predicted"), F.col("gold")))
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def masked_softmax(scores: Column, mask: Column) -> Column:
     """Probabilities over the scores whose mask is 1; 0 for the others."""
-    z = F.arrays_zip(scores.alias("s"), mask.alias("m"))
-    top = F.array_max(F.transform(F.filter(z, lambda x: x["m"] == 1), lambda x: x["s"]))
-    raised = F.zip_with(z, F.array_repeat(top, F.size(scores)), lambda x, t: F.when(x["m"] == 1, F.exp(x["s"] - t)).otherwise(0.0))
-    return scaled(raised, F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
+    known = F.zip_with(scores, mask, lambda s, m: F.when(m == 1, s.cast("double")))
+
+    def raised(z: Column) -> Column:
+        return F.zip_with(z, F.array_repeat(F.array_max(z), F.size(z)), lambda x, top: F.coalesce(F.exp(x - top), F.lit(0.0)))
+
+    return _once(known, lambda z: _once(raised(z), lambda e: scaled(e, F.aggregate(e, F.lit(0.0), lambda a, b: a + b))))
 
 
 @F.pandas_udf(T.StructType([T.StructField("weak", T.IntegerType()), T.StructField("strong", T.IntegerType())]))
