@@ -15,6 +15,15 @@ SPECIAL_PHRASES = ["x ray", "x-ray", "t cell", "t-cell", "b cell", "b-cell", "3d
 BAD_FIRST_WORDS = ["and", "of", "for", "in", "to"]
 BAD_WORDS = ["with", "on", "at", "from", "by", "about", "as", "into", "like", "through", "after", "over", "between", "out", "against", "during", "without", "before", "under", "around", "among", "but", "or", "yet", "so", "nor", "because", "although", "since", "unless", "while", "where", "if"]
 CONTRACTIONS = {"'s": "is", "n't": "not", "'m": "am", "'re": "are", "'ve": "have", "'ll": "will"}
+SYMBOL_PHRASES = [
+    "x-ray", "e-mail", "wi-fi", "e-commerce", "e-learning", "e-book", "i-beam", "t-shirt", "u-bolt", "v-belt", "z-wave", "k-means", "n-gram", "p-value", "t-test", "f-score", "c-section",
+    "h-bridge", "q-factor", "s-curve", "y-axis", "b-tree", "k-nearest neighbor", "l-system", "r-value", "g-force", "o-ring", "u-value", "t-junction", "v-chip", "x-axis", "gamma-ray",
+    "beta-carotene", "alpha-particle", "omega-3", "micro-controller", "nano-technology", "bio-fuel", "cryo-surgery", "photo-voltaic", "thermo-electric", "electro-magnetic", "hydro-electric",
+    "piezo-electric", "magneto-resistive", "opto-electronic", "ferro-magnetic", "quasi-periodic", "semi-conductor", "ultra-sonic", "infra-red", "ultra-violet", "multi-layer", "co-processor",
+    "sub-system", "inter-connect", "cross-platform", "self-assembly", "non-linear", "anti-aliasing", "pre-processing", "post-processing", "real-time", "feed-forward", "back-propagation",
+    "machine-learning", "deep-learning", "blockchain",
+]
+ATTACHED = ["'s", "n't", "'m", "'re", "'ve", "'ll"]
 #: Punctuation that becomes a blank, and brackets that get blanks around them.
 BLANKED, SPACED = "!\"#$%&*+,-./:;=?@\\^_`|~", "[](){}<>"
 
@@ -57,6 +66,12 @@ def expand_contractions(c: Column | str) -> Column:
     return squeeze(text)
 
 
+def attach_contractions(tokens: Column | str) -> Column:
+    """Tokens (that hold no blanks) without empty ones, each of ATTACHED joined to the token before it; the first stays."""
+    joined = F.array_join(F.filter(_col(tokens), lambda w: w != ""), " ")
+    return F.filter(F.split(F.regexp_replace(joined, f" ({'|'.join(ATTACHED)})(?= |$)", "$1"), " ", -1), lambda w: w != "")
+
+
 def strip_html(c: Column | str) -> Column:
     """Without tags (that don't cross lines) and with character references resolved."""
     return unescape_html(F.regexp_replace(_col(c), "<.*?>", ""))

@@ -154,6 +154,25 @@ def hashed_projections_top(queries: DataFrame, data: DataFrame, k: int, tables:
     return blocked_top(dealt(queries, False), dealt(data, True), k)
 
 
+def reduced(df: DataFrame, k: int) -> DataFrame:
+    """df (id, v) with v along the k directions of its largest variance, each turned so that its largest entry is positive.
+
+    The covariance of the dimensions is summed up in the cluster; only it and the directions come to the driver.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    few = df.select(array_to_vector(F.col("v").cast("array<double>")).alias("features"))
+    axes = PCA(k=k, inputCol="features").fit(few).pc.toArray()
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(k)])
+
+    @F.pandas_udf("array<double>")
+    def along(v: pd.Series) -> pd.Series:
+        return pd.Series(list(_matrix(v) @ axes)) if len(v) else pd.Series([], dtype=object)
+
+    return df.withColumn("v", along("v"))
+
+
 def top_of(scores: Column, names: Column, k: int) -> Column:
     """Names of the k largest scores, the first of equals first."""
     z = F.transform(scores, lambda s, i: F.struct((-s).alias("s"), i.alias("i")))

@@ -29,9 +29,10 @@ def single_entity_tags(df: DataFrame, tokens: str, entity: str, out: str, prefix
     wanted = F.concat(F.lit(" "), F.lower(entity), F.lit("" if prefix else " "))
     found = df.withColumn("_at", F.instr(joined, wanted)).withColumn("_before", F.left(joined, F.col("_at") - 1))
     found = found.withColumn("_at", F.when(F.col("_at") == 0, -1).otherwise(F.length("_before") - F.length(F.replace("_before", F.lit(" "), F.lit("")))))
-    found = found.withColumn("_end", F.col("_at") + F.size(F.split(entity, " ")))
-    tag = lambda x, i: F.when((F.col("_at") >= 0) & (i == F.col("_at")), "B-FOT").when((F.col("_at") >= 0) & (i > F.col("_at")) & (i < F.col("_end")), "I-FOT").otherwise("O")
-    return found.withColumn(out, F.transform(tokens, tag)).drop("_at", "_before", "_end")
+    # arrays are put together, not mapped: a lambda would compute the place again for each token
+    at, n, length = F.coalesce("_at", F.lit(-1)), F.size(tokens), F.size(F.split(entity, " "))
+    tagged = F.concat(F.array_repeat(F.lit("O"), at), F.array(F.lit("B-FOT")), F.array_repeat(F.lit("I-FOT"), length - 1), F.array_repeat(F.lit("O"), n - at - length))
+    return found.withColumn(out, F.when(F.col(tokens).isNotNull(), F.when(at < 0, F.array_repeat(F.lit("O"), n)).otherwise(tagged))).drop("_at", "_before")
 
 
 def tag_penalty(df: DataFrame, key: str, tags: str, pos: str) -> DataFrame:

@@ -281,17 +281,31 @@ def entity_prf(t):
     return metrics.span_rates(gold, predicted, ["k", "start", "end"])
 
 
-@query()
+#: Of rows (g: group, k: key, tagged) the split of each unit: a group, or a key of the unknown group.
+SPLIT_SQL = """
+kinds AS (SELECT *, CASE WHEN g = 'unknown_entity' THEN CASE WHEN tagged THEN 1 ELSE 2 END ELSE 0 END AS kind, CASE WHEN g = 'unknown_entity' THEN k::VARCHAR ELSE g END AS unit FROM rows_),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5(unit || '|42'), unit) - 1 AS place, count(*) OVER (PARTITION BY kind) AS total FROM (SELECT DISTINCT kind, unit FROM kinds WHERE g IS NOT NULL)),
+splits AS (SELECT kind, unit, CASE WHEN place < floor(total * 0.8) THEN 'train' WHEN place < floor(total * 0.8) + floor(total * 0.1) THEN 'valid' ELSE 'test' END AS split FROM numbered)
+"""
+
+
+@query(f"""
+WITH rows_ AS (SELECT o_orderkey AS k, CASE o_custkey % 10 WHEN 0 THEN 'unknown_entity' WHEN 1 THEN NULL ELSE o_custkey::VARCHAR END AS g, o_orderkey % 3 = 0 AS tagged FROM orders), {SPLIT_SQL}
+SELECT k, kinds.g AS source_id, coalesce(split, 'train') AS split FROM kinds LEFT JOIN splits USING (kind, unit)
+""")
 def group_split(t):
-    return sampling.group_split(t("customer").select("c_custkey", "c_nationkey"), "c_nationkey").select("c_custkey", "split")
+    kind = F.col("o_custkey") % 10
+    rows = t("orders").select(F.col("o_orderkey").alias("k"), F.when(kind == 0, "unknown_entity").when(kind > 1, F.col("o_custkey").cast("string")).alias("source_id"))
+    return sampling.group_split(rows, "source_id", "k", F.col("k") % 3 == 0).select("k", "source_id", "split")
 
 
 @query("""
-WITH v AS (SELECT DISTINCT lower(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)) AS term FROM benchmark), p AS (SELECT DISTINCT doc_id FROM documents JOIN v ON contains(lower(text), term))
-SELECT positive, n FROM (SELECT true AS positive, count(*) AS n FROM p UNION ALL SELECT false, least(2 * count(*), (SELECT count(*) FROM documents) - count(*)) FROM p) WHERE n > 0
+WITH v AS (SELECT DISTINCT lower(split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2)) AS term FROM benchmark), p AS (SELECT DISTINCT doc_id FROM documents JOIN v ON contains(lower(text), term)),
+n AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM p) ORDER BY md5(doc_id::VARCHAR || '|42'), doc_id LIMIT (SELECT 2 * count(*) FROM p))
+SELECT doc_id, true AS positive FROM p UNION ALL SELECT doc_id, false FROM n
 """)
 def balanced_sample(t):
-    return sampling.balanced(t("documents"), "text", "doc_id", phrases(t), "term").groupBy("positive").agg(F.count("*").alias("n"))
+    return sampling.balanced(t("documents"), "text", "doc_id", phrases(t), "term")
 
 
 @query("""

@@ -180,3 +180,28 @@ def neighbour_context(t):
     # the first sentence is never context for the next one
     before = F.lag(F.when(F.col("turn") > 0, F.col("text"))).over(w)
     return t("conversations").select("conv_id", "turn", F.coalesce(before, F.lit("")).alias("before"), F.coalesce(F.lead("text").over(w), F.lit("")).alias("after"))
+
+
+_KEPT = ", ".join(f"'{x}'" for x in T.SYMBOL_PHRASES)
+
+
+@query(rf"""
+WITH l AS (SELECT unnest([{_KEPT}]) AS w, unnest(range({len(T.SYMBOL_PHRASES)})) AS k),
+p AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN upper(w) ELSE p_name || '-' || w END AS phrase FROM part JOIN l ON k = p_partkey % {len(T.SYMBOL_PHRASES)}),
+c AS (SELECT p_partkey, CASE WHEN lower(phrase) IN ({_KEPT}) THEN phrase ELSE trim(regexp_replace(regexp_replace(phrase, '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g')) END AS phrase FROM p)
+SELECT p_partkey, phrase, len(string_split(phrase, ' ')) > 1 AS several FROM c
+""")
+def symbol_phrases(t):
+    listed = F.array(*map(F.lit, T.SYMBOL_PHRASES))
+    part = t("part").withColumn("w", F.get(listed, (F.col("p_partkey") % len(T.SYMBOL_PHRASES)).cast("int")))
+    phrase = F.when(F.col("p_size") % 2 == 0, F.upper("w")).otherwise(F.concat_ws("-", "p_name", "w"))
+    return part.select("p_partkey", T.strip_punctuation(phrase, T.SYMBOL_PHRASES).alias("phrase")).withColumn("several", F.size(F.split("phrase", " ")) > 1)
+
+
+@query("""
+SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN chr(39) || 's ' || p_brand || chr(39) || 'll go' WHEN 1 THEN p_name || chr(39) || 's don' || chr(39) || 't' WHEN 2 THEN p_name || ' ' || chr(39) || 'sx' ELSE '' END AS plain FROM part
+""")
+def attached_contractions(t):
+    k = F.col("p_size") % 4
+    raw = F.when(k == 0, F.concat(F.lit("'s "), "p_brand", F.lit(" 'll go"))).when(k == 1, F.concat("p_name", F.lit(" 's  do n't"))).when(k == 2, F.concat("p_name", F.lit(" 'sx"))).otherwise("")
+    return t("part").select("p_partkey", F.array_join(T.attach_contractions(F.split(raw, " ", -1)), " ").alias("plain"))

@@ -113,6 +113,11 @@ def density_clusters(t):
     return hierarchy.density_clusters(_vectors(t).select("id", "v"), eps=0.28, least=3)
 
 
+@query()
+def reduced_vectors(t):
+    return similarity.reduced(_vectors(t).select("id", "v"), 8).select("id", F.array_join(F.transform("v", lambda x: F.format_number(x, 6)), ";").alias("v"))
+
+
 @query()
 def ward_layers(t):
     v = _vectors(t).select("id", "v", F.col("label").cast("long").alias("cluster"))

@@ -76,9 +76,43 @@ def test_greedy_dedup_by_definition(spark):
     assert 0 < len(rows) <= len(exact) and {r["id"] for r in rows} <= {r["id"] for r in exact}
 
 
-def test_split_keeps_groups_together(spark):
-    rows = QUERIES["group_split"](spark, SMALL).join(spark.read.parquet(f"{SMALL}/customer.parquet"), "c_custkey")
-    assert rows.groupBy("c_nationkey").agg({"split": "min"}).join(rows.groupBy("c_nationkey").agg({"split": "max"}), "c_nationkey").filter("`min(split)` <> `max(split)`").count() == 0
+def test_split_of_edge_cases(spark):
+    from pyspark.sql import functions as F
+
+    from tessellex.operators.sampling import group_split
+
+    rows = [(k, f"e{k % 20}", False) for k in range(200)] + [(200 + k, "unknown_entity", k < 10) for k in range(30)] + [(300, None, True), (301, "", False), (None, "unknown_entity", None)]
+    got = group_split(spark.createDataFrame(rows, "k long, g string, tagged boolean"), "g", "k", F.col("tagged")).collect()
+    assert len(got) == len(rows) and {r["split"] for r in got if not r["g"]} == {"train"}
+    groups = {g: {r["split"] for r in got if r["g"] == g} for g in {r["g"] for r in got if r["g"] and r["g"].startswith("e")}}
+    assert all(len(s) == 1 for s in groups.values()) and sorted(s for x in groups.values() for s in x) == ["test"] * 2 + ["train"] * 16 + ["valid"] * 2
+    assert [sorted(r["split"] for r in got if r["g"] == "unknown_entity" and bool(r["tagged"]) is t).count("train") for t in (True, False)] == [8, 16]
+    assert group_split(spark.createDataFrame([], "k long, g string, tagged boolean"), "g", "k", F.col("tagged")).collect() == []
+
+
+def test_reduced_vectors_are_principal_directions(spark):
+    from tessellex.operators.similarity import reduced
+
+    x = np.random.default_rng(3).standard_normal((60, 5)) * [5, 1, 3, 1, 1]
+    got = {r["id"]: r["v"] for r in reduced(spark.createDataFrame([(k, list(map(float, v))) for k, v in enumerate(x)], "id long, v array<double>"), 2).collect()}
+    values, axes = np.linalg.eigh(np.cov(x.T))
+    axes = axes[:, ::-1][:, :2]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), [0, 1]])
+    assert np.allclose([got[k] for k in range(60)], x @ axes)
+
+
+def test_static_stage_merges_near_names(spark):
+    from pyspark.sql import functions as F
+
+    from tessellex.plans.pipelines import static_stage
+
+    kept = spark.createDataFrame([("A01", 1, 1, "seed", None, 1.0), ("A01", 3, 2, "solar cell", "x", 3.0), ("A01", 3, 3, "Solar cells", "x", 2.0), ("B01", 3, 4, "solar cell", None, None), ("B01", 3, 5, "left out", "", 0.0)], "ipc string, level int, id long, name string, text string, score double")
+    listed = spark.createDataFrame([(-1, "by hand", "", 2, "")], "id long, name string, text string, level int, ent_ipc string")
+    encode = lambda c: F.array(F.lit(1.0), F.length(c).cast("double"))
+    simple, near = ({(r["id"], r["name"], r["level"], tuple(r["codes"]), r["parent"]) for r in static_stage(kept, listed, F.col("name") != "left out", encode, similar=s).collect()} for s in (None, 0.9))
+    seeds = {(1, "seed", 2, ("A01",), None), (-1, "by hand", 2, ("",), None)}
+    assert simple == seeds | {(2, "solar cell", 3, ("A01", "B01"), 1), (3, "Solar cells", 3, ("A01",), 1)}
+    assert near == seeds | {(2, "solar cell", 3, ("A01",), 1), (4, "solar cell", 3, ("B01",), None)}
 
 
 def test_hierarchy_has_layers_and_parents(spark):
