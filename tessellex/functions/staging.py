@@ -38,6 +38,13 @@ def _forget(spark: SparkSession, path: str) -> None:
         return
 
 
+def fresh_folder(spark: SparkSession, tag: str) -> str:
+    """A path in the shared folder that nothing else uses; what is written there is deleted when the driver exits."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet under the shared folder and return the table that reads it.
 

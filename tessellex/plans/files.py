@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import arrays as A
 from ..functions import text as T
-from ..functions.staging import shared_dir
+from ..functions.staging import fresh_folder
 from ..operators import filters, ids, metrics, sampling, tagging
 from ..operators import mentions as M
 from ..sources import scans, sinks
@@ -18,7 +18,7 @@ from ..streaming import queries as streams
 
 
 def _folder(df: DataFrame) -> str:
-    return f"{shared_dir(df.sparkSession)}/files-{uuid.uuid4().hex}"
+    return fresh_folder(df.sparkSession, "files")
 
 
 def _lines(df: DataFrame, line, order: str | None = None) -> str:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import arrays as A
-from ..operators import hierarchy, similarity
+from ..functions.staging import fresh_folder
+from ..operators import graph_index, hierarchy, similarity
 
 _V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings)"
 _COS = "list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e))"
@@ -51,6 +52,14 @@ def knn_lsh(t):
     return similarity.hashed_projections_top(v.filter("id % 20 = 0"), v, 10, tables=64, bits=6).select("id", "rank", "other", F.round("score", 6).alias("score"))
 
 
+@query()
+def knn_graph(t):
+    v = _vectors(t).select("id", "v")
+    path = fresh_folder(v.sparkSession, "graph")
+    graph_index.build(v, path)
+    return graph_index.search(v.filter("id % 20 = 0"), path, 10).select("id", "rank", "other", F.round("score", 6).alias("score"))
+
+
 _SPLIT = f"{_V}, kids AS (SELECT * FROM v WHERE id % 3 > 0), olds AS (SELECT * FROM v WHERE id % 3 = 0 AND label < 8)"
 _BEST = f"s AS (SELECT a.id, b.id AS parent, a.label = b.label AS own, round({_COS}, 12) AS s FROM kids a, olds b), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY own DESC, s DESC, parent) AS n FROM s)"
 
