@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from ..functions.staging import stage
+from ..functions.staging import salted, stage
+from . import vocabulary_filter
 
-#: Terms, and their characters, up to which a vocabulary goes to the workers as an automaton; a larger one stays distributed and meets texts in joins.
-TERMS, CHARACTERS = 500_000, 16 << 20
-#: Characters of a term that such a join is on.
-HEAD = 8
+#: Terms, and their characters, up to which a vocabulary goes to the workers as an automaton; a larger one stays distributed: workers get a filter of its bits, and what passes joins it.
+TERMS, CHARACTERS = 200_000, 4 << 20
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
@@ -29,51 +30,73 @@ def bounded(vocabulary: DataFrame, term: str, terms: int = TERMS) -> tuple[DataF
 def substring_matches(df: DataFrame, text: str, key: str, vocabulary: DataFrame, term: str, terms: int = TERMS) -> DataFrame:
     """(key, term, first) of every different term that a text contains, letter case aside; first is the 0-based place of its first match.
 
-    A vocabulary of up to ``terms`` goes to the workers as an automaton, which finds all terms in one
-    pass over each text. A larger one never leaves the cluster: terms meet the places of texts where
-    their first HEAD characters (all, if fewer) stand, by a hash of these, and the rest is compared.
+    A vocabulary of up to ``terms`` goes to the workers as an automaton, built once in each, which finds
+    all terms in one pass over each text. Of a larger one the workers get a filter of bits: rolling
+    hashes find the places of a text where a term may stand, in time that grows with its length, and what
+    passes is joined with the terms by the string itself; a term that very many texts hold is dealt
+    into several tasks. Keys are unique.
     """
     source = df.select(F.col(key).alias("key"), F.lower(text).alias("text")).filter("text is not null")
     lowered, words = bounded(vocabulary, term, terms)
+    schema = f"key {source.schema['key'].dataType.simpleString()}, term string, first int"
     if words is None:
-        return _by_heads(source, lowered)
+        return _filtered(source, lowered, schema)
+    digest = hashlib.sha256("\0".join(words).encode()).digest()
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = _automaton(digest, words)
+        for part in parts:
+            rows = []
+            for k, body in zip(part["key"], part["text"]):
+                first: dict[str, int] = {}
+                for end, w in machine.iter(body) if words else ():
+                    first.setdefault(w, end - len(w) + 1)
+                rows += [(k, w, at) for w, at in first.items()]
+            yield pd.DataFrame(rows, columns=["key", "term", "first"])
+
+    return source.mapInPandas(scan, schema)
+
+
+_MACHINES: dict[bytes, object] = {}
+
+
+def _automaton(digest: bytes, words: list[str]):
+    """The automaton of a list, kept in the worker process until another list comes."""
+    if digest not in _MACHINES:
         import ahocorasick
 
+        _MACHINES.clear()
         machine = ahocorasick.Automaton()
         for w in words:
             machine.add_word(w, w)
         if words:
             machine.make_automaton()
+        _MACHINES[digest] = machine
+    return _MACHINES[digest]
+
+
+def _filtered(source: DataFrame, lowered: DataFrame, schema: str) -> DataFrame:
+    widths = [r[0] for r in lowered.select(F.length("term").alias("n")).distinct().collect()]  # as many as there are lengths
+    held = source.sparkSession.sparkContext.broadcast(vocabulary_filter.build(lowered, vocabulary_filter.letters, widths))
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
             for k, body in zip(part["key"], part["text"]):
                 first: dict[str, int] = {}
-                for end, w in machine.iter(body) if words else ():
-                    first.setdefault(w, end - len(w) + 1)
-                rows += [(k, w, at) for w, at in first.items()]
-            yield pd.DataFrame(rows, columns=["key", "term", "first"])
+                for width, places in held.value.windows(vocabulary_filter.letters(body)):
+                    for at in places.tolist():
+                        first.setdefault(body[at : at + width], at)
+                yield pd.DataFrame([(k, w, at) for w, at in first.items()], columns=["key", "term", "first"], dtype=object)
 
-    return source.mapInPandas(scan, f"key {source.schema['key'].dataType.simpleString()}, term string, first int")
+    return salted(stage(source.mapInPandas(scan, schema), "may"), lowered, ["term"]).select("key", "term", "first")
 
 
-def _by_heads(source: DataFrame, lowered: DataFrame) -> DataFrame:
-    head = F.least(F.length("term"), F.lit(HEAD))
-    known = lowered.select("term", head.alias("g"), F.xxhash64(F.substring("term", F.lit(1), head)).alias("h"))
-    lengths = sorted(r[0] for r in known.select("g").distinct().collect())  # HEAD at most
-    longest = lowered.agg(F.max(F.length("term"))).first()[0]
-    at = source.select("key", "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1)).alias("first")).filter("text <> ''")
-    at = at.select("key", "first", F.substring("text", F.col("first") + 1, F.lit(longest)).alias("here")).select("*", F.explode(F.array(*map(F.lit, lengths))).alias("g"))
-    at = at.withColumn("h", F.xxhash64(F.substring("here", F.lit(1), F.col("g"))))
-    # the terms of a head are dealt with it: many places, few terms
-    met = at.join(known, ["g", "h"]).filter(F.startswith("here", F.col("term")))
-    return met.groupBy("key", "term").agg(F.min("first").alias("first"))
+def substring_join(df: DataFrame, text: str, key: str, vocabulary: DataFrame, term: str, top: int = 50, hits: DataFrame | None = None) -> DataFrame:
+    """For each term of the vocabulary the first max(1, top // 5) texts, by key, that contain it; a term without any gets one row whose key is null.
 
-
-def substring_join(df: DataFrame, text: str, key: str, vocabulary: DataFrame, term: str, top: int = 50) -> DataFrame:
-    """For each term of the vocabulary the first max(1, top // 5) texts, by key, that contain it; a term without any gets one row whose key is null."""
-    hits = substring_matches(df, text, key, vocabulary, term)
+    hits are the substring_matches of all these, where they are there already.
+    """
+    hits = substring_matches(df, text, key, vocabulary, term) if hits is None else hits
     ranked = hits.withColumn("n", F.row_number().over(W.Window.partitionBy("term").orderBy("key"))).filter(F.col("n") <= max(1, top // 5)).select("term", "key", "n")
     every = vocabulary.select(F.lower(term).alias("term")).distinct()
     return every.join(ranked, "term", "left").select("term", "key", F.coalesce("n", F.lit(0)).alias("n"))
@@ -83,27 +106,29 @@ def dictionary_spans(df: DataFrame, key: str, tokens: str, vocabulary: DataFrame
     """df's (key, tokens) with spans: leftmost longest matches (start, end exclusive) of blank-separated terms among lower-cased tokens.
 
     A vocabulary of up to ``terms`` goes to the workers, which walk each text from left to right and
-    take the longest term at each place. A larger one stays distributed: runs of tokens meet terms by
-    a hash of all their tokens, and what fits is then walked in the same way.
+    look up, longest first, the numbers of tokens that terms of that first token have. A larger one
+    stays distributed: workers get a filter of its bits, the runs of tokens that pass it are joined with
+    the terms, and what fits is then walked in the same way.
     """
     lowered, words = bounded(vocabulary, term, terms)
     if words is None:
-        return _spans_by_join(df.select(key, tokens), tokens, lowered)
+        return _spans_by_filter(df.select(key, tokens), tokens, lowered)
 
     @F.pandas_udf(SPANS)
     def walked(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        heads: dict[str, list[tuple[str, ...]]] = {}
-        for w in sorted((tuple(x.split(" ")) for x in words), key=len, reverse=True):
-            heads.setdefault(w[0], []).append(w)
+        known, heads = {tuple(x.split(" ")) for x in words}, {}
+        for w in known:
+            heads.setdefault(w[0], set()).add(len(w))
+        heads = {h: sorted(n, reverse=True) for h, n in heads.items()}
         for part in parts:
             out = []
             for row in part:
                 low, k, spans = [x.lower() for x in row] if row is not None else [], 0, []
                 while k < len(low):
-                    fit = next((w for w in heads.get(low[k], ()) if tuple(low[k : k + len(w)]) == w), None)
+                    fit = next((n for n in heads.get(low[k], ()) if k + n <= len(low) and tuple(low[k : k + n]) in known), 0)
                     if fit:
-                        spans.append({"start": k, "end": k + len(fit)})
-                    k += len(fit) if fit else 1
+                        spans.append({"start": k, "end": k + fit})
+                    k += fit or 1
                 out.append(spans)
             yield pd.Series(out)
 
@@ -124,13 +149,27 @@ def _from_left(found: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _spans_by_join(df: DataFrame, tokens: str, lowered: DataFrame) -> DataFrame:
+def _token_codes(tokens: list[str]) -> np.ndarray:
+    """A number for each token, the same in every process; of one that holds a blank a number that no term's token has."""
+    return np.array([int.from_bytes(hashlib.blake2b(x.encode("utf-8", "replace"), digest_size=8).digest(), "little") >> 1 if " " not in x else (1 << 64) - 1 for x in tokens], dtype=np.uint64)
+
+
+def _spans_by_filter(df: DataFrame, tokens: str, lowered: DataFrame) -> DataFrame:
     rows = stage(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    known = lowered.select(F.split("term", " ", -1).alias("w")).select("w", F.size("w").alias("n"), F.xxhash64("w").alias("h"))
-    lengths = sorted(r[0] for r in known.select("n").distinct().collect())  # different numbers of tokens in a term
-    low = rows.select("_row", F.transform(tokens, F.lower).alias("low"), F.explode(F.sequence(F.lit(0), F.size(tokens) - 1)).alias("start")).filter(F.size("low") > 0)
-    runs = low.select("_row", "start", F.explode(F.array(*(F.slice("low", F.col("start") + 1, F.lit(n)) for n in lengths))).alias("run")).withColumn("h", F.xxhash64("run"))
-    spans = runs.join(known, "h").filter(F.col("run") == F.col("w")).groupBy("_row", "start").agg(F.max(F.col("start") + F.col("n")).alias("end"))
+    widths = [r[0] for r in lowered.select(F.size(F.split("term", " ", -1)).alias("n")).distinct().collect()]  # different numbers of tokens in a term
+    held = rows.sparkSession.sparkContext.broadcast(vocabulary_filter.build(lowered, lambda x: _token_codes(x.split(" ")), widths))
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for row, body in zip(part["_row"], part["low"]):
+                low = list(body)
+                found = [(row, " ".join(low[at : at + n]), at, at + n) for n, places in held.value.windows(_token_codes(low)) for at in places.tolist()]
+                yield pd.DataFrame(found, columns=["_row", "term", "start", "end"], dtype=object)
+
+    low = rows.select("_row", F.transform(tokens, F.lower).alias("low")).filter("low is not null")
+    runs = stage(low.mapInPandas(scan, "_row long, term string, start int, end int"), "runs")
+    fits = salted(runs, lowered, ["term"]).filter(F.size(F.split("term", " ", -1)) == F.col("end") - F.col("start"))
+    spans = fits.groupBy("_row", "start").agg(F.max("end").alias("end"))
     found = spans.groupBy("_row").agg(F.collect_list(F.struct("start", "end")).alias("found"))
     return rows.join(found, "_row", "left").withColumn("spans", _from_left(F.coalesce("found", F.array().cast(SPANS)))).drop("_row", "found")
 

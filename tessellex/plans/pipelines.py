@@ -138,10 +138,11 @@ def corpus(texts: DataFrame, key: str, text: str, vocabulary: DataFrame, term: s
     source is unknown_entity. Of equal tokens the smallest (source, key) stays. Splits go by source.
     """
     source = stage(texts.select(F.col(key).alias("key"), clean(F.col(text)).alias("text")).filter("text is not null"), "texts")
-    found = matching.substring_join(source, "text", "key", vocabulary, term, top).filter("key is not null").select("key", F.col("term").alias("source_id"))
+    hits = stage(matching.substring_matches(source, "text", "key", vocabulary, term), "hits")
+    found = matching.substring_join(source, "text", "key", vocabulary, term, top, hits).filter("key is not null").select("key", F.col("term").alias("source_id"))
     marked = tagging.single_entity_tags(found.join(source, "key").withColumn("tokens", F.split("text", " ", -1)), "tokens", F.col("source_id"), "tags")
     tagged = stage(marked.filter(F.array_contains("tags", "B-FOT")).select("key", "source_id", "tokens", "tags"), "tagged")
-    held = matching.substring_matches(source, "text", "key", vocabulary, term).select("key").distinct()
+    held = hits.select("key").distinct()
     none = sampling.sample(source.select("key").join(held, "key", "left_anti"), "key", times * tagged.count(), seed)
     rest = source.join(none, "key", "left_semi").select("key", F.lit("unknown_entity").alias("source_id"), F.split("text", " ", -1).alias("tokens")).withColumn("tags", F.transform("tokens", lambda w: F.lit("O")))
     every = stage(tagged.unionByName(rest), "every")

@@ -45,6 +45,50 @@ def test_vocabularies_that_stay_distributed(spark):
     assert one == two and one[1] == [(1, 3), (5, 7)] and one[5] == [(0, 2), (3, 5)] and one[7] == []
 
 
+def test_long_texts_and_large_vocabularies(spark):
+    import time
+
+    rnd = np.random.default_rng(0)
+    words = ["".join(rnd.choice(list("abcdé日"), int(k))) for k in rnd.integers(1, 9, 400)]
+    df = spark.createDataFrame([(i, " ".join(rnd.choice(words, 40_000))[:160_000]) for i in range(3)] + [(9, "x" * 160_000)], "k long, t string")
+    terms = list({" ".join(rnd.choice(words, int(k))) for k in rnd.integers(1, 5, 3000)}) + ["x" * n for n in (1, 7, 64, 1000, 170_000)]
+    vocabulary = spark.createDataFrame([(w,) for w in terms], "term string")
+    began = time.time()
+    large = sorted(tuple(r) for r in matching.substring_matches(df, "t", "k", vocabulary, "term", 0).select("key", "term", "first").collect())
+    took = time.time() - began
+    lowered = {k: t.lower() for k, t in df.collect()}
+    assert large == sorted((k, w, t.find(w)) for k, t in lowered.items() for w in {x.lower() for x in terms} if w in t)
+    assert took < 60 and len([r for r in large if r[0] == 9]) == 4
+    tokens = df.selectExpr("k", "split(t, ' ') as w")
+    one, two = ({r["k"]: [tuple(s) for s in r["spans"]] for r in matching.dictionary_spans(tokens, "k", "w", vocabulary, "term", n).collect()} for n in (10_000, 0))
+    assert one == two and len(one[0]) > 1000
+
+
+def test_a_filter_lets_little_else_through(spark):
+    from tessellex.operators import vocabulary_filter as V
+    from tessellex.session import prepare
+
+    prepare(spark)
+    terms = [f"term {k * k} of {k % 7}" for k in range(5000)]
+    held = V.build(spark.createDataFrame([(w,) for w in terms], "term string"), V.letters, sorted({len(w) for w in terms}))
+    assert all(0 in at for w in terms[::50] for n, at in held.windows(V.letters(w)) if n == len(w))
+    others = [f"form {k * k} at {k % 9}" for k in range(3000)]
+    windows = sum(len(w) - n + 1 for w in others for n in {len(x) for x in terms} if n <= len(w))
+    assert sum(len(at) for w in others for _, at in held.windows(V.letters(w))) < 0.001 * windows + 50
+    x = V.letters("banana banana")
+    assert V.Hashes(x).windows(6)[0] == V.Hashes(x).windows(6)[7] != V.Hashes(x).windows(6)[1] and len(V.Hashes(x).windows(99)) == 0
+
+
+def test_terms_with_one_first_word_are_looked_up(spark):
+    import time
+
+    vocabulary = spark.createDataFrame([("alpha " + " ".join(f"w{k % p}" for p in (3, 1009, 50_021)),) for k in range(50_000)], "term string")
+    df = spark.createDataFrame([(1, ["Alpha", "w1", "w1", "w1", "alpha"] * 4000)], "k long, w array<string>")
+    began = time.time()
+    spans = matching.dictionary_spans(df, "k", "w", vocabulary, "term").first()["spans"]
+    assert [tuple(s) for s in spans[:2]] == [(0, 4), (5, 9)] and len(spans) == 4000 and time.time() - began < 60
+
+
 def test_patent_rows_come_in_the_order_of_files(spark, tmp_path):
     for name, rows in (("b.csv", ["9,first of b,A", "1,common,B"]), ("a.csv", ["7,common,A", "3,\"two\nlines\",C", "8,last of a,A"])):
         (tmp_path / name).write_text("publication_number,title,ipc_code\n" + "\n".join(rows) + "\n")
