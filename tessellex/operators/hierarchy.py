@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,21 +16,77 @@ from .graph import connected_components
 from .similarity import CHUNK, _matrix, chunk_pairs
 
 
-def density_clusters(df: DataFrame, eps: float = 0.5, least: int = 7, chunk: int = CHUNK) -> DataFrame:
+#: Rows that a cell has on average, and cells at most.
+CELL_ROWS, CELLS = 256, 256
+#: Radians by which a computed angle may be off.
+SLACK = 1e-6
+
+
+def angle_cells(unit: DataFrame, eps: float, cells: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """(visitors, residents) of a table (id, v) of unit vectors: each row lives in the cell (``block``) of its nearest pivot, and visits every cell that can hold a row within cosine distance eps.
+
+    Pivots are rows, by a hash of the id: about one for CELL_ROWS rows, CELLS at most. Angles obey the triangle
+    inequality, so a row whose angle to any pivot lies further than that of eps outside the range
+    of a cell's own angles to that pivot has no neighbour there. Nothing is lost; rows that point in all
+    directions alike visit all cells. The ranges are least and greatest values, aggregated before they
+    are shuffled; the driver gets one pair for each two cells.
+    """
+    n = unit.count() if cells is None else 0
+    few = unit.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(cells or max(1, min(CELLS, n // CELL_ROWS))).select("v").collect()
+    if not few:
+        return unit.withColumn("block", F.lit(0)), unit.withColumn("block", F.lit(0))
+    pivots = np.array([r["v"] for r in few], dtype=np.float64)
+    m, reach = len(pivots), float(np.arccos(np.clip(1 - eps, -1, 1))) + SLACK
+
+    def angles(v: pd.Series) -> np.ndarray:
+        return np.arccos(np.clip(_matrix(v) @ pivots.T, -1, 1))
+
+    def spread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low, high = np.full((m, m), np.inf), np.full((m, m), -np.inf)
+        for part in parts:
+            a = angles(part["v"])
+            np.minimum.at(low, a.argmin(axis=1), a)
+            np.maximum.at(high, a.argmin(axis=1), a)
+        cell, pivot = np.nonzero(np.isfinite(low))
+        yield pd.DataFrame({"cell": cell, "pivot": pivot, "low": low[cell, pivot], "high": high[cell, pivot]})
+
+    low, high = np.full((m, m), np.inf), np.full((m, m), -np.inf)  # a cell without rows lets nothing in
+    for r in unit.select("v").mapInPandas(spread, "cell int, pivot int, low double, high double").groupBy("cell", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():
+        low[r["cell"], r["pivot"]], high[r["cell"], r["pivot"]] = r["low"], r["high"]
+
+    @F.pandas_udf("home int, met array<int>")
+    def placed(v: pd.Series) -> pd.DataFrame:
+        a = angles(v)
+        met = [np.flatnonzero(((row >= low - reach) & (row <= high + reach)).all(axis=1)).astype(np.int32) for row in a]
+        return pd.DataFrame({"home": a.argmin(axis=1), "met": met})
+
+    known = stage(unit.select("id", "v", placed("v").alias("c")), "cells")
+    return known.select(F.explode("c.met").alias("block"), "id", "v"), known.select(F.col("c.home").alias("block"), "id", "v")
+
+
+def met_pairs(visitors: DataFrame, residents: DataFrame) -> int:
+    """How many pairs of rows are compared where these meet."""
+    a, b = (f.groupBy("block").agg(F.count("*").alias(n)) for f, n in ((visitors, "a"), (residents, "b")))
+    return int(a.join(b, "block").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0)
+
+
+def density_clusters(df: DataFrame, eps: float = 0.5, least: int = 7, chunk: int = CHUNK, cells: int | None = None) -> DataFrame:
     """(id, cluster): DBSCAN over cosine distance; df has id and v. A cluster is named by its smallest core id, noise is -1.
 
     A core has ``least`` rows within eps, itself included. A row that is no core joins the cluster of
-    the smallest core within eps. Neighbours are counted chunk against chunk; of two chunks' cores only
-    edges that connect them come out, not all pairs.
+    the smallest core within eps. Rows only meet cells that can hold a neighbour (``angle_cells``), chunk
+    against chunk; of two chunks' cores only edges that connect them come out, not all pairs.
     """
-    unit = stage(df.select(F.lit(0).alias("block"), "id", A.normalized(F.col("v")).alias("v")), "unit")
+    unit = stage(df.select("id", A.normalized(F.col("v")).alias("v")), "unit")
+    visitors, residents = angle_cells(unit, eps, cells)
     reach = 1 - eps - 1e-12
 
     def count(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"id": x["id"].to_numpy(), "n": (_matrix(x["v"]) @ _matrix(y["v"]).T >= reach).sum(axis=1)})
 
-    near = chunk_pairs(unit, unit, count, "id long, n long", chunk).groupBy("id").agg(F.sum("n").alias("n"))
-    cores = stage(unit.join(near.filter(F.col("n") >= least).select("id"), "id", "left_semi"), "cores")
+    near = chunk_pairs(visitors, residents, count, "id long, n long", chunk).groupBy("id").agg(F.sum("n").alias("n"))
+    core_ids = stage(near.filter(F.col("n") >= least).select("id"), "core_ids")
+    cores = residents.join(core_ids, "id", "left_semi")
 
     def connect(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         a, b = x["id"].to_numpy(), y["id"].to_numpy()
@@ -46,8 +104,8 @@ def density_clusters(df: DataFrame, eps: float = 0.5, least: int = 7, chunk: int
                 edges += [(a[k], b[j]) if on_left else (a[j], b[k]) for j in new]
         return pd.DataFrame(edges, columns=["a", "b"])
 
-    joined = connected_components(chunk_pairs(cores, cores, connect, "a long, b long", chunk))
-    core_clusters = cores.select("id").join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
+    joined = connected_components(chunk_pairs(visitors.join(core_ids, "id", "left_semi"), cores, connect, "a long, b long", chunk))
+    core_clusters = core_ids.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
 
     def smallest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         ids = y["id"].to_numpy()
@@ -56,7 +114,7 @@ def density_clusters(df: DataFrame, eps: float = 0.5, least: int = 7, chunk: int
         has = close.any(axis=1)
         return pd.DataFrame({"id": x["id"].to_numpy()[has], "core": ids[order][close[has].argmax(axis=1)]})
 
-    rest = unit.join(cores, "id", "left_anti")
+    rest = visitors.join(core_ids, "id", "left_anti")
     border = chunk_pairs(rest, cores, smallest, "id long, core long", chunk).groupBy("id").agg(F.min("core").alias("core"))
     named = border.join(core_clusters.select(F.col("id").alias("core"), "cluster"), "core").select("id", "cluster").unionByName(core_clusters)
     return unit.select("id").join(named, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))

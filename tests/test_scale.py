@@ -34,6 +34,35 @@ def test_large_clusters_are_split(spark):
     assert depths.count() == len(rows) and depths.filter("depth < 0").count() == 0
 
 
+def test_density_clusters_prune_and_lose_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from tessellex.functions import arrays as A
+    from tessellex.session import prepare
+
+    prepare(spark)
+    rnd = np.random.default_rng(6)
+    n = 1500
+    x = rnd.standard_normal((25, 12))[rnd.integers(0, 25, n)] + 0.25 * rnd.standard_normal((n, 12))
+    x[:20] = 0  # no direction
+    x[20:60] = rnd.standard_normal((40, 12))
+    df = spark.createDataFrame([(k, [float(z) for z in v]) for k, v in enumerate(x)], "id long, v array<double>").repartition(4)
+    unit = df.select("id", A.normalized(F.col("v")).alias("v"))
+    for eps, least, counts in ((0.15, 7, (1, 40)), (1.0, 900, (9, 9))):
+        one, many = ({r["id"]: r["cluster"] for r in hierarchy.density_clusters(df, eps, least, chunk=400, cells=c).collect()} for c in counts)
+        assert one == many and len(one) == n
+        close = (lambda u: u @ u.T >= 1 - eps - 1e-12)(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300))
+        cores = np.flatnonzero(close.sum(axis=1) >= least)
+        assert {i for i, c in one.items() if c >= 0} == set(np.flatnonzero(close[:, cores].any(axis=1)).tolist())
+        # rows share a cluster as cores that reach each other do
+        root = {int(c): min(one[int(d)] for d in cores[close[c, cores]]) for c in cores}
+        assert all(root[int(c)] == one[int(c)] for c in cores)
+    assert len(set(one.values())) <= 2
+    visitors, residents = hierarchy.angle_cells(unit, 0.05, 40)
+    assert residents.count() == n and hierarchy.met_pairs(visitors, residents) <= 0.25 * n * n
+    assert hierarchy.density_clusters(df.limit(0)).collect() == []
+
+
 def test_vocabularies_that_stay_distributed(spark):
     texts = [(1, "The quick brown fox; the QUICK brown"), (2, "foxes are quick"), (3, ""), (4, None), (5, "a b c a b"), (6, "quickquick brownfox")]
     df = spark.createDataFrame(texts, "k long, t string").repartition(3)
