@@ -63,6 +63,40 @@ def test_density_clusters_prune_and_lose_nothing(spark):
     assert hierarchy.density_clusters(df.limit(0)).collect() == []
 
 
+def test_retrieval_leaves_out_blocks_that_cannot_reach_the_best(spark):
+    from tessellex.operators import retrieval
+
+    rnd = np.random.default_rng(9)
+    topic = lambda k: [f"t{k}w{j}" for j in rnd.integers(0, 30, 12)]
+    stop = lambda n: [f"s{j}" for j in np.minimum(rnd.zipf(1.5, n), 15)]
+    rows = [(i, f"title {i % 40}", " ".join([*topic(i % 40), *stop(25)])) for i in range(1200)] + [(5000, None, None), (5001, "", "s1 s1")]
+    docs = spark.createDataFrame(rows, "doc long, title string, body string").repartition(4)
+    asked = [(q, " ".join([*topic(q), *stop(4)])) for q in range(25)] + [(90, ""), (91, "nowhere"), (92, None), (93, "s1 s2 s3")]
+    queries_ = spark.createDataFrame(asked, "query long, text string")
+    links = spark.createDataFrame([(i, i % 3) for i in range(0, 1200, 2)], "doc long, links long")
+    fields = {"title": 1.0, "body": 0.5}
+    index = retrieval.inverted_index(docs, "doc", fields)
+    plain = {(r["token"], r["doc"]): r["s"] for r in retrieval.weighted(index, len(rows), fields).collect()}
+    by_token = {}
+    for (t, d), s in plain.items():
+        by_token.setdefault(t, []).append((d, s))
+    for boost in (None, links):
+        report = retrieval.Report()
+        found = retrieval.bm25(index, len(rows), queries_, fields, 5, boost, block=16, report=report)
+        expected = []
+        for q, text in asked:
+            score = {}
+            for t in dict.fromkeys((text or "").split()):
+                for d, s in by_token.get(t, ()):
+                    score[d] = score.get(d, 0) + s
+            own = [(-round(s + (np.log(d % 3 + 1) if boost is not None and d < 1200 and d % 2 == 0 else 0), 9), d) for d, s in score.items()]
+            expected += [(q, n, d, -s) for n, (s, d) in enumerate(sorted(own)[:5], 1)]
+        rows_ = sorted((r["query"], r["rank"], r["doc"], r["score"]) for r in found.collect())
+        assert [r[:2] for r in rows_] == [r[:2] for r in expected] and [r[3] for r in rows_] == pytest.approx([r[3] for r in expected], abs=1e-8)
+        assert sum(a[2] != b[2] for a, b in zip(rows_, expected)) <= 2  # ties within rounding
+        assert report.every > 0 and report.read <= 0.5 * report.every
+
+
 def test_vocabularies_that_stay_distributed(spark):
     texts = [(1, "The quick brown fox; the QUICK brown"), (2, "foxes are quick"), (3, ""), (4, None), (5, "a b c a b"), (6, "quickquick brownfox")]
     df = spark.createDataFrame(texts, "k long, t string").repartition(3)
