@@ -29,9 +29,8 @@ def expressions(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
 
 
-def candidates(pairs: DataFrame, rules: DataFrame, lengths: list[int], short: int = SHORT) -> DataFrame:
-    """Each expression of (host, path) pairs beside every rule whose digest begins with the same ``short`` hex digits; both digests are there to be compared."""
-    asked = pairs.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), lengths)).alias("e")).withColumn("asked", F.sha2("e", 256))
+def candidates(asked: DataFrame, rules: DataFrame, short: int = SHORT) -> DataFrame:
+    """Each expression's digest (asked, once each) beside every rule whose digest begins with the same ``short`` hex digits; both digests are there to be compared."""
     return asked.withColumn("short", F.substring("asked", 1, short)).join(small(rules.withColumn("short", F.substring("full", 1, short))), "short")
 
 
@@ -46,8 +45,10 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "all
     Rows repeat as they do in df.
 
     Different (host, path) pairs are expanded once, so a host with very many rows costs one. Each
-    expression's SHA-256 is joined with the rules' on the first ``short`` hex digits alone; what meets
-    is confirmed by the whole digest. Only pairs that have a rule are joined back: broadcast if their
+    different expression's SHA-256, with how many pairs have it, is joined once with the rules' on the
+    first ``short`` hex digits alone, so that a suffix which nearly every pair has is one row there; what
+    meets is confirmed by the whole digest. What is confirmed goes back to the pairs: broadcast if its
+    measured bytes allow it, else by a shuffle that deals such expressions out. Only pairs that have a rule are joined back: broadcast if their
     measured bytes allow it, else by a shuffle that deals hot pairs out. The driver gets the different
     lengths of the rules' paths, which a path's longest length bounds.
     """
@@ -60,7 +61,13 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", default: str = "all
     rank = F.struct((F.length("rh") + F.length("rp")).alias("n"), F.length("rh").alias("h"), (F.col("rv") == "block").alias("b"), F.concat("rh", "rp").alias("rule"), F.col("rv").alias("verdict"))
     keyed = stage(given.select(F.sha2(F.concat("rh", "rp"), 256).alias("full"), rank.alias("rank")).groupBy("full").agg(F.max("rank").alias("rank")), "rules")
     pairs = placed.select("host", "path").distinct()
-    best = stage(candidates(pairs, keyed, lengths, short).filter(F.col("asked") == F.col("full")).groupBy("host", "path").agg(F.max("rank").alias("rank")), "ruled")
+    every = pairs.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), lengths)).alias("e")).select("host", "path", F.sha2("e", 256).alias("asked"))
+    met = candidates(every.groupBy("asked").agg(F.count("*").alias("many")), keyed, short).filter(F.col("asked") == F.col("full"))
+    fit = stage(met.select("asked", "many", "rank"), "fit")
+    ranks = fit.select("asked", "rank")
+    held = small(ranks)
+    fitting = every.join(held, "asked") if held is not ranks else salted(every, ranks, ["asked"], counts=fit.select("asked", "many"))
+    best = stage(fitting.groupBy("host", "path").agg(F.max("rank").alias("rank")), "ruled")
     held = small(best)
     judged = placed.join(held, ["host", "path"], "left") if held is not best else salted(placed, best, ["host", "path"], "left")
     return together(judged, host=F.col("host"), path=F.col("path"), rule=F.col("rank.rule"), verdict=F.coalesce("rank.verdict", F.lit(default)))

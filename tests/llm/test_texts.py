@@ -1,6 +1,8 @@
 import hashlib
+import math
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from tessellex.functions import staging
 from tessellex.llm import fingerprints, langid, line_dedup, pii, queries, url_filters
 
-from .helpers import ROWS, SMALL, documents, levenshtein
+from .helpers import BASE, ROWS, SMALL, documents, levenshtein
 
 # language ID
 
@@ -51,6 +53,42 @@ def test_language_of_awkward_rows(spark):
 # fingerprints
 
 
+def plain_fingerprint(text):
+    """Length code, ratios and quartile levels, with loops over bytes and sorted counts."""
+    data = list(text.encode())
+    counts = [0] * 256
+    padded = data + [0] * max(0, 5 - len(data)) if data else []
+    for at in range(len(padded) - 4):
+        for k, (i, j) in enumerate([(1, 2), (1, 3), (2, 3), (2, 4), (1, 4), (3, 4)]):
+            h = (padded[at] * 2654435761 + padded[at + i] * 2246822519 + padded[at + j] * 3266489917 + k * 0x9E3779B1) % 2**32
+            h = (h ^ h >> 15) * 0x85EBCA6B % 2**32
+            counts[h >> 24] += 1
+    q1, q2, q3 = (sorted(counts)[at] for at in (63, 127, 191))
+    ratios = (15 * q1 // q3) * 16 + 15 * q2 // q3 if q3 else 0
+    bits = "".join(f"{(c > q1) + (c > q2) + (c > q3):02b}" for c in counts)
+    return f"{min(255, round(math.log(len(data) + 1, 1.1))):02x}{ratios:02x}{int(bits, 2):0128x}"
+
+
+def plain_likeness(a, b):
+    x, y = (bin(int(f, 16))[2:].zfill(528) for f in (a, b))
+    moves = sum({0: 0, 1: 1, 2: 2, 3: 6}[abs(int(x[k : k + 2], 2) - int(y[k : k + 2], 2))] for k in range(16, 528, 2))
+    header = 2 * abs(int(a[:2], 16) - int(b[:2], 16)) + 2 * (abs(int(a[2], 16) - int(b[2], 16)) + abs(int(a[3], 16) - int(b[3], 16)))
+    return 1.0 if a == b else max(0.0, 1 - (moves + min(64, header)) / (416 + 64))
+
+
+def test_digest_and_likeness_by_definition():
+    rnd = np.random.default_rng(11)
+    texts = ["", "a", "ab", "abcde", "é", "日本語のテキスト 😀", "x" * 5000, BASE, BASE + "!", BASE * 40, " ".join(f"w{k}" for k in rnd.integers(0, 900, 8000))]
+    texts += ["".join(rnd.choice(list("abcdef ghé"), int(n))) for n in rnd.integers(0, 400, 40)]
+    found = [fingerprints.digest(t) for t in texts]
+    assert found == [plain_fingerprint(t) for t in texts]
+    for a in found[:16]:
+        for b in found:
+            assert fingerprints.likeness(a, b) == pytest.approx(plain_likeness(a, b), abs=1e-12) == pytest.approx(fingerprints.likeness(b, a), abs=1e-12)
+    assert found[0] == "0" * 132 and {len(f) for f in found} == {132}
+    assert fingerprints.likeness(found[7], found[8]) > 0.8 > fingerprints.likeness(found[7], found[10])
+
+
 def test_edits_by_definition(spark):
     for rows in (ROWS, ROWS[:1], [(3, None), (3, None)], [(1, "a"), (1, "b"), (2, "c d e f g")]):
         order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
@@ -117,14 +155,39 @@ def test_short_prefixes_meet_and_whole_digests_confirm(spark):
     """One hex digit leaves 16 prefixes, so expressions meet rules that aren't theirs; the join is on the prefix alone."""
     rules = spark.createDataFrame([(f"h{k}.com", "/", "block") for k in range(64)], "host string, path string, verdict string")
     keyed = rules.select(F.sha2(F.concat("host", "path"), 256).alias("full"), F.col("host").alias("rank"))
-    pairs = spark.createDataFrame([("a.h1.com", "/x")], "host string, path string")
-    met = url_filters.candidates(pairs, keyed, [1], 1)
+    asked = spark.createDataFrame([(e,) for e in ("a.h1.com/", "h1.com/", "com/")], "e string").select(F.sha2("e", 256).alias("asked"))
+    met = url_filters.candidates(asked, keyed, 1)
     assert met.count() > 3 and met.filter("asked = full").count() == 1
     assert met.filter("substring(asked, 1, 1) <> substring(full, 1, 1)").count() == 0
     pages = spark.createDataFrame([("http://a.h1.com/x",), ("http://h64.com/",), ("http://h1.com",)], "url string")
     assert [(r["rule"], r["verdict"]) for r in url_filters.judge(pages, rules, short=1).orderBy("url").collect()] == [("h1.com/", "block"), (None, "allow"), (None, "allow")]
 
 
+def test_a_suffix_that_all_pairs_have_is_dealt_out(spark, monkeypatch):
+    """With the broadcast refused, rows of com/ are in many partitions, and results stay."""
+    monkeypatch.setattr(staging, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(staging, "HOT_ROWS", 100)
+    sizes = []
+    salted = url_filters.salted
+
+    def watched(many, once, on, how="inner", counts=None):
+        out = salted(many, once, on, how, counts)
+        sizes.append(sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()))
+        return out
+
+    monkeypatch.setattr(url_filters, "salted", watched)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pages = spark.range(4000).select(F.concat(F.lit("http://h"), "id", F.lit(".com/a")).alias("url"))
+        rules = spark.createDataFrame([("com", "/", "block"), ("h7.com", "/a", "allow")], "host string, path string, verdict string")
+        found = {r["verdict"]: r["count"] for r in url_filters.judge(pages, rules).groupBy("verdict").count().collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert found == {"block": 3999, "allow": 1}
+    assert sum(sizes[0]) == 4001 and sizes[0][-1] < 0.6 * 4001
+
+
 # line dedup
 
 
