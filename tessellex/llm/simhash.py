@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 from functools import lru_cache
 from itertools import combinations
 
@@ -284,8 +285,8 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
 
 #: Shingles that a task sorts at once, in the mean.
 BUCKET = 1 << 20
-#: Texts that a task compares at once; a cluster with more is dealt out in blocks.
-CHUNK = 1 << 14
+#: Texts, and shingles of these together, that a block of a cluster has at most, but for one text alone; a cluster with more is dealt out in blocks, of which at most two meet in a task.
+CHUNK, SHINGLES = 1 << 14, 1 << 21
 #: Texts beyond which a shingle is hot: its rows never meet in one task. The HOT_SHINGLES hottest are treated so.
 HOT_TEXTS, HOT_SHINGLES = 1 << 18, 1 << 16
 #: Texts of a cluster beyond one block that are compared with all of it first.
@@ -334,7 +335,7 @@ def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
 
     def table(here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        values, owner = np.concatenate([sets[i] for i in here]), np.repeat(np.arange(len(here)), sizes[here])
+        values, owner = np.concatenate([sets[i] for i in here]), np.repeat(np.arange(len(here), dtype=np.int32), sizes[here])
         order = np.argsort(values, kind="stable")
         return values[order], owner[order]
 
@@ -366,21 +367,25 @@ def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     return edges
 
 
-def near_sets(texts: DataFrame, width: int, similarity: float, bucket: int = BUCKET, chunk: int = CHUNK, hot_texts: int = HOT_TEXTS) -> DataFrame:
+def near_sets(texts: DataFrame, width: int, similarity: float, bucket: int = BUCKET, chunk: int = CHUNK, hot_texts: int = HOT_TEXTS, shingles: int = SHINGLES) -> DataFrame:
     """(a, b): edges that connect all nodes whose sets of ``width`` words have a Jaccard similarity of at least ``similarity``.
 
     texts (staged) has one row for each different set: node (long), size (of the set) and text. No
-    such pair is lost, at any size of the table. A set shares at least similarity * size of its
+    such pair is lost, at any size of the table, but for hashes: of 64 bits for shingles, and of 32 for the
+    nodes in step (1), where a pair whose nodes agree in them, and that shares its shingles with no third
+    text, passes for one text; that has a chance of 2^-32 for each pair. A set shares at least similarity * size of its
     shingles with a near one, so (1) a text with fewer shingles that another text has too has none.
     Of those left, (2) each takes the rarest shingles, one more than it may have alone: two near sets
     have one of these in common. (3) Texts connected by such shingles form a cluster, in which the
     sets themselves are compared.
 
     A shingle of more than about ``hot_texts`` texts, estimated from one text in SAMPLE, is known to be
-    shared and frequent, so its rows need not meet: they are dealt out by text, and connect to a text
-    of the sample that has it. A cluster of more than ``chunk`` texts is compared block by block, each
-    with PIVOTS texts of the whole cluster; then what isn't in its largest class meets every block.
-    That costs the square only of what is unlike its own cluster.
+    shared and frequent, so its rows need not meet (but for those beyond the HOT_SHINGLES most frequent):
+    they are dealt out by text, and connect to a text of the sample that has it. A cluster of more than
+    ``chunk`` texts, or of more than ``shingles`` shingles, is compared block by block, each with up to
+    PIVOTS texts of the whole cluster; then what isn't in its largest class meets every block. That costs
+    the square only of what is unlike its own cluster. Texts become sets as they come, so that a task
+    holds the shingles of two blocks, some 40 bytes each, and no more than a batch of texts.
     """
     known = texts.agg(F.sum("size"), F.count("*")).first()
     buckets = max(1, -(-(known[0] or 0) // bucket))
@@ -485,12 +490,15 @@ def near_sets(texts: DataFrame, width: int, similarity: float, bucket: int = BUC
     clusters = stage(connected_components(gathered(third, posting, stars, "a long, b long")), "clusters")
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by = ["component", "task"]
-        for rows in runs(parts, by):
-            node, sets, out = rows["node"].to_numpy(dtype=np.int64), sets_of(rows), []
-            begins = np.flatnonzero((rows[by] != rows[by].shift()).any(axis=1).to_numpy())
-            for b, e in zip(begins, np.append(begins[1:], len(rows))):
-                out += [(node[b + x], node[b + y]) for x, y in alike(sets[b:e], similarity)]
+        key, node, sets = None, [], []
+        for part in chain(parts, [None]):
+            out: list[tuple[int, int]] = []
+            for *own, n, text in [(None, None, 0, "")] if part is None else zip(part["component"], part["task"], part["node"], part["text"]):
+                if own != key:
+                    out += [(node[x], node[y]) for x, y in (alike(sets, similarity) if len(sets) > 1 else ())]
+                    key, node, sets = own, [], []
+                node.append(n)
+                sets.append(shingle_set(text, width))
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
 
@@ -499,22 +507,27 @@ def near_sets(texts: DataFrame, width: int, similarity: float, bucket: int = BUC
         dealt = members.join(left.select("node", "text"), "node").select("component", "task", "node", "text")
         return dealt.repartition("component", "task").sortWithinPartitions("component", "task", "node").mapInPandas(compare, "a long, b long").distinct()
 
-    sizes = stage(clusters.groupBy("component").agg(F.ceil(F.count("*") / chunk).alias("deals")).filter("deals > 1"), "sizes")
+    blocks_of = lambda n, size: F.greatest(F.ceil(n / chunk), F.ceil(size / shingles))
+    sized = stage(clusters.join(left.select("node", "size"), "node"), "sized")
+    sizes = stage(sized.groupBy("component").agg(blocks_of(F.count("*"), F.sum("size")).alias("deals")).filter("deals > 1"), "sizes")
     zero, block = F.lit(0).cast("long"), lambda deals: F.pmod(F.xxhash64("node"), F.col(deals))
     up_to = lambda deals: F.sequence(zero, F.col(deals) - 1)
     if not sizes.head(1):
         return compared(clusters.withColumn("task", zero))
     in_one = clusters.join(small(sizes), "component", "left_anti").select("component", zero.alias("task"), "node")
-    in_many = stage(clusters.join(small(sizes), "component"), "many")
-    first_ones = in_many.withColumn("r", F.row_number().over(W.Window.partitionBy("component").orderBy(F.xxhash64("node", F.lit(2)), "node"))).filter(F.col("r") <= PIVOTS)
+    in_many = stage(sized.join(small(sizes), "component"), "many")
+    by_hash = W.Window.partitionBy("component").orderBy(F.xxhash64("node", F.lit(2)), "node")
+    first_ones = in_many.withColumn("r", F.row_number().over(by_hash)).filter(F.col("r") <= PIVOTS)
+    first_ones = first_ones.withColumn("upto", F.sum("size").over(by_hash)).filter((F.col("r") == 1) | (F.col("upto") <= shingles // 4))
     pivots = first_ones.select("component", F.explode(up_to("deals")).alias("task"), "node")
     blocks = in_many.select("component", block("deals").alias("task"), "node")
     edges = stage(compared(in_one.unionByName(blocks.unionByName(pivots).distinct())), "edges")
 
     label = F.coalesce("label", "node").alias("label")
-    labelled = stage(in_many.join(connected_components(edges).withColumnRenamed("component", "label"), "node", "left").select("component", "node", label), "labelled")
-    most = labelled.groupBy("component", "label").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.sum("n").alias("all"), F.max("n").alias("n"))
-    most = stage(most.filter(F.col("all") > F.col("n")).select("component", "most", F.ceil(F.col("n") / chunk).alias("inner"), F.ceil((F.col("all") - F.col("n")) / chunk).alias("outer")), "most")
+    labelled = stage(in_many.join(connected_components(edges).withColumnRenamed("component", "label"), "node", "left").select("component", "node", "size", label), "labelled")
+    most = labelled.groupBy("component", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size")).groupBy("component").agg(F.max(F.struct("n", "label", "size")).alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    others = blocks_of(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size"))
+    most = stage(most.filter(F.col("n") > F.col("most.n")).select("component", F.col("most.label").alias("most"), blocks_of(F.col("most.n"), F.col("most.size")).alias("inner"), others.alias("outer")), "most")
     if not most.head(1):
         return edges
     placed = labelled.join(small(most), "component").withColumn("own", F.when(F.col("label") == F.col("most"), -1 - block("inner")).otherwise(block("outer")))
@@ -541,7 +554,7 @@ def _row_key(text, doc_id) -> tuple:
 ROW_KEY = ("anonymous", "doc_id", "t1", "t2")
 
 
-def _similar(df: DataFrame, text: str, doc_id: str, width: int, similarity: float, bucket: int = BUCKET, chunk: int = CHUNK, hot_texts: int = HOT_TEXTS) -> DataFrame:
+def _similar(df: DataFrame, text: str, doc_id: str, width: int, similarity: float, bucket: int = BUCKET, chunk: int = CHUNK, hot_texts: int = HOT_TEXTS, shingles: int = SHINGLES) -> DataFrame:
     """ROW_KEY of each row, and ``least``: the smallest such key of its class."""
 
     @F.pandas_udf("node long, other long, size long")
@@ -562,17 +575,17 @@ def _similar(df: DataFrame, text: str, doc_id: str, width: int, similarity: floa
     many = own.select("node", "size", "text", "row")
     held = small(copies)
     once = (many.join(held, "node", "left") if held is not copies else salted(many, copies, ["node"], "left")).filter("chosen is null or chosen = row").select("node", "size", "text")
-    edges = near_sets(stage(once, "texts") if held is copies else once, width, similarity, bucket, chunk, hot_texts)
+    edges = near_sets(stage(once, "texts") if held is copies else once, width, similarity, bucket, chunk, hot_texts, shingles)
     return _named(own.select(*ROW_KEY, "node"), groups.select("node", "least"), edges).select(*ROW_KEY, "least")
 
 
-def similar_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8, bucket: int = BUCKET, chunk: int = CHUNK, hot_texts: int = HOT_TEXTS) -> DataFrame:
+def similar_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8, bucket: int = BUCKET, chunk: int = CHUNK, hot_texts: int = HOT_TEXTS, shingles: int = SHINGLES) -> DataFrame:
     """(doc_id, component_id) of each row: classes of texts connected by a Jaccard similarity of their sets of ``width`` words of at least ``similarity``.
 
     All such pairs count and no others (near_sets). Nulls, empty texts, repeated rows and other
-    columns as in ``classes``; bucket, chunk and hot_texts change the size of tasks only.
+    columns as in ``classes``; bucket, chunk, hot_texts and shingles change the size of tasks only.
     """
-    return _similar(df, text, doc_id, width, similarity, bucket, chunk, hot_texts).select("doc_id", F.col("least.doc_id").alias("component_id"))
+    return _similar(df, text, doc_id, width, similarity, bucket, chunk, hot_texts, shingles).select("doc_id", F.col("least.doc_id").alias("component_id"))
 
 
 def representatives(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -145,13 +145,26 @@ def crowd():
     return rows + [(400 + k, " ".join(text)) for k in range(20)]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"bucket": 3000, "chunk": 16}, {"bucket": 3000, "chunk": 7, "hot_texts": 60}])
+@pytest.mark.parametrize("sizes", [{}, {"bucket": 3000, "chunk": 16}, {"bucket": 3000, "chunk": 7, "hot_texts": 60}, {"shingles": 2000}])
 def test_similar_classes_of_a_crowd(spark, sizes):
     rows = crowd()
     texts = dict(rows)
     assert named(spark, rows, **sizes) == components(list(texts), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
 
 
+def test_long_near_copies_take_bounded_memory():
+    """Sets of a block against each other: some 40 bytes a shingle beyond the sets."""
+    import tracemalloc
+
+    base = np.arange(20_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sets = [np.sort(np.concatenate([base[k * 10 : 18_000 + k * 10], np.arange(500, dtype=np.uint64) + np.uint64(10**12 + k * 1000)])) for k in range(60)]
+    tracemalloc.start()
+    edges = simhash.alike(sets, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(edges) == 59 and peak < 48 * sum(map(len, sets))
+
+
 def test_representatives_go_by_row_and_not_by_id(spark):
     a, b, c = "the first text has some words that no other has at all", "here is a second one unlike it in each of its words", "something else entirely stands written in this last example"
     for rows, stay in (
