@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.staging import stage
+
 
 def lookup_cascade(df: DataFrame, tries: list[Column], table: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """df with the value that table has for the first of several keys it knows; null for none. table's keys are unique.
 
     All keys of a row are looked up in one join: they are exploded with their place, and each row keeps
-    the first place found.
+    the first place found. Rows are numbered once, in a table in the shared folder, so that they find
+    themselves again however often a task runs. Columns of df may have any names.
     """
-    row = df.withColumn("_row", F.monotonically_increasing_id())
-    asked = row.select("_row", F.posexplode(F.array(*tries)).alias("_place", key)).filter(F.col(key).isNotNull())
-    found = asked.join(table.select(key, value), key).groupBy("_row").agg(F.min_by(value, "_place").alias(out))
-    return row.join(found, "_row", "left").drop("_row")
+    rows = stage(df.select(F.struct(*(F.col(f"`{c}`").alias(c) for c in df.columns)).alias("row"), F.array(*tries).alias("tries"), F.monotonically_increasing_id().alias("number")), "rows")
+    asked = rows.select("number", F.posexplode("tries").alias("place", "asked")).filter("asked is not null")
+    found = asked.join(table.select(F.col(key).alias("asked"), F.col(value).alias("value")), "asked").groupBy("number").agg(F.min_by("value", "place").alias("value"))
+    return rows.join(found, "number", "left").select("row.*", F.col("value").alias(out))
 
 
 def remap_spans(df: DataFrame, spans: str, mapping: DataFrame, row_id: str) -> DataFrame:

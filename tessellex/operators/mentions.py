@@ -124,10 +124,16 @@ def thresholds(df: DataFrame, key: str, entity: str, score: str, correct: str, g
     return table.select("threshold", *rates(F.col("tp"), F.col("predicted"), F.lit(gold)))
 
 
-def class_index(df: DataFrame) -> DataFrame:
-    """(class, layer, ids) over entities (id, codes, layer): a class is a code's first character, a missing layer counts as 3."""
+def class_index(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """(class, layer, part, ids) over entities (id, codes, layer): a class is a code's first character, a missing layer counts as 3.
+
+    The ids of a class and layer are dealt by a hash into as many sorted parts as keep them to about
+    ``most`` each, so that no row and no task holds a whole class.
+    """
     each = df.select("id", F.coalesce("layer", F.lit(3)).alias("layer"), F.explode(F.array_distinct(F.transform(F.filter("codes", lambda c: c != ""), lambda c: F.substring(c, 1, 1)))).alias("class"))
-    return each.groupBy("class", "layer").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    sizes = each.groupBy("class", "layer").agg(F.ceil(F.count("*") / most).alias("parts"))  # as many rows as there are classes and layers
+    dealt = each.join(F.broadcast(sizes), ["class", "layer"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    return dealt.groupBy("class", "layer", "part").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
 def star_edges(links: DataFrame, centre: str, target: str, order: str, most: int = 100, negatives: int = 0, seed: int = 42) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from ..functions.staging import fresh_folder
 from ..operators import filters, ids, metrics, sampling, tagging
 from ..operators import mentions as M
 from ..sources import scans, sinks
+from ..streaming import ledger
 from ..streaming import queries as streams
 
 
@@ -22,10 +21,10 @@ def _folder(df: DataFrame) -> str:
 
 
 def _lines(df: DataFrame, line, order: str | None = None) -> str:
-    """A text folder with a line for each row; one file in order, if asked."""
+    """A text folder with a line for each row; if asked, files whose names follow that order, and so do the lines in each."""
     path = _folder(df)
     rows = df.select(line.alias("value"), *([order] if order else []))
-    rows = rows.coalesce(1).sortWithinPartitions(order).select("value") if order else rows
+    rows = rows.repartitionByRange(4, order).sortWithinPartitions(order).select("value") if order else rows
     rows.write.text(path)
     return path
 
@@ -42,7 +41,7 @@ def csv_scan(t):
 def csv_first_ids(t):
     part = t("part").select(F.col("p_partkey").cast("string").alias("publication_number"), F.col("p_name").alias("title"), F.col("p_brand").alias("ipc_code"), "p_partkey")
     path = _folder(part)
-    part.coalesce(1).sortWithinPartitions(F.desc("p_partkey")).drop("p_partkey").write.csv(path, header=True, quoteAll=True)
+    part.repartitionByRange(4, F.desc("p_partkey")).sortWithinPartitions(F.desc("p_partkey")).drop("p_partkey").write.csv(path, header=True, quoteAll=True)
     return ids.title_groups(scans.patents_csv(part.sparkSession, path), "title", "publication_number", "ipc_code", "place").select("patent_id", "title")
 
 
@@ -103,9 +102,11 @@ def triples_scan(t):
 
 @query("SELECT DISTINCT p_name AS name FROM part UNION ALL SELECT DISTINCT p_brand FROM part")
 def names_scan(t):
-    one = t("part").agg(F.to_json(F.collect_set(F.struct(F.col("p_name").alias("name")))).alias("j"))
-    two = t("part").agg(F.to_json(F.struct(F.collect_set("p_brand").alias("level2"))).alias("j"))
-    return one.unionByName(two).select(F.explode(scans.names_of(F.col("j"))).alias("name"))
+    # a document for each brand, and one for each size
+    lists = t("part").groupBy("p_brand").agg(F.to_json(F.collect_set(F.struct(F.col("p_name").alias("name")))).alias("j"))
+    objects = t("part").groupBy("p_size").agg(F.to_json(F.struct(F.collect_set("p_brand").alias("level2"))).alias("j"))
+    names = lambda f: f.select(F.explode(scans.names_of(F.col("j"))).alias("name")).distinct()
+    return names(lists).unionByName(names(objects))
 
 
 @query("SELECT 'Q' || p_partkey::VARCHAR AS id, p_name AS title, p_brand AS label, p_type AS description, p_type AS alias FROM part WHERE p_size % 4 <> 0")
@@ -300,13 +301,28 @@ def stage_counts(t):
     return metrics.stage_counts({n: t(n) for n in ("part", "orders", "lineitem")})
 
 
-@query("SELECT DISTINCT event_type FROM events")
+@query("SELECT DISTINCT event_type, ts::DATE::VARCHAR AS day FROM events")
 def first_titles(t):
-    events = t("events").select("event_type", "ts")
+    events = t("events").select(F.to_date("ts").cast("string").alias("day"), "event_type", "ts")
     path = _folder(events)
     events.write.parquet(f"{path}/in")
-    stream = streams.first_titles(streams.read_folder(events.sparkSession, f"{path}/in", events), "event_type", "ts", "20000 days").select("event_type")
-    return streams.run_once(stream, f"first_titles_{uuid.uuid4().hex}", f"{path}/state")
+    rows = streams.read_folder(events.sparkSession, f"{path}/in", events, 10_000).withColumn("key", F.concat_ws("|", "event_type", "day"))
+    return streams.run_once(streams.first_titles(rows, "key", "ts", "1 day").select("event_type", "day"), f"{path}/out", f"{path}/state")
+
+
+@query("""
+WITH r AS (SELECT trim(p_name) AS title, (p_size % 2, p_partkey) AS place, p_partkey::VARCHAR AS pub, trim(p_brand) AS code FROM part WHERE trim(p_name) <> ''),
+g AS (SELECT title, min(place) AS first, list_sort(list(DISTINCT pub)) AS pubs, list_sort(list(DISTINCT code)) AS codes FROM r GROUP BY title)
+SELECT 'A' || lpad((row_number() OVER (ORDER BY first))::VARCHAR, 7, '0') AS patent_id, title, array_to_string(pubs, ',') AS publication_numbers, array_to_string(codes, ',') AS ipc_codes FROM g
+""")
+def titles_across_runs(t):
+    part = t("part").select(F.col("p_partkey").cast("string").alias("publication_number"), F.col("p_name").alias("title"), F.col("p_brand").alias("ipc_code"), "p_partkey", "p_size")
+    spark, path = part.sparkSession, _folder(part)
+    for later in (0, 1):
+        month = part.filter(F.col("p_size") % 2 == later).repartitionByRange(3, "p_partkey").sortWithinPartitions("p_partkey")
+        month.drop("p_partkey", "p_size").write.csv(f"{path}/in/{later}", header=True, quoteAll=True)
+        ledger.run(spark, f"{path}/in", f"{path}/ledger")
+    return ledger.library(spark, f"{path}/ledger").select("patent_id", "title", *(F.array_join(c, ",").alias(c) for c in ("publication_numbers", "ipc_codes")))
 
 
 @query("""

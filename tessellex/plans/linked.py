@@ -149,7 +149,8 @@ SELECT class, layer::INT AS layer, count(*)::INT AS n, min(id) AS first, max(id)
 """)
 def class_index(t):
     df = t("part").select(F.col("p_partkey").alias("id"), F.array("p_brand", "p_type").alias("codes"), F.when(F.col("p_size") % 4 > 0, F.col("p_size") % 4 + 3).cast("int").alias("layer"))
-    return mentions.class_index(df).select("class", "layer", F.size("ids").alias("n"), F.array_min("ids").alias("first"), F.array_max("ids").alias("last"))
+    parts = mentions.class_index(df).groupBy("class", "layer")
+    return parts.agg(F.sum(F.size("ids")).cast("int").alias("n"), F.min(F.array_min("ids")).alias("first"), F.max(F.array_max("ids")).alias("last"))
 
 
 @query("""

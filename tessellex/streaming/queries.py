@@ -40,8 +40,19 @@ def upsert_vectors(path: str, encode):
     return step
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that is there now through the stream, into a table in memory; resumes from its checkpoint."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """All that is there now through the stream, into Parquet files under ``path``; resumes from its checkpoint.
+
+    In append mode files grow by what is new, each batch once. In complete mode the table is that of the last batch, a folder for each.
+    """
+    if mode == "append":
+        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    last = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last[:] = [number]
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/batch={last[0]}") if last else stream.sparkSession.createDataFrame([], stream.schema)

@@ -217,11 +217,11 @@ def test_stream_equals_batch(spark, tmp_path):
     events.repartition(3).write.parquet(str(tmp_path / "e"))
     stream = streams.read_folder(spark, str(tmp_path / "e"), events, 10)
     batch = {tuple(r) for r in streams.event_counts(events).collect()}
-    live = {tuple(r) for r in streams.run_once(streams.event_counts(stream, late="400 days"), "counts", str(tmp_path / "c1"), "complete").collect()}
+    live = {tuple(r) for r in streams.run_once(streams.event_counts(stream, late="400 days"), str(tmp_path / "o1"), str(tmp_path / "c1"), "complete").collect()}
     assert live == batch
-    users = {tuple(r) for r in streams.run_once(streams.sessions(stream, late="400 days"), "runs", str(tmp_path / "c2"), "complete").collect()}
+    users = {tuple(r) for r in streams.run_once(streams.sessions(stream, late="400 days"), str(tmp_path / "o2"), str(tmp_path / "c2"), "complete").collect()}
     assert users == {tuple(r) for r in streams.sessions(events).collect()}
-    types = streams.run_once(streams.first_titles(stream, "event_type", "ts", "400 days"), "firsts", str(tmp_path / "c3"))
+    types = streams.run_once(streams.first_titles(stream, "event_type", "ts", "400 days"), str(tmp_path / "o3"), str(tmp_path / "c3"))
     assert types.count() == events.select("event_type").distinct().count()
     step = streams.upsert_vectors(str(tmp_path / "u"), lambda rows: rows.select("id", F.array(F.lit(1.0)).alias("v")))
     step(spark.range(3), 0)
@@ -274,3 +274,36 @@ def test_small_text_forms(spark):
     assert one(spark, T.page_id, "https://en.wikipedia.org/wiki?curid=42") == 42 and one(spark, T.title_case, "44th x-y") == "44Th X-Y"
     nested = spark.createDataFrame([("US-1", [("Titel", "de"), ("Title", "en")], [("A21C",), ("A22C",)])], "publication_number string, title_localized array<struct<text:string,language:string>>, ipc array<struct<code:string>>")
     assert sorted(tuple(r) for r in scans.nested_export(nested).collect()) == [("US-1", "Title", "A21C"), ("US-1", "Title", "A22C")]
+
+
+def test_ids_outlive_runs(spark, tmp_path):
+    from tessellex.streaming import ledger
+
+    head = "publication_number,title,ipc_code\n"
+    put(tmp_path / "in" / "2024-02.csv", head + '3,"two\nlines",A\n4, common ,B\n5,,C\n')
+    put(tmp_path / "in" / "2024-01.csv", head + "1,common,A\n2,first,A\n")
+    for folder in ("one", "two"):  # a single run, and the same files in two
+        if folder == "two":
+            put(tmp_path / "late" / "2024-02.csv", (tmp_path / "in" / "2024-02.csv").read_text())
+            put(tmp_path / "late" / "2024-01.csv", (tmp_path / "in" / "2024-01.csv").read_text())
+        source = str(tmp_path / ("in" if folder == "one" else "late"))
+        ledger.run(spark, source, str(tmp_path / folder))
+        before = sorted(map(tuple, ledger.library(spark, str(tmp_path / folder)).collect()))
+        assert before == [("A0000001", "common", ["1", "4"], ["A", "B"]), ("A0000002", "first", ["2"], ["A"]), ("A0000003", "two\nlines", ["3"], ["A"])]
+        put(tmp_path / ("in" if folder == "one" else "late") / "2024-03.csv", head + "6,new,D\n7,first,E\n6,common,A\n")
+        ledger.run(spark, source, str(tmp_path / folder))
+        ledger.run(spark, source, str(tmp_path / folder))  # nothing new
+        after = sorted(map(tuple, ledger.library(spark, str(tmp_path / folder)).collect()))
+        assert after == [("A0000001", "common", ["1", "4", "6"], ["A", "B"]), ("A0000002", "first", ["2", "7"], ["A", "E"]), ("A0000003", "two\nlines", ["3"], ["A"]), ("A0000004", "new", ["6"], ["D"])]
+    # a batch that runs again after a failure writes the same
+    again = spark.createDataFrame([("6", "new", "D", "x")], "publication_number string, title string, ipc_code string, file string")
+    ledger.book(str(tmp_path / "one"))(again, 1)
+    assert ledger.library(spark, str(tmp_path / "one")).filter("title = 'new'").first()["patent_id"] == "A0000004"
+
+
+def test_lookups_of_rows_that_move(spark):
+    df = spark.range(300).withColumn("_row", F.lit("own")).withColumn("_place", F.lit(1)).repartition(7).filter(F.rand(3) < 2)
+    table = spark.createDataFrame([(f"k{k}", k) for k in range(0, 300, 3)] + [(f"m{k}", -k) for k in range(0, 300, 2)], "key string, value long")
+    found = joins.lookup_cascade(df, [F.concat(F.lit("k"), "id"), F.lit(None), F.concat(F.lit("m"), "id")], table, "key", "value", "hit")
+    assert found.columns == ["id", "_row", "_place", "hit"]
+    assert {r["id"]: r["hit"] for r in found.collect()} == {k: k if k % 3 == 0 else -k if k % 2 == 0 else None for k in range(300)}
