@@ -45,6 +45,15 @@ def csv_first_ids(t):
     return ids.title_groups(scans.patents_csv(part.sparkSession, path), "title", "publication_number", "ipc_code", "place").select("patent_id", "title")
 
 
+@query("SELECT p_partkey::VARCHAR AS publication_number, CASE WHEN p_size % 5 = 0 THEN 'said \"' || p_name || '\"' || chr(10) || 'twice, ' || p_type ELSE trim(p_name) END AS title, p_brand AS ipc_code FROM part")
+def csv_ranges(t):
+    quoted = F.concat(F.lit('said "'), "p_name", F.lit('"\ntwice, '), "p_type")
+    part = t("part").select(F.col("p_partkey").cast("string").alias("publication_number"), F.when(F.col("p_size") % 5 == 0, quoted).otherwise(F.col("p_name")).alias("title"), F.col("p_brand").alias("ipc_code"))
+    path = _folder(part)
+    part.write.csv(path, header=True, quoteAll=True, escape='"')
+    return scans.patents_csv_by_ranges(part.sparkSession, path).select("publication_number", "title", "ipc_code")
+
+
 @query("SELECT p_partkey AS id, p_name AS name, p_brand || ',' || p_type AS codes FROM part WHERE p_partkey % 7 <> 0")
 def tsv_scan(t):
     key = F.when(F.col("p_partkey") % 7 == 0, "none").otherwise(F.col("p_partkey").cast("string"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import window as W
 
 from ..functions import text as X
+from ..functions.staging import small, stage
 from ..operators.ids import dense_ids
 
 
@@ -23,6 +25,41 @@ def patents_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(F.trim(F.coalesce(n, F.lit(""))).alias(n) for n in names), place.alias("place"))
 
 
+def split_csv_records(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """(file, record, value) of all CSV files under a path: every record as its text, numbered from 0 in its file; cells in quotes may hold line breaks, and a large file is read by many tasks.
+
+    A line break ends a record where the quotes before it, from the beginning of the file, are even. So
+    the lines of each byte range are counted with their quotes, ranges are composed in order (a row
+    for each range), and each line then knows whether it begins a record and which. Only records of several
+    lines are put together by a shuffle. Quotes stand around whole cells, doubled inside, as CSV has it.
+    """
+    lines = spark.read.text(path, lineSep="\n", pathGlobFilter=glob, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.withColumn("at", F.monotonically_increasing_id()).withColumn("quotes", (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2)
+    inside = W.Window.partitionBy("file", "block").orderBy("at")
+    upto = F.sum("quotes").over(inside) - F.col("quotes")  # odd quotes before this line in its range
+    told = lines.withColumn("odd", (upto % 2).cast("int"))
+    # lines that begin a record if the range begins outside of quotes, and if it begins inside
+    ranges = stage(told.groupBy("file", "block").agg((F.sum("quotes") % 2).cast("int").alias("turn"), F.count_if(F.col("odd") == 0).alias("even"), F.count_if(F.col("odd") == 1).alias("uneven")), "ranges")
+    before = W.Window.partitionBy("file").orderBy("block")
+    begun = ranges.withColumn("within", ((F.sum("turn").over(before) - F.col("turn")) % 2).cast("int")).withColumn("starts", F.when(F.col("within") == 0, F.col("even")).otherwise(F.col("uneven")))
+    begun = stage(begun.select("file", "block", "within", (F.sum("starts").over(before) - F.col("starts")).alias("earlier")), "begun")
+    placed = told.join(small(begun), ["file", "block"]).withColumn("first", (F.col("odd") == F.col("within")).cast("int"))
+    placed = placed.withColumn("record", F.col("earlier") + F.sum("first").over(inside) - 1)
+    alone = (F.col("first") == 1) & (F.col("quotes") == 0)
+    single = placed.filter(alone).select("file", "record", "value")
+    several = placed.filter(~alone).groupBy("file", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    return single.unionByName(several).withColumn("value", F.regexp_replace("value", "\r$", ""))
+
+
+def patents_csv_by_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """What patents_csv gives, of files however large: many tasks read one file (split_csv_records). place sorts rows by file, then record."""
+    names = ["publication_number", "title", "ipc_code"]
+    records = split_csv_records(spark, path).filter((F.col("record") > 0) & (F.col("value") != ""))
+    cells = F.from_csv("value", ", ".join(f"{n} string" for n in names), {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"})
+    place = F.concat("file", F.lit("|"), F.lpad(F.col("record").cast("string"), 20, "0"))
+    return records.select(cells.alias("c"), place.alias("place")).select(*(F.trim(F.coalesce(F.col(f"c.{n}"), F.lit(""))).alias(n) for n in names), "place")
+
+
 def nested_export(df: DataFrame, language: str = "en") -> DataFrame:
     """Flat rows of a warehouse export whose titles are localized and whose codes repeat: the title of a language, a row for each code."""
     titles = F.filter("title_localized", lambda t: t["language"] == language)

@@ -173,3 +173,33 @@ def test_rates_at_k(spark):
     rows = {r["k"]: (r["precision"], r["unnormalized"], r["normalized"]) for r in metrics.precision_at(df, "r", [1, 2]).collect()}
     assert rows == {1: (0.25, 0.25, 1 / 3), 2: (0.25, 0.5, 2 / 3)}
     assert similarity.CHUNK > 0
+
+
+def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path):
+    import csv
+
+    from tessellex.operators import ids
+
+    rnd = np.random.default_rng(12)
+    cells = ["plain", 'say "it"', "two\nlines", "a\n\nb,c", "", " padded ", '"', "\n", 'x""y\n"']
+    for name, n in (("b.csv", 900), ("a.csv", 300)):
+        with open(tmp_path / name, "w", newline="") as f:
+            out = csv.writer(f, quoting=csv.QUOTE_ALL, lineterminator="\r\n" if name == "a.csv" else "\n")
+            out.writerow(["publication_number", "title", "ipc_code"])
+            for k in range(n):
+                out.writerow([f"{name}-{k}", f"{cells[int(rnd.integers(0, 9))]}{k % 250}", cells[int(rnd.integers(0, 9))]])
+    (tmp_path / "c.csv").write_text("publication_number,title,ipc_code\n1,no quotes,A\n2,,\n")
+    order = lambda df: [tuple(r)[:3] for r in df.orderBy("place").collect()]
+    whole = order(scans.patents_csv(spark, str(tmp_path)))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        lines = scans.split_csv_records(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 30 and lines.filter("file like '%b.csv'").count() == 901
+        assert order(scans.patents_csv_by_ranges(spark, str(tmp_path))) == whole and len(whole) == 1202
+        titles = [[tuple(r)[:2] for r in ids.title_groups(f(spark, str(tmp_path)), "title", "publication_number", "ipc_code", "place").orderBy("patent_id").collect()] for f in (scans.patents_csv, scans.patents_csv_by_ranges)]
+        assert titles[0] == titles[1]
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
