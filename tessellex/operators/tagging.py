@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -88,3 +90,79 @@ def viterbi(transitions: np.ndarray, start: np.ndarray, end: np.ndarray):
         return pd.Series(out)
 
     return decode
+
+
+#: Places of sequences that are padded to one length and walked together.
+PLACES = 1 << 18
+
+
+def _together(sequences: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(indexes, emissions, lengths) of sequences of similar length, padded to the longest of them; empty ones aside."""
+    order = sorted((k for k, e in enumerate(sequences) if len(e)), key=lambda k: len(sequences[k]))
+    while order:
+        longest = len(sequences[order[-1]])
+        n = max(1, min(len(order), PLACES // longest))
+        own = order[-n:]
+        order = order[:-n]
+        e = np.zeros((n, longest, sequences[own[0]].shape[1]))
+        for row, k in enumerate(own):
+            e[row, : len(sequences[k])] = sequences[k]
+        yield own, e, np.array([len(sequences[k]) for k in own])
+
+
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    """The logarithm of the sum of exponentials along an axis; minus infinity where all are."""
+    most = x.max(axis=axis, keepdims=True)
+    most = np.where(np.isfinite(most), most, 0.0)
+    with np.errstate(divide="ignore"):
+        return (np.log(np.exp(x - most).sum(axis=axis, keepdims=True)) + most).squeeze(axis)
+
+
+def _matrix_of(emissions) -> np.ndarray:
+    return np.stack([np.asarray(x, dtype=float) for x in emissions]) if emissions is not None and len(emissions) else np.zeros((0, 1))
+
+
+def forward_backward(transitions: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """An Arrow function from emissions (array of arrays) to a struct: log_partition, the logarithm of the summed weights of all taggings, and marginals, each tag's probability at each place.
+
+    Sequences of a batch are walked together, forward and backward, in logarithms. An empty or null
+    sequence has the partition 0 and no marginals.
+    """
+
+    @F.pandas_udf("log_partition double, marginals array<array<double>>")
+    def run(emissions: pd.Series) -> pd.DataFrame:
+        sequences = [_matrix_of(x) for x in emissions]
+        total, marginals = np.zeros(len(sequences)), [[] for _ in sequences]
+        for own, e, lengths in _together(sequences):
+            n, longest, tags = e.shape
+            forward, backward = np.empty_like(e), np.empty_like(e)
+            forward[:, 0] = start + e[:, 0]
+            for t in range(1, longest):
+                forward[:, t] = _log_sum(forward[:, t - 1, :, None] + transitions, 1) + e[:, t]
+            for t in range(longest - 1, -1, -1):
+                last = (lengths == t + 1)[:, None]
+                after = _log_sum(transitions + (e[:, t + 1] + backward[:, t + 1])[:, None, :], 2) if t + 1 < longest else np.zeros((n, tags))
+                backward[:, t] = np.where(last, end, after)
+            z = _log_sum(start + e[:, 0] + backward[:, 0], 1)
+            total[own] = z
+            chance = np.exp(forward + backward - z[:, None, None])
+            for row, k in enumerate(own):
+                marginals[k] = chance[row, : lengths[row]].tolist()
+        return pd.DataFrame({"log_partition": total, "marginals": marginals})
+
+    return run
+
+
+def path_score(transitions: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """An Arrow function from emissions and tag numbers to the logarithm of that tagging's weight; with log_partition it gives its probability. Null for an empty or null sequence, or one of another length than its tags."""
+
+    @F.pandas_udf("double")
+    def run(emissions: pd.Series, tags: pd.Series) -> pd.Series:
+        out = []
+        for x, path in zip(emissions, tags):
+            e, path = _matrix_of(x), np.asarray([] if path is None else path, dtype=int)
+            fits = len(e) and len(e) == len(path)
+            out.append(start[path[0]] + e[np.arange(len(e)), path].sum() + transitions[path[:-1], path[1:]].sum() + end[path[-1]] if fits else None)
+        return pd.Series(out, dtype=object)
+
+    return run

@@ -356,3 +356,25 @@ def crf_decoding(t):
     x = t("lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", e.alias("e")))), lambda z: z["e"]).alias("e"))
     decode = tagging.viterbi(np.array([[1.0137, 0.4171, -3.0291], [0.2213, 0.6337, 1.1459], [0.7591, 0.3539, 0.9677]]), np.array([0.5, 0.31, -2.0]), np.array([0.0, 0.17, 0.29]))
     return x.select("l_orderkey", F.array_join(F.transform(decode("e"), lambda k: k.cast("string")), "").alias("tags"))
+
+
+@query("""
+WITH RECURSIVE x AS (SELECT l_orderkey AS k, list([(l_partkey % 7) + l_partkey * 0.00137::DOUBLE, (l_suppkey % 5) + l_partkey * 0.00071::DOUBLE, (l_quantity % 6)::DOUBLE] ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS e,
+  list((l_partkey % 3) + 1 ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS g FROM lineitem GROUP BY 1),
+m AS (SELECT [[1.0137, 0.4171, -3.0291], [0.2213, 0.6337, 1.1459], [0.7591, 0.3539, 0.9677]]::DOUBLE[][] AS t, [0.5, 0.31, -2.0]::DOUBLE[] AS s, [0.0, 0.17, 0.29]::DOUBLE[] AS f),
+r AS (SELECT k, e, g, len(e) AS i, f AS b FROM x, m
+  UNION ALL SELECT k, e, g, i - 1, list_transform(range(1, 4), lambda j: ln(list_sum(list_transform(range(1, 4), lambda c: exp(t[j][c] + e[i][c] + b[c]))))) FROM r, m WHERE i > 1),
+z AS (SELECT k, e, g, b, ln(list_sum(list_transform(range(1, 4), lambda j: exp(s[j] + e[1][j] + b[j])))) AS z FROM r, m WHERE i = 1),
+p AS (SELECT k, z, exp(s[1] + e[1][1] + b[1] - z) AS first, s[g[1]] + list_sum(list_transform(range(1, len(e) + 1), lambda i: e[i][g[i]])) + coalesce(list_sum(list_transform(range(2, len(e) + 1), lambda i: t[g[i - 1]][g[i]])), 0) + f[g[len(g)]] AS score FROM z, m)
+SELECT k AS l_orderkey, round(z, 6) AS log_partition, round(first, 6) AS first_marginal, round(score, 6) AS path_score FROM p
+""")
+def crf_marginals(t):
+    import numpy as np
+
+    weights = np.array([[1.0137, 0.4171, -3.0291], [0.2213, 0.6337, 1.1459], [0.7591, 0.3539, 0.9677]]), np.array([0.5, 0.31, -2.0]), np.array([0.0, 0.17, 0.29])
+    e = F.array((F.col("l_partkey") % 7) + F.col("l_partkey") * F.lit(0.00137), (F.col("l_suppkey") % 5) + F.col("l_partkey") * F.lit(0.00071), (F.col("l_quantity") % 6).cast("double"))
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", e.alias("e"), (F.col("l_partkey") % 3).cast("int").alias("g"))))
+    x = t("lineitem").groupBy("l_orderkey").agg(lines.alias("z")).select("l_orderkey", F.transform("z", lambda z: z["e"]).alias("e"), F.transform("z", lambda z: z["g"]).alias("g"))
+    both = x.select("l_orderkey", tagging.forward_backward(*weights)("e").alias("f"), tagging.path_score(*weights)("e", "g").alias("p"))
+    first = F.get(F.get("f.marginals", F.lit(0)), F.lit(0))
+    return both.select("l_orderkey", F.round("f.log_partition", 6).alias("log_partition"), F.round(first, 6).alias("first_marginal"), F.round("p", 6).alias("path_score"))

@@ -307,3 +307,26 @@ def test_lookups_of_rows_that_move(spark):
     found = joins.lookup_cascade(df, [F.concat(F.lit("k"), "id"), F.lit(None), F.concat(F.lit("m"), "id")], table, "key", "value", "hit")
     assert found.columns == ["id", "_row", "_place", "hit"]
     assert {r["id"]: r["hit"] for r in found.collect()} == {k: k if k % 3 == 0 else -k if k % 2 == 0 else None for k in range(300)}
+
+
+def test_marginals_over_all_paths(spark):
+    from itertools import product
+
+    rnd = np.random.default_rng(14)
+    weights = rnd.standard_normal((3, 3)), rnd.standard_normal(3), rnd.standard_normal(3)
+    rows = [(k, rnd.standard_normal((n, 3)).tolist(), [int(x) for x in rnd.integers(0, 3, n)]) for k, n in enumerate((1, 2, 6, 3, 6, 1))] + [(10, [], []), (11, None, None), (12, [[0.0, 1.0, 2.0]], [1, 1]), (13, [[900.0, 0.0, -900.0]] * 3, [0, 0, 0])]
+    df = spark.createDataFrame(rows, "k long, e array<array<double>>, g array<int>").coalesce(1)
+    found = {r["k"]: r for r in df.select("k", tagging.forward_backward(*weights)("e").alias("f"), tagging.path_score(*weights)("e", "g").alias("p")).collect()}
+    t, start, end = weights
+
+    def score(e, path):
+        return start[path[0]] + sum(e[i][c] for i, c in enumerate(path)) + sum(t[a][b] for a, b in zip(path, path[1:])) + end[path[-1]]
+
+    for k, e, g in rows[:6] + rows[9:]:
+        every = {p: score(e, p) for p in product(range(3), repeat=len(e))}
+        top = max(every.values())
+        z = top + np.log(sum(np.exp(s - top) for s in every.values()))
+        assert found[k]["f"]["log_partition"] == pytest.approx(z) and found[k]["p"] == pytest.approx(score(e, g))
+        for i in range(len(e)):
+            assert found[k]["f"]["marginals"][i] == pytest.approx([sum(np.exp(s - z) for p, s in every.items() if p[i] == c) for c in range(3)], abs=1e-9)
+    assert [(found[k]["f"]["log_partition"], found[k]["f"]["marginals"], found[k]["p"]) for k in (10, 11)] == [(0.0, [], None)] * 2 and found[12]["p"] is None
