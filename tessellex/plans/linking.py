@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import models
 from ..catalog import query
 from ..functions import arrays as A
 from ..operators import joins, matching, metrics, retrieval, sampling, tagging
+from ..operators import mentions as M
 from ..operators.dedup import first_by
 
 
@@ -148,6 +150,42 @@ def single_entity_tag(t):
     return tagging.single_entity_tags(w, "w", "e", "tags").select("doc_id", F.array_join("tags", " ").alias("tags"))
 
 
+_PREFIX_SQL = """
+WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE contains(text, ' ')),
+e AS (SELECT doc_id, w, lower(w[(doc_id % (len(w) - 1)) + 1]) AS a, left(lower(w[(doc_id % (len(w) - 1)) + 2]), 2) AS b FROM w),
+p AS (SELECT doc_id, w, list_filter(range(1, len(w)), lambda i: lower(w[i]) = a AND starts_with(lower(w[i + 1]), b))[1] AS place FROM e)
+"""
+
+
+def _prefix_tagged(t):
+    """Each text's tokens with the tags of one of its words and the first two letters of the next."""
+    w = t("documents").select("doc_id", F.split("text", " ", -1).alias("w")).filter("size(w) > 1").withColumn("k", (F.col("doc_id") % (F.size("w") - 1)).cast("int"))
+    entity = F.concat(F.get("w", F.col("k")), F.lit(" "), F.substring(F.get("w", F.col("k") + 1), 1, 2))
+    return tagging.single_entity_tags(w.withColumn("e", entity), "w", "e", "tags", prefix=True)
+
+
+@query(f"{_PREFIX_SQL} SELECT doc_id, array_to_string(list_transform(w, lambda x, i: CASE WHEN i = place THEN 'B-FOT' WHEN i = place + 1 THEN 'I-FOT' ELSE 'O' END), ' ') AS tags FROM p")
+def prefix_tag(t):
+    return _prefix_tagged(t).select("doc_id", F.array_join("tags", " ").alias("tags"))
+
+
+@query(f"{_PREFIX_SQL} SELECT doc_id, array_to_string(list_transform(w, lambda x, i: CASE WHEN i = place THEN '[B:' || x || ']' WHEN i = place + 1 THEN '[I:' || x || ']' ELSE x END), ' ') AS line FROM p")
+def annotated_texts(t):
+    return _prefix_tagged(t).select("doc_id", M.annotated(F.col("w"), F.col("tags")).alias("line"))
+
+
+@query("""
+WITH c AS (SELECT p_partkey, s, unnest(string_split(lower(x), '')) AS c FROM (SELECT p_partkey, 'a' AS s, p_name AS x FROM part UNION ALL SELECT p_partkey, 'b', p_type FROM part)),
+b AS (SELECT p_partkey, s, ascii(c)::BIGINT * 131 % 128 AS bin, count(*) AS k FROM c GROUP BY 1, 2, 3), z AS (SELECT p_partkey, s, sqrt(sum(k * k)) AS z FROM b GROUP BY 1, 2),
+d AS (SELECT x.p_partkey, sum(x.k * y.k) AS d FROM b x JOIN b y ON x.p_partkey = y.p_partkey AND x.bin = y.bin WHERE x.s = 'a' AND y.s = 'b' GROUP BY 1),
+s AS (SELECT p.p_partkey, p.p_brand, round(coalesce(d.d, 0) / (za.z * zb.z), 9) AS score FROM part p LEFT JOIN d USING (p_partkey) JOIN z za ON za.p_partkey = p.p_partkey AND za.s = 'a' JOIN z zb ON zb.p_partkey = p.p_partkey AND zb.s = 'b')
+SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey)::INT AS rank, p_partkey, round(score, 6) AS score FROM s QUALIFY rank <= 3
+""")
+def reranked_pairs(t):
+    found = models.rerank(t("part").select("p_partkey", "p_brand", "p_name", "p_type"), models.cosine_pair_scorer(), ["p_name", "p_type"], "p_brand", "p_partkey", 3)
+    return found.select("p_brand", "rank", "p_partkey", F.round("score", 6).alias("score"))
+
+
 def _scored_spans(t):
     s = (F.col("l_partkey") % 12).cast("int")
     span = F.struct((F.col("l_quantity") * 1.0).alias("score"), s.alias("start"), (s + (F.col("l_linenumber") % 4).cast("int") + 1).alias("end"))
