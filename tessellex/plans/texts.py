@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import arrays as A
 from ..functions import text as T
-from ..operators import ids
+from ..operators import ids, pos_tagger
 
 _TITLES = """
 titles AS (SELECT trim(p_name) AS title, min(p_partkey) AS first, list_sort(list_distinct(list(p_partkey::VARCHAR))) AS pubs, list_sort(list_distinct(list(trim(p_brand)))) AS ipcs FROM part WHERE trim(p_name) <> '' GROUP BY 1),
@@ -205,3 +205,15 @@ def attached_contractions(t):
     k = F.col("p_size") % 4
     raw = F.when(k == 0, F.concat(F.lit("'s "), "p_brand", F.lit(" 'll go"))).when(k == 1, F.concat("p_name", F.lit(" 's  do n't"))).when(k == 2, F.concat("p_name", F.lit(" 'sx"))).otherwise("")
     return t("part").select("p_partkey", F.array_join(T.attach_contractions(F.split(raw, " ", -1)), " ").alias("plain"))
+
+
+@query()
+def learned_tags(t):
+    """Tags by endings, learned on two thirds of the texts and told for all: how often each is taken for each, in either part."""
+    words = F.filter(F.split("text", r"\s+", -1), lambda w: w != "")
+    plain = lambda w: F.regexp_replace(w, r"[.,;:!?]+$", "")
+    rule = lambda w: F.when(plain(w).rlike("^[0-9]+$"), "NUM").when(plain(w).rlike("(tion|ment|tät|ción|heit)$"), "NOUN").when(plain(w).rlike("(ing|er|en|ar|re)$"), "VERB").when(F.length(plain(w)) <= 3, "DET").otherwise("ADJ")
+    texts = t("documents").select("doc_id", words.alias("w")).filter("size(w) > 0").withColumn("truth", F.transform("w", rule))
+    tagger = pos_tagger.fit(texts.filter("doc_id % 3 <> 0"), "w", "truth")
+    told = pos_tagger.tag(texts.withColumn("held_out", F.col("doc_id") % 3 == 0), tagger, "w", "told")
+    return told.select("held_out", F.explode(F.arrays_zip("truth", "told")).alias("z")).groupBy("held_out", F.col("z.truth").alias("truth"), F.col("z.told").alias("told")).agg(F.count("*").alias("n"))

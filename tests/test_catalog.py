@@ -156,3 +156,8 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_learned_tags_are_mostly_right_where_not_seen(spark):
+    rows = [r for r in QUERIES["learned_tags"](spark, SMALL).collect() if r["held_out"]]
+    assert sum(r["n"] for r in rows if r["truth"] == r["told"]) > 0.9 * sum(r["n"] for r in rows)
