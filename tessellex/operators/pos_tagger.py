@@ -14,7 +14,7 @@ from .tagging import viterbi
 
 #: Letters of the longest suffix; words seen at most so often count for suffixes, as unknown words are rare ones.
 SUFFIX, RARE = 4, 10
-#: What is added to a word's count with a tag, and the weight of the tags' own shares in a suffix's.
+#: The weight of the tags' own shares among a word's tags, and among a suffix's.
 WORD_EXTRA, SUFFIX_EXTRA = 0.01, 1.0
 
 
@@ -36,10 +36,10 @@ def suffixes(word: Column) -> Column:
     return F.transform(lengths, lambda n: F.right(word, n))
 
 
-def _by_tag(counts: DataFrame, key: str, tags: list[str], score) -> DataFrame:
-    """(key, scores): score(count with tag, count with any, tag's place) for each tag, in order."""
+def _by_tag(counts: DataFrame, key: str, tags: list[str], shares: np.ndarray, extra: float) -> DataFrame:
+    """(key, scores): for each tag, in order, the logarithm of its share of the key's counts, smoothed by ``extra``, over its share of all: by Bayes' rule the key's weight under the tag, but for a factor of the key."""
     held = counts.groupBy(key).agg(*(F.sum(F.when(F.col("tag") == t, F.col("n")).otherwise(0)).alias(f"n{k}") for k, t in enumerate(tags)), F.sum("n").alias("all"))
-    return held.select(key, F.array(*(score(F.col(f"n{k}"), F.col("all"), k) for k in range(len(tags)))).alias("scores"))
+    return held.select(key, F.array(*(F.log((F.col(f"n{k}") + F.lit(extra * share)) / (F.col("all") + extra) / F.lit(float(share))) for k, share in enumerate(shares))).alias("scores"))
 
 
 def fit(df: DataFrame, tokens: str, tags: str) -> Tagger:
@@ -51,10 +51,10 @@ def fit(df: DataFrame, tokens: str, tags: str) -> Tagger:
     if not names:
         raise ValueError("no tagged word")
     shares = np.array([totals[t] for t in names]) / sum(totals.values())
-    words = _by_tag(each, "word", names, lambda n, all_, k: F.log((n + WORD_EXTRA) / F.lit(totals[names[k]] + WORD_EXTRA)))
+    words = _by_tag(each, "word", names, shares, WORD_EXTRA)
     rare = each.join(each.groupBy("word").agg(F.sum("n").alias("all")).filter(F.col("all") <= RARE).select("word"), "word", "left_semi")
     endings = rare.select(F.explode(suffixes(F.col("word"))).alias("suffix"), "tag", "n").groupBy("suffix", "tag").agg(F.sum("n").alias("n"))
-    ends = _by_tag(endings, "suffix", names, lambda n, all_, k: F.log((n + F.lit(SUFFIX_EXTRA * shares[k])) / (all_ + SUFFIX_EXTRA) / F.lit(float(shares[k]))))
+    ends = _by_tag(endings, "suffix", names, shares, SUFFIX_EXTRA)
     # pairs of neighbours, the sentence's edges as an empty tag
     path = rows.select(F.concat(F.array(F.lit("")), F.transform("z", lambda z: z["tag"]), F.array(F.lit(""))).alias("p"))
     pairs = path.select(F.explode(F.arrays_zip(F.slice("p", F.lit(1), F.size("p") - 1).alias("a"), F.slice("p", F.lit(2), F.size("p") - 1).alias("b"))).alias("x")).groupBy("x.a", "x.b").count().collect()

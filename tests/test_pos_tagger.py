@@ -44,7 +44,7 @@ def plain_tagger(train):
 
     def score(w, t):
         if seen[w]:
-            return math.log((each[w, t] + 0.01) / (totals[t] + 0.01))
+            return math.log((each[w, t] + 0.01 * totals[t] / every) / (seen[w] + 0.01) / (totals[t] / every))
         for k in range(min(4, len(w)), 0, -1):
             s = w[-k:]
             held = sum(suffix[s, c] for c in names)
