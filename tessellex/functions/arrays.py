@@ -105,13 +105,6 @@ def greedy_spans(spans: Column) -> Column:
     return F.array_sort(kept, lambda a, b: a["start"] - b["start"])
 
 
-def leftmost_longest(spans: Column) -> Column:
-    """Of spans (start, end; end exclusive) from left to right, the longest of each start, skipping those that begin inside a kept one."""
-    order = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    first = F.struct(F.lit(-1).alias("free"), F.slice(spans, 1, 0).alias("kept"))
-    step = lambda acc, s: F.when(s["start"] >= acc["free"], F.struct(s["end"].alias("free"), F.concat(acc["kept"], F.array(s)).alias("kept"))).otherwise(acc)
-    return F.aggregate(order, first, step, lambda acc: acc["kept"])
-
 
 def sorted_together(*names: str) -> Column:
     """Parallel arrays as one array of structs, in the order of the first, then the second, and so on."""
