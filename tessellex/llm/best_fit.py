@@ -77,15 +77,25 @@ def tightest(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def packed(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Bins of the places of lengths, which fall: by sums of squares; then what its unfilled bins hold is placed once more into the tightest, if that takes fewer bins."""
-    bins = sums_of_squares(lengths, capacity)
-    sizes = np.array([lengths[b].sum() for b in bins], dtype=np.int64)
-    loose = [b for b, n in zip(bins, sizes) if n < capacity]
-    rest = np.array(sorted(i for b in loose for i in b), dtype=np.int64)  # in order of length again
-    again = tightest(lengths[rest], capacity) if len(rest) else []
-    if len(again) < len(loose):
-        return [b for b, n in zip(bins, sizes) if n == capacity] + [rest[b].tolist() for b in again]
-    return bins
+    """Bins of the places of lengths, which fall: by sums of squares, in rounds.
+
+    A round's full bins stay; what the others hold is placed again, longest first, by sums of squares,
+    as long as that fills a bin. The fewest bins of all rounds count; only if placing what the last round left into the
+    tightest takes fewer still, that does.
+    """
+    full: list[list[int]] = []
+    left, best = np.arange(len(lengths)), None
+    while len(left):
+        bins = [left[b].tolist() for b in sums_of_squares(lengths[left], capacity)]
+        if best is None or len(full) + len(bins) < len(best):
+            best = full + bins
+        filled = [lengths[b].sum() == capacity for b in bins]
+        if not any(filled):
+            break
+        full = full + [b for b, done in zip(bins, filled) if done]
+        left = np.array(sorted(i for b, done in zip(bins, filled) if not done for i in b), dtype=np.int64)
+    last = full + [left[b].tolist() for b in tightest(lengths[left], capacity)]
+    return last if best is None or len(last) < len(best) else best
 
 
 def pack(df: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", capacity: int = 2048, end_id: int = 0, pieces: int = PIECES) -> DataFrame:
