@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..operators import joins, mentions
+from ..operators import attention, joins, mentions
 from .linking import _SPANS, _TAGGED, _tagged
 
 
@@ -170,3 +170,26 @@ SELECT batch, avg(CASE WHEN list_position(s, list_max(s)) - 1 = row THEN 1.0 ELS
 def in_batch_accuracy(t):
     df = t("embeddings").select(F.floor(F.col("vec_id") / 64).alias("batch"), (F.col("vec_id") % 64).alias("row"), F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("s"))
     return mentions.in_batch_accuracy(df, "batch", "row", "s")
+
+
+@query("""
+WITH n AS (SELECT p_brand AS graph, p_partkey AS node, [p_size / 50.0, p_retailprice / 2000.0, length(p_name) / 20.0]::DOUBLE[] AS x FROM part),
+h AS (SELECT graph, node, [list_inner_product(x, [0.3, -0.2, 0.5]::DOUBLE[]), list_inner_product(x, [0.1, 0.4, -0.6]::DOUBLE[])] AS h FROM n),
+s AS (SELECT *, list_inner_product(h, [0.7, -0.3]::DOUBLE[]) AS t, list_inner_product(h, [0.2, 0.9]::DOUBLE[]) AS s FROM h),
+c AS (SELECT graph, min(node) AS centre FROM n GROUP BY graph),
+e AS (SELECT graph, centre AS source, node AS target FROM n JOIN c USING (graph) UNION SELECT graph, node, centre FROM n JOIN c USING (graph) UNION SELECT graph, node, node FROM n),
+w AS (SELECT e.graph, e.target AS node, exp(CASE WHEN a.t + b.s > 0 THEN a.t + b.s ELSE 0.2 * (a.t + b.s) END) AS w, b.h FROM e JOIN s a ON a.graph = e.graph AND a.node = e.target JOIN s b ON b.graph = e.graph AND b.node = e.source),
+o AS (SELECT graph, node, sum(w * h[1]) / sum(w) AS x, sum(w * h[2]) / sum(w) AS y FROM w GROUP BY graph, node),
+p AS (SELECT *, round(0.6 * x + 0.8 * y, 12) AS score, count(*) OVER (PARTITION BY graph) AS n FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY graph ORDER BY score DESC, node) AS place FROM p)
+SELECT graph, node, round(x * tanh(score), 6) AS x, round(y * tanh(score), 6) AS y FROM r WHERE place <= ceil(n * 0.5)
+""")
+def graph_attention(t):
+    import numpy as np
+
+    v = F.array(F.col("p_size") / 50.0, F.col("p_retailprice") / 2000.0, F.length("p_name") / 20.0)
+    nodes = t("part").select(F.col("p_brand").alias("graph"), F.col("p_partkey").alias("node"), v.alias("v"))
+    centred = nodes.join(nodes.groupBy("graph").agg(F.min("node").alias("centre")), "graph")
+    edges = centred.select("graph", F.col("centre").alias("source"), F.col("node").alias("target")).unionByName(centred.select("graph", F.col("node").alias("source"), F.col("centre").alias("target")))
+    found = attention.attended(nodes, edges, np.array([[0.3, 0.1], [-0.2, 0.4], [0.5, -0.6]]), np.array([0.7, -0.3]), np.array([0.2, 0.9]))
+    return attention.pooled(found, np.array([0.6, 0.8])).select("graph", "node", F.round(F.get("v", F.lit(0)), 6).alias("x"), F.round(F.get("v", F.lit(1)), 6).alias("y"))
