@@ -284,7 +284,7 @@ def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
 
 
 #: Shingles that a task sorts at once, in the mean.
-BUCKET = 1 << 20
+BUCKET = 1 << 19
 #: Texts, and shingles of these together, that a block of a cluster has at most, but for one text alone; a cluster with more is dealt out in blocks, of which at most two meet in a task.
 CHUNK, SHINGLES = 1 << 14, 1 << 21
 #: Texts beyond which a shingle is hot: its rows never meet in one task. The HOT_SHINGLES hottest are treated so.
@@ -396,8 +396,8 @@ def near_sets(texts: DataFrame, width: int, similarity: float, bucket: int = BUC
 
     def flat(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for part in parts:
-            for k in range(0, len(part), 1000):
-                some = part[k : k + 1000]
+            for k in range(0, len(part), 250):
+                some = part[k : k + 250]
                 sets = sets_of(some)
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
                 yield np.concatenate(sets), np.repeat(some["node"].to_numpy(dtype=np.int64).view(np.uint64), sizes), np.repeat(sizes, sizes)
