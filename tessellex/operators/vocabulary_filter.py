@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bits that a term may take in the filter, and bytes that the whole filter may have: beyond them it lets more through, and a join still drops that.
 BITS, FILTER_BYTES = 32, 32 << 20
-#: Bytes of a segment, the part of a filter that one task call builds.
-SEGMENT = 1 << 16
+#: Bytes of a segment, the part of a filter that one task call builds; places of a sequence that are hashed at once.
+SEGMENT, PIECE = 1 << 16, 1 << 20
 #: Odd, so that its powers have inverses among 64-bit numbers.
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -80,18 +82,24 @@ class Filter:
     def has(self, h: np.ndarray) -> np.ndarray:
         return ((self.bits[(h & self.places) >> np.uint64(3)] >> (h & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
-    def windows(self, codes: np.ndarray):
-        """(width, places) of the windows of a sequence that may be terms: a pass for each class of heads, then only where a head was met for each width of the class."""
+    def windows(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(width, places) of the windows of a sequence that may be terms, places ascending for each width; a long sequence comes in pieces that overlap by the longest term."""
+        longest = max((widths[-1] for widths in self.classes.values()), default=1)
+        for start in range(0, len(codes), PIECE):
+            for width, at in self._of_piece(codes[start : start + PIECE + longest - 1]):
+                at = at[at < PIECE]
+                if len(at):
+                    yield width, at + start
+
+    def _of_piece(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """A pass for each class of heads, then only where a head was met for each width of the class."""
         hashes, n = Hashes(codes), len(codes)
         for first, widths in self.classes.items():
             if first <= n:
                 met = np.flatnonzero(self.has(hashes.windows(first)))
                 for w in widths:
                     at = met[met + w <= n]
-                    if w != first:
-                        at = at[self.has(hashes.windows(w, at))]
-                    if len(at):
-                        yield w, at
+                    yield w, at if w == first else at[self.has(hashes.windows(w, at))]
 
 
 def term_bits(terms: list[np.ndarray]) -> list[list[int]]:

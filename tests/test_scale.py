@@ -127,17 +127,22 @@ def test_long_texts_and_large_vocabularies(spark):
     assert one == two and len(one[0]) > 1000
 
 
-def test_a_filter_lets_little_else_through(spark):
+def test_a_filter_lets_little_else_through(spark, monkeypatch):
     from tessellex.operators import vocabulary_filter as V
     from tessellex.session import prepare
 
     prepare(spark)
+    rnd = np.random.default_rng(17)
     terms = [f"term {k * k} of {k % 7}" for k in range(5000)]
     held = V.build(spark.createDataFrame([(w,) for w in terms], "term string"), V.letters, sorted({len(w) for w in terms}))
     assert all(0 in at for w in terms[::50] for n, at in held.windows(V.letters(w)) if n == len(w))
     others = [f"form {k * k} at {k % 9}" for k in range(3000)]
     windows = sum(len(w) - n + 1 for w in others for n in {len(x) for x in terms} if n <= len(w))
     assert sum(len(at) for w in others for _, at in held.windows(V.letters(w))) < 0.001 * windows + 50
+    text = V.letters(" ".join(terms[k] for k in rnd.integers(0, 5000, 60)))
+    whole = sorted((n, int(k)) for n, at in held.windows(text) for k in at)
+    monkeypatch.setattr(V, "PIECE", 37)
+    assert sorted((n, int(k)) for n, at in held.windows(text) for k in at) == whole and len(whole) >= 60
     x = V.letters("banana banana")
     assert V.Hashes(x).windows(6)[0] == V.Hashes(x).windows(6)[7] != V.Hashes(x).windows(6)[1] and len(V.Hashes(x).windows(99)) == 0
 
