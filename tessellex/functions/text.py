@@ -24,6 +24,8 @@ SYMBOL_PHRASES = [
     "machine-learning", "deep-learning", "blockchain",
 ]
 ATTACHED = ["'s", "n't", "'m", "'re", "'ve", "'ll"]
+#: The references that stored pages are read with, where they are finished; that of the ampersand is the last, so that none is resolved twice.
+REFERENCES = {"&nbsp;": "\xa0", "&copy;": "\xa9", "&middot;": "\xb7", "&quot;": '"', "&#39;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
 #: Punctuation that becomes a blank, and brackets that get blanks around them.
 BLANKED, SPACED = "!\"#$%&*+,-./:;=?@\\^_`|~", "[](){}<>"
 
@@ -72,9 +74,14 @@ def attach_contractions(tokens: Column | str) -> Column:
     return F.filter(F.split(F.regexp_replace(joined, f" ({'|'.join(ATTACHED)})(?= |$)", "$1"), " ", -1), lambda w: w != "")
 
 
-def strip_html(c: Column | str) -> Column:
-    """Without tags (that don't cross lines) and with character references resolved."""
-    return unescape_html(F.regexp_replace(_col(c), "<.*?>", ""))
+def strip_html(c: Column | str, references: dict[str, str] | None = None) -> Column:
+    """Without tags (that don't cross a line feed) and with character references resolved: all that HTML knows, also unfinished ones, or only those given, one after the other."""
+    bare = F.regexp_replace(_col(c), r"<[^\n]*?>", "")
+    if references is None:
+        return unescape_html(bare)
+    for reference, character in references.items():
+        bare = F.replace(bare, F.lit(reference), F.lit(character))
+    return bare
 
 
 @F.pandas_udf(StringType())

@@ -330,3 +330,20 @@ def test_marginals_over_all_paths(spark):
         for i in range(len(e)):
             assert found[k]["f"]["marginals"][i] == pytest.approx([sum(np.exp(s - z) for p, s in every.items() if p[i] == c) for c in range(3)], abs=1e-9)
     assert [(found[k]["f"]["log_partition"], found[k]["f"]["marginals"], found[k]["p"]) for k in (10, 11)] == [(0.0, [], None)] * 2 and found[12]["p"] is None
+
+
+def test_html_text_leaves_unfinished_references_as_its_sql_does(spark):
+    import duckdb
+
+    from tessellex import catalog
+    from tessellex.plans import texts
+
+    catalog.queries()
+    rows = [(1, "a&amp"), (2, "b &ampp &am &quot x&copy=1"), (3, "&amp;lt;&eacute;&#39;&nbsp;&#x41;"), (4, None), (5, "<a\rb>c<d\u2028e>f<g\nh>i&lt;j&gt;"), (6, "")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    wanted = con.execute(catalog.oracle_sql()["html_text"]).fetchall()
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    assert sorted(map(tuple, texts.html_text(lambda name: pages).collect())) == sorted(wanted)
+    assert one(spark, T.strip_html, "<b>&eacute;&ampx") == "\xe9&x"
