@@ -57,6 +57,6 @@ def halves(df: DataFrame, order: str) -> DataFrame:
     return df.withColumn("half", F.when(F.col(order) <= F.lit(border[0][0] if border else None), 1).otherwise(2))
 
 
-def first_rows(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
-    """The first n rows of each group."""
-    return df.withColumn("_n", F.row_number().over(W.Window.partitionBy(by).orderBy(order))).filter(F.col("_n") <= n).drop("_n")
+def first_rows(df: DataFrame, by: str, order: str, n: int, *ties: str) -> DataFrame:
+    """The first n rows of each group; equal ones in the order of ``ties``, so that the same rows come out however they were dealt."""
+    return df.withColumn("_n", F.row_number().over(W.Window.partitionBy(by).orderBy(order, *ties))).filter(F.col("_n") <= n).drop("_n")

@@ -233,7 +233,7 @@ def known_mentions(t):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 100000 + l_partkey) <= 2")
 def first_candidates(t):
-    return sampling.first_rows(t("lineitem").withColumn("place", F.col("l_linenumber") * 100_000 + F.col("l_partkey")), "l_orderkey", "place", 2).select("l_orderkey", "l_linenumber", "l_partkey")
+    return sampling.first_rows(t("lineitem").withColumn("place", F.col("l_linenumber") * 100_000 + F.col("l_partkey")), "l_orderkey", "place", 2, "l_linenumber").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("SELECT l_orderkey, string_agg((l_partkey % 30)::VARCHAR || '-' || (l_partkey % 30 + l_linenumber)::VARCHAR || '=' || l_suppkey::VARCHAR, ',' ORDER BY l_partkey % 30, l_partkey % 30 + l_linenumber, l_suppkey) AS spans FROM lineitem GROUP BY 1")
