@@ -57,16 +57,30 @@ def normalized(a: Column) -> Column:
     return scaled(a, norm(a))
 
 
-def with_hash_code(df: DataFrame, text: str, out: str, dim: int = 128) -> DataFrame:
-    """df with counts of a text's lower-cased characters in dim bins, bin = code point * 131 mod dim, scaled to length 1; zeros for an empty text.
+def _with_hash_counts(df: DataFrame, text: str, dim: int) -> DataFrame:
+    """df with _bins, the different bins of a text's lower-cased characters, and _counts, how many characters each has, scaled to length 1.
 
-    The bins are a column of their own, used twice, so that they are computed once and not for each count.
+    Characters are compared with the text's own bins only, each column computed once and not for each count.
     """
     chars = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "", -1), lambda c: c != "")
-    binned = df.withColumn("_bins", F.transform(chars, lambda c: (F.ascii(c).cast("long") * 131 % dim).cast("int")))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.size(F.filter("_bins", lambda x: x == b)).cast("double"))
-    counted = binned.withColumn("_counts", F.when(F.size("_bins") == 0, F.array_repeat(F.lit(0.0), dim)).otherwise(counts)).drop("_bins")
-    return counted.withColumn(out, normalized(F.col("_counts"))).drop("_counts")
+    each = df.withColumn("_each", F.transform(chars, lambda c: (F.ascii(c).cast("long") * 131 % dim).cast("int"))).withColumn("_bins", F.array_distinct("_each"))
+    counts = F.transform("_bins", lambda b: (F.size("_each") - F.size(F.array_remove("_each", b))).cast("double"))
+    return each.withColumn("_counts", counts).withColumn("_counts", normalized(F.col("_counts"))).drop("_each")
+
+
+def with_hash_code(df: DataFrame, text: str, out: str, dim: int = 128) -> DataFrame:
+    """df with counts of a text's lower-cased characters in dim bins, bin = code point * 131 mod dim, scaled to length 1; zeros for an empty text."""
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.coalesce(F.get("_counts", F.array_position("_bins", b).cast("int") - 1), F.lit(0.0)))
+    return _with_hash_counts(df, text, dim).withColumn(out, dense).drop("_bins", "_counts")
+
+
+def hash_weights(df: DataFrame, text: str, *keep: str, dim: int = 128) -> DataFrame:
+    """(keep, bin, weight): the entries of with_hash_code above 0, a row each, without an array of all bins between.
+
+    The outer form keeps Spark from filtering by the array's size, which it would compute below a distinct, for every row that goes into it.
+    """
+    z = F.explode_outer(F.arrays_zip(F.col("_bins").alias("bin"), F.col("_counts").alias("weight"))).alias("z")
+    return _with_hash_counts(df, text, dim).select(*keep, z).select(*keep, "z.bin", "z.weight").filter("bin is not null")
 
 
 def log_softmax(scores: Column) -> Column:

@@ -23,8 +23,7 @@ b AS (SELECT name, ascii(c)::BIGINT * 131 % 128 AS bin, count(*) AS k FROM c GRO
 SELECT name, bin::INT AS bin, round(k / z, 6) AS weight FROM b JOIN z USING (name)
 """)
 def hash_encode(t):
-    names = A.with_hash_code(t("part").select(F.col("p_name").alias("name")).distinct(), "name", "v")
-    return names.select("name", F.posexplode("v").alias("bin", "w")).filter("w > 0").select("name", "bin", F.round("w", 6).alias("weight"))
+    return A.hash_weights(t("part").select(F.col("p_name").alias("name")).distinct(), "name", "name").select("name", "bin", F.round("weight", 6).alias("weight"))
 
 
 @query(f"WITH {_V} SELECT a.id AS left_id, b.id AS right_id, round({_COS}, 6) AS sim FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id WHERE a.id % 20 = 0")

@@ -347,3 +347,33 @@ def test_html_text_leaves_unfinished_references_as_its_sql_does(spark):
     pages = spark.createDataFrame(rows, "page_id long, html string")
     assert sorted(map(tuple, texts.html_text(lambda name: pages).collect())) == sorted(wanted)
     assert one(spark, T.strip_html, "<b>&eacute;&ampx") == "\xe9&x"
+
+
+def test_hash_encode_computes_each_different_name_once(spark):
+    from tessellex.plans import vectors
+
+    rows = [("Ab ba",), ("Ab ba",), ("",), (None,), ("zäz",)]
+    part = spark.createDataFrame(rows, "p_name string")
+    found = vectors.hash_encode(lambda name: part)
+    dense = A.with_hash_code(part.distinct().withColumnRenamed("p_name", "name"), "name", "v").collect()
+    assert sorted(map(tuple, found.collect())) == sorted((r["name"], k, round(w, 6)) for r in dense for k, w in enumerate(r["v"]) if w)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate") :].split("\n", 1)[1]  # its own expressions are computed for what comes out
+    assert "lambda" in plan and "lambda" not in below
+
+
+def test_first_rows_of_equal_places_are_the_same_in_every_order(spark):
+    from tessellex.plans import files
+
+    # 100000 + 100005 = 200000 + 5: place doesn't tell these lines apart
+    rows = [(1, 2, 5), (1, 1, 100_005), (1, 1, 7)]
+    found = [sorted(map(tuple, files.first_candidates(lambda name: spark.createDataFrame(r, "l_orderkey long, l_linenumber int, l_partkey long").coalesce(1)).collect())) for r in (rows, rows[::-1], rows[1:] + rows[:1])]
+    assert found == [[(1, 1, 7), (1, 1, 100_005)]] * 3
+
+
+def test_log_partition_is_finite_where_plain_exponentials_overflow(spark):
+    from tessellex.plans import files
+
+    lines = spark.createDataFrame([(1, 1, 600_000, 1, 1.0)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double")
+    row = files.crf_marginals(lambda name: lines).first()
+    assert np.isfinite(row["log_partition"]) and 0 <= row["first_marginal"] <= 1 and row["path_score"] <= row["log_partition"]
