@@ -13,22 +13,32 @@ from pyspark.sql import window as W
 from ..functions import arrays as A
 from ..functions.staging import stage
 
-#: Rows of either side that meet in one task.
+#: Rows of either side that meet in one task, where their number is bounded whatever they hold.
 CHUNK = 4096
+#: Else they are bounded by the bytes of their vectors, as each row is copied to every chunk of the other side; rows at most, and products that are held at once.
+CHUNK_BYTES, CHUNK_ROWS, HELD = 32 << 20, 1 << 16, 1 << 21
+#: Chunks of more than CHUNK rows that a side gets at least, so that few rows don't end in one task.
+SPREAD = 8
 
 
-def chunk_pairs(left: DataFrame, right: DataFrame, meet: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, chunk: int = CHUNK) -> DataFrame:
-    """meet(left rows, right rows) for all pairs of chunks of each block; both frames have block, id and v.
+def chunk_rows(df: DataFrame) -> int:
+    """How many rows of df (v: arrays of doubles of one length) make a chunk of CHUNK_BYTES."""
+    first = df.select(F.size("v")).head(1)
+    return max(CHUNK, min(CHUNK_ROWS, CHUNK_BYTES // (8 * max(1, first[0][0])))) if first else CHUNK
+
+
+def chunk_pairs(left: DataFrame, right: DataFrame, meet: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, chunk: int = CHUNK, also: tuple[str, ...] = (), spread: int = 1) -> DataFrame:
+    """meet(left rows, right rows) for all pairs of chunks of each block; both frames have block, id and v, and the columns ``also``.
 
     A block's rows are dealt into chunks by a hash of their id, so that no task holds more than two
-    chunks, however large the block.
+    chunks, however large the block; a block has ``spread`` chunks at least, if they have CHUNK rows.
     """
-    sizes = [f.groupBy("block").agg(F.ceil(F.count("*") / chunk).cast("int").alias(n)) for f, n in ((left, "nl"), (right, "nr"))]
+    sizes = [f.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / chunk), F.least(F.lit(spread), F.ceil(F.count("*") / CHUNK))).cast("int").alias(n)) for f, n in ((left, "nl"), (right, "nr"))]
     both = stage(sizes[0].join(sizes[1], "block"), "sizes")
     own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = left.join(both, "block").select("block", own("nl").alias("l"), every("nr").alias("r"), F.lit(True).alias("left"), "id", "v")
-    b = right.join(both, "block").select("block", every("nl").alias("l"), own("nr").alias("r"), F.lit(False).alias("left"), "id", "v")
+    a = left.join(both, "block").select("block", own("nl").alias("l"), every("nr").alias("r"), F.lit(True).alias("left"), "id", "v", *also)
+    b = right.join(both, "block").select("block", every("nl").alias("l"), own("nr").alias("r"), F.lit(False).alias("left"), "id", "v", *also)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         x, y = part[part["left"]], part[~part["left"]]
@@ -41,7 +51,7 @@ def _matrix(v: pd.Series) -> np.ndarray:
     return np.stack(v.to_numpy()).astype(np.float64)
 
 
-def blocked_top(queries: DataFrame, data: DataFrame, k: int, skip_self: bool = True, chunk: int = CHUNK) -> DataFrame:
+def blocked_top(queries: DataFrame, data: DataFrame, k: int, skip_self: bool = True, chunk: int | None = None) -> DataFrame:
     """(id, rank, other, score): of each query its k largest inner products within its block, ties to the smaller id.
 
     Both frames have block, id (long) and v (array of one length, without nulls). A row may be in
@@ -52,22 +62,45 @@ def blocked_top(queries: DataFrame, data: DataFrame, k: int, skip_self: bool = T
         ids, vectors, out = y["id"].to_numpy(), _matrix(y["v"]), []
         order = np.argsort(ids)
         ids, vectors = ids[order], vectors[order]
-        for begin in range(0, len(x), 512):
-            part = x.iloc[begin : begin + 512]
-            scores = np.round(_matrix(part["v"]) @ vectors.T, 12)
-            for i, own in zip(part["id"], scores):
-                if skip_self:
-                    own = np.where(ids == i, -np.inf, own)
-                for j in np.argsort(-own, kind="stable")[:k]:
-                    if own[j] > -np.inf:
-                        out.append((i, ids[j], own[j]))
-        return pd.DataFrame(out, columns=["id", "other", "score"])
-
-    met = chunk_pairs(queries, data, meet, "id long, other long, score double", chunk).groupBy("id", "other").agg(F.max("score").alias("score"))
+        step, whole = max(1, HELD // len(ids)), _matrix(x["v"])
+        for begin in range(0, len(x), step):
+            scores = np.round(whole[begin : begin + step] @ vectors.T, 12)
+            own = x["id"].to_numpy()[begin : begin + step]
+            if skip_self:
+                scores[own[:, None] == ids] = -np.inf
+            # of each row those not below its k-th largest, by falling score; ids ascend, so of equal ones the smaller goes first
+            least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k] if k < len(ids) else np.full(len(own), -np.inf)
+            row, at = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+            best = np.lexsort((at, -scores[row, at], row))
+            row, at = row[best], at[best]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            row, at = row[place < k], at[place < k]
+            out.append(pd.DataFrame({"id": own[row], "other": ids[at], "score": scores[row, at]}))
+        return pd.concat(out)
+
+    met = chunk_pairs(queries, data, meet, "id long, other long, score double", chunk or chunk_rows(data), spread=1 if chunk else SPREAD).groupBy("id", "other").agg(F.max("score").alias("score"))
     ranked = met.withColumn("rank", F.row_number().over(W.Window.partitionBy("id").orderBy(F.desc("score"), "other")))
     return ranked.filter(F.col("rank") <= k).select("id", "rank", "other", "score")
 
 
+def cosines(queries: DataFrame, data: DataFrame, chunk: int = CHUNK // 4) -> DataFrame:
+    """(id, other, score): the cosine of each query with every other row of its block, 0 where either has no length or no vector. A task gives the pairs of two chunks, so chunks are small."""
+    whole = lambda f: f.withColumn("v", F.when(~F.exists("v", lambda x: x.isNull()), F.col("v")))
+
+    def matrix(v: pd.Series, width: int) -> np.ndarray:
+        return np.stack([np.zeros(width) if r is None else np.asarray(r, dtype=np.float64) for r in v])
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        width = max((len(r) for r in (*x["v"], *y["v"]) if r is not None), default=0)
+        a, b = matrix(x["v"], width), matrix(y["v"], width)
+        size = np.sqrt(np.einsum("ij,ij->i", a, a)[:, None] * np.einsum("ij,ij->i", b, b))
+        scores = np.divide(a @ b.T, size, out=np.zeros_like(size), where=size != 0)
+        i, j = np.nonzero(x["id"].to_numpy()[:, None] != y["id"].to_numpy())
+        return pd.DataFrame({"id": x["id"].to_numpy()[i], "other": y["id"].to_numpy()[j], "score": scores[i, j]})
+
+    return chunk_pairs(whole(queries), whole(data), meet, "id long, other long, score double", chunk)
+
+
 def exact_top(queries: DataFrame, data: DataFrame, k: int, skip_self: bool = True) -> DataFrame:
     """blocked_top with all rows in one block."""
     return blocked_top(queries.withColumn("block", F.lit(0)), data.withColumn("block", F.lit(0)), k, skip_self)
