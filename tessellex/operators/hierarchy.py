@@ -13,7 +13,7 @@ from pyspark.sql import window as W
 from ..functions import arrays as A
 from ..functions.staging import release, small, stage
 from .graph import connected_components
-from .similarity import CHUNK, _matrix, chunk_pairs
+from .similarity import CHUNK, HELD, SPREAD, _matrix, chunk_pairs, chunk_rows
 
 
 #: Rows that a cell has on average, and cells at most.
@@ -22,6 +22,20 @@ CELL_ROWS, CELLS = 256, 256
 SLACK = 1e-6
 
 
+class Cells:
+    """Pivots, and of each cell the least and greatest angles of its rows to each of them, widened by the reach."""
+
+    def __init__(self, pivots: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.pivots, self.low, self.high = pivots, low, high
+
+    def angles(self, vectors: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(vectors @ self.pivots.T, -1, 1))
+
+    def lets(self, angles: np.ndarray, cell: int) -> np.ndarray:
+        """Which rows a cell may hold a neighbour of."""
+        return ((angles >= self.low[cell]) & (angles <= self.high[cell])).all(axis=1)
+
+
 def angle_cells(unit: DataFrame, eps: float, cells: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """(visitors, residents) of a table (id, v) of unit vectors: each row lives in the cell (``block``) of its nearest pivot, and visits every cell that can hold a row within cosine distance eps.
 
@@ -31,15 +45,23 @@ def angle_cells(unit: DataFrame, eps: float, cells: int | None = None, seed: int
     directions alike visit all cells. The ranges are least and greatest values, aggregated before they
     are shuffled; the driver gets one pair for each two cells.
     """
+    known, held = _placed(unit, eps, cells, seed)
+    if held is None:
+        return known.select("block", "id", "v"), known.select("block", "id", "v")
+    return known.select(F.explode("c.met").alias("block"), "id", "v"), known.select(F.col("c.home").alias("block"), "id", "v")
+
+
+def _placed(unit: DataFrame, eps: float, cells: int | None, seed: int = 7) -> tuple[DataFrame, Cells | None]:
+    """(id, v, c) with each row's home cell and those it meets, and the cells; without rows (block, id, v) and none."""
     n = unit.count() if cells is None else 0
     few = unit.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(cells or max(1, min(CELLS, n // CELL_ROWS))).select("v").collect()
     if not few:
-        return unit.withColumn("block", F.lit(0)), unit.withColumn("block", F.lit(0))
+        return unit.withColumn("block", F.lit(0)), None
     pivots = np.array([r["v"] for r in few], dtype=np.float64)
     m, reach = len(pivots), float(np.arccos(np.clip(1 - eps, -1, 1))) + SLACK
 
     def angles(v: pd.Series) -> np.ndarray:
-        return np.arccos(np.clip(_matrix(v) @ pivots.T, -1, 1))
+        return Cells(pivots, None, None).angles(_matrix(v))
 
     def spread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         low, high = np.full((m, m), np.inf), np.full((m, m), -np.inf)
@@ -53,15 +75,15 @@ def angle_cells(unit: DataFrame, eps: float, cells: int | None = None, seed: int
     low, high = np.full((m, m), np.inf), np.full((m, m), -np.inf)  # a cell without rows lets nothing in
     for r in unit.select("v").mapInPandas(spread, "cell int, pivot int, low double, high double").groupBy("cell", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():
         low[r["cell"], r["pivot"]], high[r["cell"], r["pivot"]] = r["low"], r["high"]
+    held = Cells(pivots, low - reach, high + reach)
 
     @F.pandas_udf("home int, met array<int>")
     def placed(v: pd.Series) -> pd.DataFrame:
         a = angles(v)
-        met = [np.flatnonzero(((row >= low - reach) & (row <= high + reach)).all(axis=1)).astype(np.int32) for row in a]
+        met = [np.flatnonzero(row).astype(np.int32) for row in np.column_stack([held.lets(a, c) for c in range(m)])]
         return pd.DataFrame({"home": a.argmin(axis=1), "met": met})
 
-    known = stage(unit.select("id", "v", placed("v").alias("c")), "cells")
-    return known.select(F.explode("c.met").alias("block"), "id", "v"), known.select(F.col("c.home").alias("block"), "id", "v")
+    return stage(unit.select("id", "v", placed("v").alias("c")), "cells"), held
 
 
 def met_pairs(visitors: DataFrame, residents: DataFrame) -> int:
@@ -70,52 +92,102 @@ def met_pairs(visitors: DataFrame, residents: DataFrame) -> int:
     return int(a.join(b, "block").agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0)
 
 
-def density_clusters(df: DataFrame, eps: float = 0.5, least: int = 7, chunk: int = CHUNK, cells: int | None = None) -> DataFrame:
+def _grouped(known: DataFrame, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(visitors, residents) of placed rows, dealt by groups of cells of about ``chunk`` residents, or of fewer but CHUNK for SPREAD groups: a visitor goes once to each group of which it meets a cell. Residents have their cell."""
+    sizes = {r["cell"]: r["count"] for r in known.groupBy(F.col("c.home").alias("cell")).count().collect()}
+    chunk = min(chunk, max(CHUNK, sum(sizes.values()) // SPREAD))
+    number, filled, groups = 0, 0, []
+    for cell in range(max(sizes, default=-1) + 1):
+        if filled and filled + sizes.get(cell, 0) > chunk:
+            number, filled = number + 1, 0
+        filled += sizes.get(cell, 0)
+        groups.append(number)
+    named = lambda cell: F.get(F.array(*map(F.lit, groups or [0])), cell)
+    met = F.filter(F.array_distinct(F.transform("c.met", named)), lambda g: g.isNotNull())
+    visitors = known.select(F.explode(met).alias("block"), "id", "v", F.lit(-1).alias("cell"))
+    return visitors, known.select(named(F.col("c.home")).alias("block"), "id", "v", F.col("c.home").alias("cell"))
+
+
+def density_clusters(df: DataFrame, eps: float = 0.5, least: int = 7, chunk: int | None = None, cells: int | None = None) -> DataFrame:
     """(id, cluster): DBSCAN over cosine distance; df has id and v. A cluster is named by its smallest core id, noise is -1.
 
     A core has ``least`` rows within eps, itself included. A row that is no core joins the cluster of
-    the smallest core within eps. Rows only meet cells that can hold a neighbour (``angle_cells``), chunk
-    against chunk; of two chunks' cores only edges that connect them come out, not all pairs.
+    the smallest core within eps. Rows are only compared with cells that can hold a neighbour (``_placed``).
+    They are copied to groups of cells, chunk against chunk, not to each cell, so what is shuffled
+    is a row for each chunk at most; of two chunks' cores only a forest that connects them comes out.
     """
     unit = stage(df.select("id", A.normalized(F.col("v")).alias("v")), "unit")
-    visitors, residents = angle_cells(unit, eps, cells)
+    known, held = _placed(unit, eps, cells)
+    if held is None:
+        return unit.select("id", F.lit(-1).cast("long").alias("cluster"))
+    chunk = chunk or chunk_rows(unit)
+    visitors, residents = _grouped(known, chunk)
     reach = 1 - eps - 1e-12
 
+    def near_parts(x: pd.DataFrame, y: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(left places, right places, whether they are near), for each cell HELD products at a time."""
+        a, b, cell = _matrix(x["v"]), _matrix(y["v"]), y["cell"].to_numpy()
+        angles = held.angles(a)
+        for c in np.unique(cell):
+            i, own = np.flatnonzero(held.lets(angles, c)), np.flatnonzero(cell == c)
+            for start in range(0, len(own), 4096):
+                j = own[start : start + 4096]
+                step = HELD // len(j)
+                for k in range(0, len(i), step):
+                    part = i[k : k + step]
+                    yield part, j, a[part] @ b[j].T >= reach
+
     def count(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"id": x["id"].to_numpy(), "n": (_matrix(x["v"]) @ _matrix(y["v"]).T >= reach).sum(axis=1)})
+        n = np.zeros(len(x), dtype=np.int64)
+        for i, _, close in near_parts(x, y):
+            n[i] += close.sum(axis=1)
+        return pd.DataFrame({"id": x["id"].to_numpy(), "n": n})
 
-    near = chunk_pairs(visitors, residents, count, "id long, n long", chunk).groupBy("id").agg(F.sum("n").alias("n"))
+    pairs = lambda a, b, meet, schema: chunk_pairs(a, b, meet, schema, chunk, ("cell",))
+    near = pairs(visitors, residents, count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     core_ids = stage(near.filter(F.col("n") >= least).select("id"), "core_ids")
     cores = residents.join(core_ids, "id", "left_semi")
 
     def connect(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         a, b = x["id"].to_numpy(), y["id"].to_numpy()
-        close = _matrix(x["v"]) @ _matrix(y["v"]).T >= reach
-        edges, left, right = [], np.ones(len(a), bool), np.ones(len(b), bool)
-        for start in range(len(a)):
-            if not left[start]:
-                continue
-            left[start], front = False, [(True, start)]
-            while front:
-                on_left, k = front.pop()
-                new = np.flatnonzero((close[k] & right) if on_left else (close[:, k] & left))
-                (right if on_left else left)[new] = False
-                front += [(not on_left, j) for j in new]
-                edges += [(a[k], b[j]) if on_left else (a[j], b[k]) for j in new]
+        edges, up = [], {}
+
+        def root(k: int) -> int:
+            while up.get(k, k) != k:
+                up[k] = k = up.get(up[k], up[k])
+            return k
+
+        for i, j, close in near_parts(x, y):
+            left, right = close.any(axis=1), np.ones(len(j), bool)
+            for start in np.flatnonzero(left):
+                if not left[start]:
+                    continue
+                left[start], front = False, [(True, start)]
+                while front:
+                    on_left, k = front.pop()
+                    new = np.flatnonzero((close[k] & right) if on_left else (close[:, k] & left))
+                    (right if on_left else left)[new] = False
+                    front += [(not on_left, n) for n in new]
+                    for n in new:
+                        p, q = (i[k], j[n]) if on_left else (i[n], j[k])
+                        one, other = root(int(a[p])), root(int(b[q]))
+                        if one != other:
+                            up[one] = other
+                            edges.append((int(a[p]), int(b[q])))
         return pd.DataFrame(edges, columns=["a", "b"])
 
-    joined = connected_components(chunk_pairs(visitors.join(core_ids, "id", "left_semi"), cores, connect, "a long, b long", chunk))
+    joined = connected_components(pairs(visitors.join(core_ids, "id", "left_semi"), cores, connect, "a long, b long"))
     core_clusters = core_ids.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
 
     def smallest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        ids = y["id"].to_numpy()
-        order = np.argsort(ids)
-        close = _matrix(x["v"]) @ _matrix(y["v"]).T[:, order] >= reach
-        has = close.any(axis=1)
-        return pd.DataFrame({"id": x["id"].to_numpy()[has], "core": ids[order][close[has].argmax(axis=1)]})
+        ids, none = y["id"].to_numpy(), np.iinfo(np.int64).max
+        best = np.full(len(x), none)
+        for i, j, close in near_parts(x, y):
+            best[i] = np.minimum(best[i], np.where(close, ids[j], none).min(axis=1))
+        return pd.DataFrame({"id": x["id"].to_numpy(), "core": best})[best < none]
 
     rest = visitors.join(core_ids, "id", "left_anti")
-    border = chunk_pairs(rest, cores, smallest, "id long, core long", chunk).groupBy("id").agg(F.min("core").alias("core"))
+    border = pairs(rest, cores, smallest, "id long, core long").groupBy("id").agg(F.min("core").alias("core"))
     named = border.join(core_clusters.select(F.col("id").alias("core"), "cluster"), "core").select("id", "cluster").unionByName(core_clusters)
     return unit.select("id").join(named, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 

@@ -207,3 +207,52 @@ def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path):
     finally:
         for k, v in keep.items():
             spark.conf.set(k, v)
+
+
+def test_rows_are_copied_to_chunks_and_not_to_cells(spark):
+    from pyspark.sql import functions as F
+
+    from tessellex.functions import arrays as A
+    from tessellex.operators import similarity
+    from tessellex.session import prepare
+
+    prepare(spark)
+    rnd = np.random.default_rng(12)
+    df = spark.createDataFrame([(k, [float(z) for z in v]) for k, v in enumerate(rnd.standard_normal((3000, 8)))], "id long, v array<double>")
+    unit = df.select("id", A.normalized(F.col("v")).alias("v"))
+    known, held = hierarchy._placed(unit, 0.5, 64)
+    visitors, residents = hierarchy._grouped(known, 1000)
+    assert hierarchy.angle_cells(unit, 0.5, 64)[0].count() > 20 * 3000  # cells would take so many
+    assert visitors.count() <= 6 * 3000 and residents.count() == 3000 and len(held.pivots) == 64
+    # a chunk is bounded by bytes, so that a large table is copied seldom
+    assert similarity.chunk_rows(df) == 1 << 16 and similarity.chunk_rows(df.limit(0)) == 4096
+    wide = spark.createDataFrame([(0, [0.0] * 1024)], "id long, v array<double>")
+    assert similarity.chunk_rows(wide) == 4096
+
+
+def test_blocked_top_breaks_ties_by_id_in_every_chunking(spark):
+    from pyspark.sql import functions as F
+
+    from tessellex.operators import similarity
+    from tessellex.session import prepare
+
+    prepare(spark)
+    rnd = np.random.default_rng(13)
+    x = rnd.integers(-1, 2, (200, 3)).astype(float)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>")
+    wanted = [(i, r + 1, j) for i in range(200) for r, j in enumerate(sorted((j for j in range(200) if j != i), key=lambda j: (-(x[i] @ x[j]), j))[:7])]
+    for chunk in (None, 30):
+        found = similarity.blocked_top(df.withColumn("block", F.lit(0)), df.withColumn("block", F.lit(0)), 7, chunk=chunk)
+        assert sorted((r["id"], r["rank"], r["other"]) for r in found.collect()) == wanted
+
+
+def test_cosines_of_awkward_vectors(spark):
+    from tessellex.operators import similarity
+    from tessellex.session import prepare
+
+    prepare(spark)
+    rows = [(1, [1.0, 0.0], 0), (2, [0.0, 0.0], 0), (3, None, 0), (4, [2.0, None], 0), (5, [3.0, 4.0], 0), (6, [1.0, 0.0], 1), (7, [1.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, block int")
+    for chunk in (1, 100):
+        found = {(r["id"], r["other"]): r["score"] for r in similarity.cosines(df.filter("id in (1, 3, 6, 7)"), df, chunk).collect()}
+        assert found == {(1, 2): 0.0, (1, 3): 0.0, (1, 4): 0.0, (1, 5): pytest.approx(0.6), (3, 1): 0.0, (3, 2): 0.0, (3, 4): 0.0, (3, 5): 0.0}
