@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,36 +27,66 @@ def bounded(vocabulary: DataFrame, term: str, terms: int = TERMS) -> tuple[DataF
     return lowered, [r["term"] for r in lowered.collect()] if n <= terms and (characters or 0) <= CHARACTERS else None
 
 
-def substring_matches(df: DataFrame, text: str, key: str, vocabulary: DataFrame, term: str, terms: int = TERMS) -> DataFrame:
+def substring_matches(df: DataFrame, text: str, key: str, vocabulary: DataFrame, term: str, terms: int = TERMS, known: tuple[DataFrame, list[str] | None] | None = None) -> DataFrame:
     """(key, term, first) of every different term that a text contains, letter case aside; first is the 0-based place of its first match.
 
     A vocabulary of up to ``terms`` goes to the workers as an automaton, built once in each, which finds
     all terms in one pass over each text. Of a larger one the workers get a filter of bits: rolling
     hashes find the places of a text where a term may stand, in time that grows with its length, and what
     passes is joined with the terms by the string itself; a term that very many texts hold is dealt
-    into several tasks. Keys are unique.
+    into several tasks. Keys are unique. known is what ``bounded`` gave, where that is there already.
     """
     source = df.select(F.col(key).alias("key"), F.lower(text).alias("text")).filter("text is not null")
-    lowered, words = bounded(vocabulary, term, terms)
+    lowered, words = known or bounded(vocabulary, term, terms)
     schema = f"key {source.schema['key'].dataType.simpleString()}, term string, first int"
     if words is None:
         return _filtered(source, lowered, schema)
-    digest = hashlib.sha256("\0".join(words).encode()).digest()
+    found = _firsts(words)
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = _automaton(digest, words)
         for part in parts:
-            rows = []
-            for k, body in zip(part["key"], part["text"]):
-                first: dict[str, int] = {}
-                for end, w in machine.iter(body) if words else ():
-                    first.setdefault(w, end - len(w) + 1)
-                rows += [(k, w, at) for w, at in first.items()]
+            rows = [(k, w, end - len(w) + 1) for k, body in zip(part["key"], part["text"]) for w, end in found(body).items()]
             yield pd.DataFrame(rows, columns=["key", "term", "first"])
 
     return source.mapInPandas(scan, schema)
 
 
+def substring_totals(df: DataFrame, text: str, key: str, vocabulary: DataFrame, term: str, terms: int = TERMS) -> DataFrame:
+    """(key, terms, places) of each text with a substring match: how many different terms it contains, and the sum of the places of their first matches.
+
+    With an automaton a text is added up where it is read, so no row is made for each of its terms; a
+    larger vocabulary goes by substring_matches.
+    """
+    _, words = known = bounded(vocabulary, term, terms)
+    if words is None:
+        hits = substring_matches(df, text, key, vocabulary, term, terms, known)
+        return hits.groupBy("key").agg(F.count("*").alias("terms"), F.sum("first").alias("places"))
+    source, found = df.select(F.col(key).alias("key"), F.lower(text).alias("text")).filter("text is not null"), _firsts(words)
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(k, len(first), sum(first.values()) + len(first) - sum(map(len, first))) for k, first in zip(part["key"], map(found, part["text"])) if first]
+            yield pd.DataFrame(rows, columns=["key", "terms", "places"])
+
+    each = source.mapInPandas(scan, f"key {source.schema['key'].dataType.simpleString()}, terms long, places long")
+    return each.groupBy("key").agg(F.sum("terms").alias("terms"), F.sum("places").alias("places"))
+
+
+def _firsts(words: list[str]) -> Callable[[str], dict[str, int]]:
+    """A function from a text to the terms that it contains, each with the place of the last letter of its first match."""
+    digest = hashlib.sha256("\0".join(words).encode()).digest()
+
+    def found(body: str) -> dict[str, int]:
+        first: dict[str, int] = {}
+        if words:
+            for end, w in _automaton(digest, words).iter(body):
+                if w not in first:  # nearly always it is there
+                    first[w] = end
+        return first
+
+    return found
+
+
 _MACHINES: dict[bytes, object] = {}
 
 

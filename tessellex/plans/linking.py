@@ -86,8 +86,7 @@ def substring_join(t):
 
 @query(f"WITH {_VOCABULARY} SELECT doc_id AS key, count(*) AS terms, sum(strpos(lower(text), term) - 1)::BIGINT AS places FROM documents JOIN vocabulary ON contains(lower(text), term) GROUP BY 1")
 def substring_semi(t):
-    hits = matching.substring_matches(t("documents"), "text", "doc_id", vocabulary(t), "term")
-    return hits.groupBy("key").agg(F.count("*").alias("terms"), F.sum("first").alias("places"))
+    return matching.substring_totals(t("documents"), "text", "doc_id", vocabulary(t), "term")
 
 
 @query(f"""

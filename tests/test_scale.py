@@ -256,3 +256,19 @@ def test_cosines_of_awkward_vectors(spark):
     for chunk in (1, 100):
         found = {(r["id"], r["other"]): r["score"] for r in similarity.cosines(df.filter("id in (1, 3, 6, 7)"), df, chunk).collect()}
         assert found == {(1, 2): 0.0, (1, 3): 0.0, (1, 4): 0.0, (1, 5): pytest.approx(0.6), (3, 1): 0.0, (3, 2): 0.0, (3, 4): 0.0, (3, 5): 0.0}
+
+
+def test_substring_totals_add_up_what_matches_are(spark):
+    from pyspark.sql import functions as F
+
+    from tessellex.session import prepare
+
+    prepare(spark)
+    docs = spark.createDataFrame([(1, "Abc abc xÄb"), (2, "zzz"), (3, None), (4, ""), (5, "b" * 500 + "abcb")], "id long, text string")
+    words = spark.createDataFrame([("ABC",), ("b",), ("äb",), ("",), (None,), ("bc a",)], "w string")
+    hits = matching.substring_matches(docs, "text", "id", words, "w").groupBy("key").agg(F.count("*").alias("terms"), F.sum("first").alias("places"))
+    wanted = sorted(map(tuple, hits.collect()))
+    assert wanted == [(1, 4, 0 + 1 + 9 + 1), (5, 2, 0 + 500)]
+    for terms in (matching.TERMS, 1):
+        assert sorted(map(tuple, matching.substring_totals(docs, "text", "id", words, "w", terms).collect())) == wanted
+    assert matching.substring_totals(docs, "text", "id", words.limit(0), "w").collect() == []
