@@ -68,25 +68,30 @@ def run_lengths(df: DataFrame, key: str, tags: str) -> DataFrame:
 
 
 def viterbi(transitions: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """An Arrow function from emissions (array of arrays) to the best tag numbers; ties go to the smaller tag."""
+    """An Arrow function from emissions (array of arrays) to the best tag numbers; ties go to the smaller tag. Sequences of a batch are walked together; an empty or null one has none."""
 
     @F.pandas_udf("array<int>")
     def decode(sequences: pd.Series) -> pd.Series:
-        out = []
-        for emissions in sequences:
-            if emissions is None or not len(emissions):
-                out.append([])
-                continue
-            e = np.stack([np.asarray(x, dtype=float) for x in emissions])
-            score, back = start + e[0], []
-            for row in e[1:]:
-                every = score[:, None] + transitions
-                back.append(every.argmax(axis=0))
-                score = every.max(axis=0) + row
-            path = [int((score + end).argmax())]
-            for step in reversed(back):
-                path.append(int(step[path[-1]]))
-            out.append(path[::-1])
+        each = [_matrix_of(x) for x in sequences]
+        out: list[list[int]] = [[] for _ in each]
+        for own, e, lengths in _together(each):
+            # shorter ones come first, so at each place those that go on are the last rows
+            longest = e.shape[1]
+            begin = np.searchsorted(lengths, np.arange(longest), side="right")
+            final = start + e[:, 0]
+            back = np.zeros(e.shape, dtype=np.int32)
+            for t in range(1, longest):
+                every = final[begin[t] :, :, None] + transitions
+                back[begin[t] :, t] = every.argmax(axis=1)
+                final[begin[t] :] = every.max(axis=1) + e[begin[t] :, t]
+            at, path = (final + end).argmax(axis=1), np.zeros(e.shape[:2], dtype=np.int32)
+            for t in range(longest - 1, -1, -1):
+                live = at[begin[t] :]
+                path[begin[t] :, t] = live
+                if t:
+                    at[begin[t] :] = back[np.arange(begin[t], len(at)), t, live]
+            for row, k in enumerate(own):
+                out[k] = path[row, : lengths[row]].tolist()
         return pd.Series(out)
 
     return decode

@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -377,3 +378,30 @@ def test_log_partition_is_finite_where_plain_exponentials_overflow(spark):
     lines = spark.createDataFrame([(1, 1, 600_000, 1, 1.0)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double")
     row = files.crf_marginals(lambda name: lines).first()
     assert np.isfinite(row["log_partition"]) and 0 <= row["first_marginal"] <= 1 and row["path_score"] <= row["log_partition"]
+
+
+def test_viterbi_walks_the_sequences_of_a_batch_together(spark):
+    rnd = np.random.default_rng(5)
+    transitions, start, end = rnd.integers(-2, 3, (3, 3)).astype(float), np.array([0.0, 1.0, 0.0]), np.array([0.0, 0.0, 1.0])
+
+    def plain(e):
+        score, back = start + e[0], []
+        for row in e[1:]:
+            every = score[:, None] + transitions
+            back.append(every.argmax(axis=0))
+            score = every.max(axis=0) + row
+        path = [int((score + end).argmax())]
+        for step in reversed(back):
+            path.append(int(step[path[-1]]))
+        return path[::-1]
+
+    sequences = [rnd.integers(-2, 3, (int(n), 3)).astype(float) for n in rnd.integers(1, 9, 60)]
+    wanted = [plain(e) for e in sequences] + [[], []]
+    given = pd.Series([list(e) for e in sequences] + [[], None])
+    calls, together = [], tagging._together
+    tagging._together = lambda each: calls.append(len(each)) or together(each)
+    try:
+        assert [list(x) for x in tagging.viterbi(transitions, start, end).func(given)] == wanted
+    finally:
+        tagging._together = together
+    assert calls == [62]
