@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions.staging import salted, small, stage
+from ..functions.staging import release, salted, small, stage
 from ..operators.graph import connected_components
 from .columns import named
 
@@ -370,11 +370,13 @@ def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
 def near_sets(texts: DataFrame, width: int, similarity: float, bucket: int = BUCKET, chunk: int = CHUNK, hot_texts: int = HOT_TEXTS, shingles: int = SHINGLES) -> DataFrame:
     """(a, b): edges that connect all nodes whose sets of ``width`` words have a Jaccard similarity of at least ``similarity``.
 
-    texts (staged) has one row for each different set: node (long), size (of the set) and text. No
+    texts (staged) has one row for each different set: node (long), size (of the set), text, and family:
+    a number that nodes share which are known to be connected, their own node for others. Edges within a
+    family aren't sought, though some may come out. No other
     such pair is lost, at any size of the table, but for hashes: of 64 bits for shingles, and of 32 for the
-    nodes in step (1), where a pair whose nodes agree in them, and that shares its shingles with no third
-    text, passes for one text; that has a chance of 2^-32 for each pair. A set shares at least similarity * size of its
-    shingles with a near one, so (1) a text with fewer shingles that another text has too has none.
+    families in step (1), where two that agree in them, and that share their shingles with no third
+    one, pass for one; that has a chance of 2^-32 for each pair. A set shares at least similarity * size of its
+    shingles with a near one, so (1) a text with fewer shingles that another family has too has none beyond its own.
     Of those left, (2) each takes the rarest shingles, one more than it may have alone: two near sets
     have one of these in common. (3) Texts connected by such shingles form a cluster, in which the
     sets themselves are compared.
@@ -389,27 +391,28 @@ def near_sets(texts: DataFrame, width: int, similarity: float, bucket: int = BUC
     """
     known = texts.agg(F.sum("size"), F.count("*")).first()
     buckets = max(1, -(-(known[0] or 0) // bucket))
-    brief = np.dtype([("key", "<u4"), ("node", "<u4")])
+    brief = np.dtype([("key", "<u4"), ("family", "<u4"), ("node", "<u2")])  # members of a family that agree in 16 bits are counted together: more pass
 
     def sets_of(part: pd.DataFrame) -> list[np.ndarray]:
         return [shingle_set(x, width) for x in part["text"]]
 
-    def flat(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def flat(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         for part in parts:
             for k in range(0, len(part), 250):
                 some = part[k : k + 250]
                 sets = sets_of(some)
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-                yield np.concatenate(sets), np.repeat(some["node"].to_numpy(dtype=np.int64).view(np.uint64), sizes), np.repeat(sizes, sizes)
+                node, family = (some[c].to_numpy(dtype=np.int64).view(np.uint64) for c in ("node", "family"))
+                yield np.concatenate(sets), np.repeat(node, sizes), np.repeat(family, sizes), np.repeat(sizes, sizes)
 
     def counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for key, node, _ in flat(parts):
+        for key, node, _, _ in flat(parts):
             there, first, n = np.unique(key, return_index=True, return_counts=True)
             yield pd.DataFrame({"key": there.view(np.int64), "centre": node[first].view(np.int64), "n": n})
 
     hot, centre = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if known[1] > hot_texts:
-        some = texts.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("node", "text")
+        some = texts.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("node", "family", "text")
         found = some.mapInPandas(counts, "key long, centre long, n long").groupBy("key").agg(F.sum("n").alias("n"), F.min("centre").alias("centre"))
         rows = sorted((r["key"] & 0xFFFFFFFFFFFFFFFF, r["centre"]) for r in found.filter((F.col("n") >= 2) & (F.col("n") * SAMPLE > hot_texts)).orderBy(F.desc("n")).limit(HOT_SHINGLES).collect())
         hot, centre = np.array([k for k, _ in rows], dtype=np.uint64), np.array([c for _, c in rows], dtype=np.int64)
@@ -419,28 +422,30 @@ def near_sets(texts: DataFrame, width: int, similarity: float, bucket: int = BUC
         return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values if len(table) else np.zeros(len(values), dtype=bool)
 
     def spread_brief(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for key, node, _ in flat(parts):
+        for key, node, family, _ in flat(parts):
             rows = np.empty(len(key), dtype=brief)
-            rows["key"], rows["node"] = key >> np.uint64(32), node & np.uint64(0xFFFFFFFF)
+            rows["key"], rows["family"], rows["node"] = key >> np.uint64(32), family & np.uint64(0xFFFFFFFF), node >> np.uint64(48)
             yield scattered(rows, np.where(among(key, hot), node, key) & np.uint64(0xFFFFFFFF), buckets)
 
     def shared_by(rows: np.ndarray) -> pd.DataFrame:
-        both = np.sort(rows["key"].astype(np.uint64) << np.uint64(32) | rows["node"])
+        both = rows["key"].astype(np.uint64) << np.uint64(32) | rows["family"]
+        order = np.argsort(both)
+        both = both[order]
+        member = (both & np.uint64(0xFFFFFFFF)) << np.uint64(16) | rows["node"][order]
         run, begins = run_numbers(both >> np.uint64(32))
-        node = (both & np.uint64(0xFFFFFFFF)).astype("<u4")
         ends = np.append(begins[1:], len(both)) - 1
-        node = node[((node[begins] != node[ends]) | among(both[begins] >> np.uint64(32), hot_heads))[run]]
-        return scattered(node, node.astype(np.uint64), buckets)
+        member = member[((both[begins] != both[ends]) | among(both[begins] >> np.uint64(32), hot_heads))[run]]
+        return scattered(member, member, buckets)
 
-    def counted(nodes: np.ndarray) -> pd.DataFrame:
-        node, n = np.unique(nodes, return_counts=True)
-        return pd.DataFrame({"brief": node.astype(np.int64), "shared": n.astype(np.int64)})
+    def counted(members: np.ndarray) -> pd.DataFrame:
+        member, n = np.unique(members, return_counts=True)
+        return pd.DataFrame({"member": member.astype(np.int64), "shared": n.astype(np.int64)})
 
     packed = "bucket long, data binary"
-    first = gathered(texts.select("node", "text").mapInPandas(spread_brief, packed), brief, shared_by, packed)
-    shared = stage(gathered(first, np.dtype("<u4"), counted, "brief long, shared long"), "shared")
-    own = texts.withColumn("brief", F.col("node").bitwiseAND(F.lit(0xFFFFFFFF)))
-    left = stage(own.join(small(shared), "brief").filter(F.col("shared") >= F.ceil(similarity * F.col("size") - 1e-9)).select("node", "size", "text"), "left")
+    first = gathered(texts.select("node", "family", "text").mapInPandas(spread_brief, packed), brief, shared_by, packed)
+    shared = stage(gathered(first, np.dtype("<u8"), counted, "member long, shared long"), "shared")
+    member = F.shiftleft(F.col("family").bitwiseAND(F.lit(0xFFFFFFFF)), 16).bitwiseOR(F.shiftrightunsigned("node", 48))
+    left = stage(texts.withColumn("member", member).join(small(shared), "member").filter(F.col("shared") >= F.ceil(similarity * F.col("size") - 1e-9)).select("node", "family", "size", "text"), "left")
 
     total = left.agg(F.sum("size")).first()[0] or 0
     fewer = max(1, -(-total // bucket))
@@ -448,7 +453,7 @@ def near_sets(texts: DataFrame, width: int, similarity: float, bucket: int = BUC
     ranked = np.dtype([("key", "<u8"), ("node", "<u8"), ("size", "<u4"), ("df", "u1")])
 
     def spread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for key, node, size in flat(parts):
+        for key, node, _, size in flat(parts):
             rows = np.empty(len(key), dtype=posting)
             rows["key"], rows["node"], rows["size"] = key, node, size
             yield scattered(rows, np.where(among(key, hot), node, key), fewer)
@@ -486,7 +491,7 @@ def near_sets(texts: DataFrame, width: int, similarity: float, bucket: int = BUC
         out = pd.DataFrame({"a": middle[run], "b": node})
         return out[out["a"] != out["b"]].drop_duplicates()
 
-    third = gathered(gathered(left.select("node", "text").mapInPandas(spread, packed), posting, with_frequency, packed), ranked, rarest, packed)
+    third = gathered(gathered(left.select("node", "family", "text").mapInPandas(spread, packed), posting, with_frequency, packed), ranked, rarest, packed)
     clusters = stage(connected_components(gathered(third, posting, stars, "a long, b long")), "clusters")
 
     def compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -554,28 +559,74 @@ def _row_key(text, doc_id) -> tuple:
 ROW_KEY = ("anonymous", "doc_id", "t1", "t2")
 
 
+def alike_prints(nodes: DataFrame, texts: DataFrame, width: int, similarity: float, bound: int = 4) -> DataFrame:
+    """(a, b), staged: edges between nodes whose SimHashes are at most ``bound`` bits apart and whose sets have a Jaccard similarity of at least ``similarity``.
+
+    nodes (staged) has node and fingerprint, texts node and text. Fingerprints meet as in ``classes``: by
+    Golay keys, a spanning forest of each key's run. A forest's edge stands for its two fingerprints'
+    smallest nodes, and each other node of a fingerprint is joined to that. What is joined so and isn't
+    alike is dropped: these edges are sure, but not all that there are.
+    """
+    prints = stage(nodes.groupBy("fingerprint").agg(F.min("node").alias("centre")), "prints")
+    code = F.unhex(F.lpad(F.hex("fingerprint"), 16, "0"))
+    near = links(prints.select(F.col("fingerprint").alias("node"), F.array("fingerprint").alias("words"), code.alias("code")), bound, reach=bound)
+    held = small(prints)
+    ends = [held.select(F.col("fingerprint").alias(x), F.col("centre").alias(f"centre_{x}")) for x in "ab"]
+    across = near.join(ends[0], "a").join(ends[1], "b").select(F.col("centre_a").alias("a"), F.col("centre_b").alias("b"))
+    within = salted(nodes.select("node", "fingerprint"), prints, ["fingerprint"]).filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    joined = stage(across.unionByName(within), "met")
+    asked = stage(joined.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    held = stage(texts.join(small(asked), "node", "left_semi").select("node", "text"), "held")
+
+    @F.pandas_udf("boolean")
+    def confirmed(one: pd.Series, other: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(one, other):
+            x, y = shingle_set(x, width), shingle_set(y, width)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+        return pd.Series(out, dtype=bool)
+
+    one, other = (held.select(F.col("node").alias(n), F.col("text").alias(t)) for n, t in (("a", "one"), ("b", "other")))
+    pairs = salted(salted(joined, one, ["a"]), other, ["b"], counts=joined.groupBy("b").agg(F.count("*").alias("many")))
+    sure = stage(pairs.filter(confirmed("one", "other")).select("a", "b"), "sure")
+    for done in (prints, joined, asked, held):
+        release(done)
+    return sure
+
+
 def _similar(df: DataFrame, text: str, doc_id: str, width: int, similarity: float, bucket: int = BUCKET, chunk: int = CHUNK, hot_texts: int = HOT_TEXTS, shingles: int = SHINGLES) -> DataFrame:
-    """ROW_KEY of each row, and ``least``: the smallest such key of its class."""
+    """ROW_KEY of each row, and ``least``: the smallest such key of its class.
+
+    Texts meet by SimHash first (alike_prints); what that connects is a family, and near_sets, which
+    finds all that is alike, has only to look for edges between families.
+    """
 
-    @F.pandas_udf("node long, other long, size long")
+    @F.pandas_udf("node long, other long, size long, fingerprint long")
     def sketched(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(x, width) for x in texts]
-        return pd.DataFrame([(xxhash.xxh3_64_intdigest(b := s.tobytes()), xxhash.xxh3_64_intdigest(b, 1), len(s)) for s in sets], columns=["node", "other", "size"]).astype({"node": "uint64", "other": "uint64"}).astype("int64")
+        rows = [(xxhash.xxh3_64_intdigest(b := s.tobytes()), xxhash.xxh3_64_intdigest(b, 1), len(s), int.from_bytes(majority(s), "little", signed=True)) for s in sets]
+        return pd.DataFrame(rows, columns=["node", "other", "size", "fingerprint"]).astype({"node": "uint64", "other": "uint64"}).astype("int64")
 
     found = df.select(*_row_key(named(text), named(doc_id)), F.coalesce(named(text), F.lit("")).alias("text"))
-    own = stage(found.withColumn("s", sketched("text")).select(*ROW_KEY, "text", "s.node", "s.other", "s.size", F.monotonically_increasing_id().alias("row")), "sketches")
+    own = stage(found.withColumn("s", sketched("text")).select(*ROW_KEY, "text", "s.node", "s.other", "s.size", "s.fingerprint", F.monotonically_increasing_id().alias("row")), "sketches")
     # different sets with one node, if there are any, get nodes of their own
     twice = stage(own.groupBy("node").agg(F.min("other").alias("one"), F.max("other").alias("last")).filter("one <> last").select("node", "one"), "twice")
     if twice.head(1):
         apart = F.when(F.col("other") > F.col("one"), F.xxhash64("node", "other")).otherwise(F.col("node"))
         own = stage(own.join(small(twice), "node", "left").withColumn("node", apart).drop("one"), "sketches")
-    groups = stage(own.groupBy("node").agg(F.min(F.struct(*ROW_KEY)).alias("least"), F.count("*").alias("n"), F.min("row").alias("chosen")), "groups")
+    groups = stage(own.groupBy("node").agg(F.min(F.struct(*ROW_KEY)).alias("least"), F.min("fingerprint").alias("fingerprint"), F.count("*").alias("n"), F.min("row").alias("chosen")), "groups")
     # of copies one goes on
     copies = stage(groups.filter("n > 1").select("node", "chosen"), "copies")
     many = own.select("node", "size", "text", "row")
     held = small(copies)
     once = (many.join(held, "node", "left") if held is not copies else salted(many, copies, ["node"], "left")).filter("chosen is null or chosen = row").select("node", "size", "text")
-    edges = near_sets(stage(once, "texts") if held is copies else once, width, similarity, bucket, chunk, hot_texts, shingles)
+    once = stage(once, "texts") if held is copies else once
+    sure = alike_prints(groups.select("node", "fingerprint"), once, width, similarity)
+    families = stage(connected_components(sure).withColumnRenamed("component", "family"), "families")
+    known = small(families)
+    texts = once.join(known, "node", "left").withColumn("family", F.coalesce("family", "node"))
+    edges = sure.unionByName(near_sets(stage(texts, "texts") if known is families else texts, width, similarity, bucket, chunk, hot_texts, shingles))
     return _named(own.select(*ROW_KEY, "node"), groups.select("node", "least"), edges).select(*ROW_KEY, "least")
 
 

@@ -165,6 +165,29 @@ def test_long_near_copies_take_bounded_memory():
     assert len(edges) == 59 and peak < 48 * sum(map(len, sets))
 
 
+def test_near_copies_meet_by_simhash(spark, monkeypatch):
+    """Without the search among sets: what stays are the classes of fingerprints within four bits that are alike."""
+    rows = crowd()
+    texts = dict(rows)
+    sets = {i: simhash.shingle_set(t, 5) for i, t in rows}
+    prints = {i: int.from_bytes(simhash.majority(s), "little") for i, s in sets.items()}
+    monkeypatch.setattr(simhash, "near_sets", lambda texts, *_: texts.select("node", "node").toDF("a", "b").limit(0))
+    found = named(spark, rows)
+    all_near = components(list(texts), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4 and jaccard(texts[a], texts[b]) >= 0.8)
+    assert len(set(found.values())) < len({t for _, t in rows})
+    assert all(all_near[i] == all_near[found[i]] for i in texts) and found != {i: i for i in texts}
+
+
+def test_families_leave_nothing_for_the_search_among_sets(spark):
+    """Texts that are known to be connected, and share shingles with no other, drop out; another family's near text is found."""
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, 1, " ".join([*base, f"x{k}"])) for k in range(1, 6)]
+    nodes = spark.createDataFrame([(i, f, t, len(simhash.shingle_set(t, 5))) for i, f, t in rows], "node long, family long, text string, size long")
+    assert simhash.near_sets(nodes, 5, 0.8).collect() == []
+    apart = nodes.withColumn("family", F.when(F.col("node") == 5, 5).otherwise(F.col("family")))
+    assert 5 in {x for e in simhash.near_sets(apart, 5, 0.8).collect() for x in (e["a"], e["b"])}
+
+
 def test_representatives_go_by_row_and_not_by_id(spark):
     a, b, c = "the first text has some words that no other has at all", "here is a second one unlike it in each of its words", "something else entirely stands written in this last example"
     for rows, stay in (
