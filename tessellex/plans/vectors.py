@@ -26,10 +26,10 @@ def hash_encode(t):
     return A.hash_weights(t("part").select(F.col("p_name").alias("name")).distinct(), "name", "name").select("name", "bin", F.round("weight", 6).alias("weight"))
 
 
-@query(f"WITH {_V} SELECT a.id AS left_id, b.id AS right_id, round({_COS}, 6) AS sim FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id WHERE a.id % 20 = 0")
+@query(f"WITH {_V} SELECT a.id AS left_id, b.id AS right_id, round({_COS}, 6) AS sim FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id")
 def cosine_pairs(t):
     v = _vectors(t).withColumnRenamed("label", "block")
-    return similarity.cosines(v.filter("id % 20 = 0"), v).select(F.col("id").alias("left_id"), F.col("other").alias("right_id"), F.round("score", 6).alias("sim"))
+    return similarity.cosines(v, v).select(F.col("id").alias("left_id"), F.col("other").alias("right_id"), F.round("score", 6).alias("sim"))
 
 
 @query(f"WITH {_V}, s AS (SELECT a.id AS id, b.id AS other, round(list_inner_product(a.e, b.e), 12) AS s FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other)::INT AS rank FROM s) SELECT id, rank, other, round(s, 6) AS score FROM r WHERE rank <= 10")

@@ -272,3 +272,13 @@ def test_substring_totals_add_up_what_matches_are(spark):
     for terms in (matching.TERMS, 1):
         assert sorted(map(tuple, matching.substring_totals(docs, "text", "id", words, "w", terms).collect())) == wanted
     assert matching.substring_totals(docs, "text", "id", words.limit(0), "w").collect() == []
+
+
+def test_cosine_pairs_meet_all_rows_of_a_label(spark):
+    from tessellex.plans import vectors
+
+    rows = [(20, [1.0, 0.0], 0), (21, [3.0, 4.0], 0), (22, [0.0, 2.0], 0), (23, [1.0, 1.0], 1), (24, [2.0, 2.0], 1), (25, [1.0, 0.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    found = {(r["left_id"], r["right_id"]): r["sim"] for r in vectors.cosine_pairs(lambda name: df).collect()}
+    half = {(20, 21): 0.6, (20, 22): 0.0, (21, 22): 0.8, (23, 24): 1.0}
+    assert found == half | {(b, a): s for (a, b), s in half.items()}
