@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ from . import vocabulary_filter
 
 #: Terms, and their characters, up to which a vocabulary goes to the workers as an automaton; a larger one stays distributed: workers get a filter of its bits, and what passes joins it.
 TERMS, CHARACTERS = 200_000, 4 << 20
+#: Of a vocabulary of at most so many such automatons, totals are added up over them, a pass over the texts for each.
+PARTS = 4
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
@@ -54,24 +57,39 @@ def substring_matches(df: DataFrame, text: str, key: str, vocabulary: DataFrame,
 def substring_totals(df: DataFrame, text: str, key: str, vocabulary: DataFrame, term: str, terms: int = TERMS) -> DataFrame:
     """(key, terms, places) of each text with a substring match: how many different terms it contains, and the sum of the places of their first matches.
 
-    With an automaton a text is added up where it is read, so no row is made for each of its terms; a
-    larger vocabulary goes by substring_matches.
+    With an automaton a text is added up where it is read, so no row is made for each of its terms. A
+    larger vocabulary is dealt into up to PARTS automatons, each of which goes over the texts; one beyond
+    that goes by substring_matches.
     """
-    _, words = known = bounded(vocabulary, term, terms)
-    if words is None:
+    lowered, words = known = bounded(vocabulary, term, terms)
+    lists = [words] if words is not None else _parts(lowered, terms)
+    if lists is None:
         hits = substring_matches(df, text, key, vocabulary, term, terms, known)
         return hits.groupBy("key").agg(F.count("*").alias("terms"), F.sum("first").alias("places"))
-    source, found = df.select(F.col(key).alias("key"), F.lower(text).alias("text")).filter("text is not null"), _firsts(words)
+    source = df.select(F.col(key).alias("key"), F.lower(text).alias("text")).filter("text is not null")
+    schema = f"key {source.schema['key'].dataType.simpleString()}, terms long, places long"
 
-    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = [(k, len(first), sum(first.values()) + len(first) - sum(map(len, first))) for k, first in zip(part["key"], map(found, part["text"])) if first]
-            yield pd.DataFrame(rows, columns=["key", "terms", "places"])
+    def totals(found: Callable[[str], dict[str, int]]) -> DataFrame:
+        def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                rows = [(k, len(first), sum(first.values()) + len(first) - sum(map(len, first))) for k, first in zip(part["key"], map(found, part["text"])) if first]
+                yield pd.DataFrame(rows, columns=["key", "terms", "places"])
 
-    each = source.mapInPandas(scan, f"key {source.schema['key'].dataType.simpleString()}, terms long, places long")
+        return source.mapInPandas(scan, schema)
+
+    each = reduce(DataFrame.unionByName, [totals(_firsts(x)) for x in lists])
     return each.groupBy("key").agg(F.sum("terms").alias("terms"), F.sum("places").alias("places"))
 
 
+def _parts(lowered: DataFrame, terms: int) -> list[list[str]] | None:
+    """Different terms dealt by a hash into lists that make an automaton each, of about ``terms`` and CHARACTERS at most; None if they would be more than PARTS."""
+    n, characters = lowered.agg(F.count("*"), F.sum(F.length("term"))).first()
+    parts = max(-(-n // terms), -(-characters // CHARACTERS))
+    if parts > PARTS:
+        return None
+    return [[r["term"] for r in lowered.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == k).collect()] for k in range(parts)]
+
+
 def _firsts(words: list[str]) -> Callable[[str], dict[str, int]]:
     """A function from a text to the terms that it contains, each with the place of the last letter of its first match."""
     digest = hashlib.sha256("\0".join(words).encode()).digest()

@@ -62,7 +62,7 @@ _VOCABULARY = "vocabulary AS (SELECT DISTINCT lower(split_part(text, ' ', 1) ||
 
 
 def _word(c, k):
-    return F.coalesce(F.get(F.split(c, " ", -1), F.lit(k)), F.lit(""))
+    return F.coalesce(F.get(F.split(c, " ", k + 2), F.lit(k)), F.lit(""))
 
 
 def phrases(t):

@@ -282,3 +282,23 @@ def test_cosine_pairs_meet_all_rows_of_a_label(spark):
     found = {(r["left_id"], r["right_id"]): r["sim"] for r in vectors.cosine_pairs(lambda name: df).collect()}
     half = {(20, 21): 0.6, (20, 22): 0.0, (21, 22): 0.8, (23, 24): 1.0}
     assert found == half | {(b, a): s for (a, b), s in half.items()}
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_substring_totals_of_a_dealt_vocabulary_make_no_row_for_each_match(spark, monkeypatch, parts):
+    from tessellex.session import prepare
+
+    prepare(spark)
+    texts = ["Solar cell solar  cells  cell", " ab\tab abab ab cd ", "x" * 200 + " " + "x" * 200, "İstanbul ab", ""]
+    words = ["cell", "solar cell", "r  c", "ab", "b a", "a", " ", "x" * 70, "b\ta", "cd ", "i̇s"]
+    wanted = []
+    for k, body in enumerate(x.lower() for x in texts):
+        places = [body.find(w) for w in words if w in body]
+        wanted += [(k, len(places), sum(places))] if places else []
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    filtered, was = [], matching._filtered
+    monkeypatch.setattr(matching, "_filtered", lambda *x: filtered.append(1) or was(*x))
+    monkeypatch.setattr(matching, "PARTS", parts, raising=False)
+    found = matching.substring_totals(docs, "text", "id", spark.createDataFrame([(w,) for w in words], "w string"), "w", 3)
+    assert sorted(map(tuple, found.collect())) == wanted
+    assert len(filtered) == (parts == 1)  # rows for each match only beyond PARTS
