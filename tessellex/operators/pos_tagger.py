@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.staging import salted, small, stage
-from .tagging import viterbi
+from ..functions.staging import small, stage
+from .tagging import best_paths
 
 #: Letters of the longest suffix; words seen at most so often count for suffixes, as unknown words are rare ones.
 SUFFIX, RARE = 4, 10
 #: The weight of the tags' own shares among a word's tags, and among a suffix's.
 WORD_EXTRA, SUFFIX_EXTRA = 0.01, 1.0
+#: Tokens of the rows that are tagged in one task call, but for the last row's.
+CHUNK_TOKENS = 1 << 20
 
 
 @dataclass
@@ -66,26 +73,77 @@ def fit(df: DataFrame, tokens: str, tags: str) -> Tagger:
 
 
 def tag(df: DataFrame, tagger: Tagger, tokens: str, out: str = "tags") -> DataFrame:
-    """df with the best sequence of tags of each array of tokens; null for null.
+    """df with the best sequence of tags of each array of tokens, a column of df; null for null.
 
-    Each different word is scored once: as it was seen, else by its longest known suffix, else alike for
-    all tags. Scores go back to the tokens by the word, dealt out if it is very frequent, and a sentence
-    is decoded as a whole.
+    Rows go in chunks of about CHUNK_TOKENS tokens. Each chunk asks for its different words, each
+    different word of all is scored once: as it was seen, else by its longest known suffix, else alike
+    for all tags. Scores go back to the chunks, not to tokens, and meet the rows there, where a sentence is
+    decoded as a whole. So rows are shuffled once, and words once for each chunk that holds them.
     """
-    rows = stage(df.select(F.struct(*(F.col(f"`{c}`").alias(c) for c in df.columns if c != out)).alias("row"), F.col(tokens).alias("tokens"), F.monotonically_increasing_id().alias("number")), "rows")
-    each = rows.select("number", F.posexplode("tokens").alias("at", "word")).withColumn("word", F.coalesce("word", F.lit("")))
-    counts = stage(each.groupBy("word").agg(F.count("*").alias("many")), "asked")
-    known = counts.join(tagger.words, "word").select("word", "scores")
-    other = counts.join(tagger.words, "word", "left_anti")
+    given = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    rows = stage(given.mapInArrow(_dealer(tokens), T.StructType([T.StructField("row", given.schema["row"].dataType), T.StructField("chunk", T.LongType())])), "rows")
+    asked = stage(rows.select("chunk", F.col("row").getField(tokens).alias("tokens")).mapInArrow(_different, "chunk long, word string"), "asked")
+    words = stage(asked.select("word").distinct(), "words")
+    known = words.join(tagger.words, "word").select("word", "scores")
+    other = words.join(tagger.words, "word", "left_anti")
     ends = other.select("word", F.explode(suffixes(F.col("word"))).alias("suffix")).join(tagger.suffixes, "suffix").groupBy("word").agg(F.max_by("scores", F.length("suffix")).alias("scores"))
     alike = F.array(*(F.lit(0.0) for _ in tagger.tags))
     scored = stage(reduce(DataFrame.unionByName, [known, other.select("word").join(ends, "word", "left").select("word", F.coalesce("scores", alike).alias("scores"))]), "scored")
-    held = small(scored)
-    met = each.join(held, "word") if held is not scored else salted(each, scored, ["word"], counts=counts)
-    emissions = met.groupBy("number").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "scores"))), lambda x: x["scores"]).alias("e"))
-    decode = viterbi(tagger.transitions, tagger.start, tagger.end)
-    names = F.array(*map(F.lit, tagger.tags))
-    # numbers become names beside the list of names, so that no lambda takes a column from outside
-    decoded = rows.join(emissions, "number", "left").withColumn("d", decode("e")).withColumn("names", names)
-    told = F.zip_with("d", F.array_repeat("names", F.size("d")), lambda k, n: F.get(n, k))
-    return decoded.select("row.*", F.when(F.col("tokens").isNotNull(), told).alias(out))
+    met = asked.join(small(scored), "word").select("chunk", "word", "scores")
+    walk, names = best_paths(tagger.transitions, tagger.start, tagger.end), tagger.tags
+
+    def decode(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.column("row").combine_chunks()
+        lists = row.field(tokens)
+        scores = right.column("scores").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(names))
+        at = pc.index_in(pc.fill_null(lists.flatten(), ""), value_set=right.column("word").combine_chunks()).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(_lengths(lists))
+        paths = walk([scores[x] for x in np.split(at, ends[:-1])])
+        told = pa.array(names, pa.string()).take(pa.array(np.concatenate(paths).astype(np.int32)))
+        offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+        return pa.table({"row": row, "told": pa.ListArray.from_arrays(offsets, told, mask=lists.is_null())})
+
+    both = T.StructType([rows.schema["row"], T.StructField("told", T.ArrayType(T.StringType()))])
+    decoded = rows.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(decode, both)
+    return decoded.select(*(F.col("row").getField(c).alias(c) for c in df.columns if c != out), F.col("told").alias(out))
+
+
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _dealer(tokens: str):
+    """A function that numbers rows (a struct) by chunks of CHUNK_TOKENS of their tokens, in the order in which they come."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            if batch.num_rows:
+                ends = held + np.cumsum(_lengths(batch.column(0).field(tokens)) + 1)
+                chunk = first + np.concatenate([[held], ends[:-1]]) // CHUNK_TOKENS
+                held = int(ends[-1])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chunk, pa.int64())], ["row", "chunk"])
+
+    return deal
+
+
+def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, word) of the different words of each run of rows of one chunk, a null as the empty word."""
+    own, seen = None, []
+
+    def whole() -> pa.RecordBatch:
+        words = pc.unique(pa.concat_arrays(seen))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), own), pa.int64()), words], ["chunk", "word"])
+
+    for batch in batches:
+        chunk = batch.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b:
+                if seen and chunk[a] != own:
+                    yield whole()
+                    seen = []
+                own = chunk[a]
+                seen.append(pc.unique(pc.fill_null(batch.column(1).slice(a, b - a).flatten(), "")))
+    if seen:
+        yield whole()

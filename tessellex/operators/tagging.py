@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -70,9 +70,19 @@ def run_lengths(df: DataFrame, key: str, tags: str) -> DataFrame:
 def viterbi(transitions: np.ndarray, start: np.ndarray, end: np.ndarray):
     """An Arrow function from emissions (array of arrays) to the best tag numbers; ties go to the smaller tag. Sequences of a batch are walked together; an empty or null one has none."""
 
+    walk = best_paths(transitions, start, end)
+
     @F.pandas_udf("array<int>")
     def decode(sequences: pd.Series) -> pd.Series:
-        each = [_matrix_of(x) for x in sequences]
+        return pd.Series(walk([_matrix_of(x) for x in sequences]))
+
+    return decode
+
+
+def best_paths(transitions: np.ndarray, start: np.ndarray, end: np.ndarray) -> Callable[[list[np.ndarray]], list[list[int]]]:
+    """What ``viterbi`` does, from matrices of emissions to lists of tag numbers."""
+
+    def walk(each: list[np.ndarray]) -> list[list[int]]:
         out: list[list[int]] = [[] for _ in each]
         for own, e, lengths in _together(each):
             # shorter ones come first, so at each place those that go on are the last rows
@@ -92,9 +102,9 @@ def viterbi(transitions: np.ndarray, start: np.ndarray, end: np.ndarray):
                     at[begin[t] :] = back[np.arange(begin[t], len(at)), t, live]
             for row, k in enumerate(own):
                 out[k] = path[row, : lengths[row]].tolist()
-        return pd.Series(out)
+        return out
 
-    return decode
+    return walk
 
 
 #: Places of sequences that are padded to one length and walked together.

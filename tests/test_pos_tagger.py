@@ -80,3 +80,18 @@ def test_tagger_equals_a_plain_one(spark):
     assert rows[900] == [] and rows[901] is None and len(rows[902]) == 1
     with pytest.raises(ValueError):
         pos_tagger.fit(spark.createDataFrame([], "w array<string>, t array<string>"), "w", "t")
+
+
+def test_words_meet_chunks_of_rows_and_not_each_token(spark, monkeypatch):
+    prepare(spark)
+    rnd = np.random.default_rng(16)
+    tagger = pos_tagger.fit(spark.createDataFrame(sentences(rnd, 100, 80), "w array<string>, t array<string>"), "w", "t")
+    rows = [(k, tokens) for k, (tokens, _) in enumerate(sentences(rnd, 40, 120))] + [(900, []), (901, None), (902, ["the", None, "the"]), (903, ["the"] * 300)]
+    told = []
+    for chunk in (1 << 20, 25):
+        monkeypatch.setattr(pos_tagger, "CHUNK_TOKENS", chunk, raising=False)
+        found = pos_tagger.tag(spark.createDataFrame(rows, "number long, w array<string>").coalesce(2), tagger, "w")
+        assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
+        told.append({r["number"]: r["tags"] for r in found.collect()})
+    assert told[0] == told[1] and set(told[0]) == {k for k, _ in rows}
+    assert told[0][900] == [] and told[0][901] is None and all(len(told[0][k]) == len(w) for k, w in rows if w)
